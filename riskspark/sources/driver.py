@@ -156,9 +156,11 @@ class DriverTables:
         c = F.col("c_custkey")
         kinds = F.array(
             F.struct(F.lit("pep").alias("t"), F.lit(1.0).alias("v"), (c % 50 == 0).alias("on")),
-            F.struct(F.lit("fraud_history"), F.lit(1.0), c % 40 == 0),
-            F.struct(F.lit("credit_score_internal"), (300 + c * 53 % 551).cast("double"), F.lit(True)),
-            F.struct(F.lit("credit_score_external"), (310 + c * 29 % 541).cast("double"), c % 2 == 0))
+            F.struct(F.lit("fraud_history").alias("t"), F.lit(1.0).alias("v"), (c % 40 == 0).alias("on")),
+            F.struct(F.lit("credit_score_internal").alias("t"), (300 + c * 53 % 551).cast("double").alias("v"),
+                     F.lit(True).alias("on")),
+            F.struct(F.lit("credit_score_external").alias("t"), (310 + c * 29 % 541).cast("double").alias("v"),
+                     (c % 2 == 0).alias("on")))
         return (self.raw("customer").select(c.alias("customer_id"), F.explode(kinds).alias("r"))
                 .where("r.on").select("customer_id", F.col("r.t").alias("indicator_type"),
                                       F.col("r.v").alias("indicator_value")))
