@@ -70,6 +70,19 @@ def running(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], *
     )
 
 
+def ranked(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str], out: str = "rank") -> DataFrame:
+    """Row number of each row within its key by ascending value.
+
+    The window runs inside logarithmic value buckets; bucket sizes give the offset.
+    """
+    from riskspark.functions.quantiles import value_bucket
+    source = df.withColumn(_BUCKET, value_bucket(F.col(value)))
+    inside = Window.partitionBy(*keys, _BUCKET).orderBy(value, *ties)
+    local = source.withColumn("__l_rank", F.row_number().over(inside))
+    joined = _with_prefix(local, source, keys, {"rank": F.lit(1)}, {}, [])
+    return joined.select(*df.columns, (F.col("__l_rank") + F.coalesce("__p_rank", F.lit(0))).cast("bigint").alias(out))
+
+
 def strictly_before(df: DataFrame, keys: Sequence[str], ts: str, *,
                     counts: str | None = None, latest: str | None = None,
                     bucket_us: int = HOUR_US) -> DataFrame:

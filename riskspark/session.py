@@ -19,6 +19,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings; broadcast stays governed by Spark's size check."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # The cluster default is far too many tasks for one machine; a cluster keeps its own value.
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 
