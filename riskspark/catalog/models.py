@@ -1 +1,171 @@
-"""Registered queries."""
+"""Training-set, model and batch-decision queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskspark.catalog.base import ASOF_SQL, query, rounded
+from riskspark.functions.times import WINDOW_HOURS
+from riskspark.operators import (batch, behavior, context, modeling_table, models, network, profile, training)
+from riskspark.plans.fixpoint import cut
+from riskspark.sources.driver import AS_OF
+
+CONFIDENT = f"SELECT * FROM fl WHERE confidence_score >= 0.8::DOUBLE AND label_timestamp >= {ASOF_SQL} - INTERVAL 730 DAY"
+
+
+@query("labelled_transactions", f"""
+SELECT t.transaction_id, t.customer_id, round(amount, 4) AS amount, l.is_fraud, l.label_timestamp
+FROM tx t JOIN ({CONFIDENT}) l USING (transaction_id) WHERE product_type = 'pix'""", "tx fl")
+def labelled_transactions(t):
+    rows = training.labelled_transactions(t.transactions(), t.fraud_labels(), AS_OF, "pix")
+    return rounded(rows.select("transaction_id", "customer_id", "amount", "is_fraud", "label_timestamp"))
+
+
+@query("new_beneficiary", """
+WITH f AS (SELECT customer_id, beneficiary_id, min(timestamp) AS a FROM tx WHERE product_type = 'pix' AND beneficiary_id IS NOT NULL GROUP BY 1, 2)
+SELECT transaction_id, CASE WHEN a < timestamp THEN 0 ELSE 1 END AS is_new_beneficiary
+FROM tx LEFT JOIN f USING (customer_id, beneficiary_id)""", "tx")
+def new_beneficiary(t):
+    return training.new_beneficiary(t.transactions(), t.transactions())
+
+
+def _pit() -> str:
+    cols = []
+    for w, h in WINDOW_HOURS.items():
+        c = f"FILTER (WHERE t.timestamp >= label_timestamp - INTERVAL {h} HOUR)"
+        cols += [f"count(t.amount) {c} AS transaction_count_{w}",
+                 f"round(coalesce(sum(t.amount) {c}, 0), 4) AS transaction_volume_{w}",
+                 f"round(coalesce(avg(t.amount) {c}, 0), 4) AS avg_transaction_amount_{w}"]
+    return f"""
+SELECT l.customer_id, l.is_fraud, l.label_timestamp, {', '.join(cols)}
+FROM (SELECT DISTINCT customer_id, is_fraud, label_timestamp FROM ({CONFIDENT})) l
+LEFT JOIN (SELECT * FROM tx WHERE status = 'approved') t ON t.customer_id = l.customer_id AND t.timestamp <= label_timestamp GROUP BY 1, 2, 3"""
+
+
+@query("point_in_time_windows", _pit(), "tx fl")
+def point_in_time_windows(t):
+    """Window features as they were when each label was given."""
+    labels = training.customer_labels(t.fraud_labels(), AS_OF)
+    return rounded(training.point_in_time_windows(labels, t.transactions()))
+
+
+@query("time_ordered_split", """
+WITH r AS (SELECT *, row_number() OVER (ORDER BY timestamp, transaction_id) AS pos, count(*) OVER () AS n FROM tx)
+SELECT transaction_id, CASE WHEN pos > floor(n * (1 - 0.1::DOUBLE)) THEN 'test'
+  WHEN CAST('0x' || substr(md5('42:' || transaction_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.2::DOUBLE THEN 'validation' ELSE 'train' END AS part FROM r""", "tx")
+def time_ordered_split(t):
+    return training.split_by_time(t.transactions(), "timestamp", "transaction_id").select("transaction_id", "part")
+
+
+@query("time_folds", """
+SELECT transaction_id, CAST(least(floor((row_number() OVER (ORDER BY timestamp, transaction_id) - 1) * 4 / count(*) OVER ()), 3) AS INTEGER) AS block FROM tx""", "tx")
+def time_folds(t):
+    return training.time_folds(t.transactions(), "timestamp", "transaction_id").select("transaction_id", "block")
+
+
+@query("derived_inputs", f"""
+WITH v AS (SELECT customer_id, count(*) FILTER (WHERE timestamp >= {ASOF_SQL} - INTERVAL 1 HOUR) AS c1,
+  count(*) FILTER (WHERE timestamp >= {ASOF_SQL} - INTERVAL 24 HOUR) AS c24,
+  coalesce(sum(amount) FILTER (WHERE timestamp >= {ASOF_SQL} - INTERVAL 24 HOUR), 0) AS v24 FROM tx
+  WHERE status = 'approved' AND timestamp <= {ASOF_SQL} AND timestamp >= {ASOF_SQL} - INTERVAL 2160 HOUR GROUP BY 1)
+SELECT customer_id, round(v24 / (c24 + 1), 4) AS avg_transaction_size_24h, round(c1 / (c24 / 24 + 0.1::DOUBLE), 4) AS velocity_ratio_1h_24h FROM v""", "tx")
+def derived_inputs(t):
+    wide = modeling_table.derived_inputs(behavior.transaction_windows(t.transactions(), AS_OF))
+    return rounded(wide.select("customer_id", "avg_transaction_size_24h", "velocity_ratio_1h_24h"))
+
+
+class Stage:
+    """Trained models and shared intermediate tables of one data folder in one application."""
+
+    _known: dict[tuple[str, str], "Stage"] = {}
+
+    def __init__(self, t):
+        tx = t.transactions()
+        self.net = cut(network.network_features(tx, t.fraud_records(), AS_OF))
+        prof = profile.profile_features(t.customers(), t.customer_products(), t.risk_profile(), AS_OF)
+        self.static = cut(batch.static_columns(prof, self.net))
+        self.contextual = cut(context.contextual_features(tx, tx, AS_OF))
+        rows = training.hub_training_set(t.fraud_labels(), tx, self.static, AS_OF)
+        self.hub = models.train_hub(rows, models.Spec("hub", "gbt", {"maxIter": 10, "maxDepth": 4}))
+        windows = behavior.transaction_windows(tx, AS_OF)
+        keep = [c for c in windows.columns if not c.startswith("std_")]
+        vectors = self.static.join(windows.select(*keep), "customer_id", "left").fillna(0)
+        self.hub_scores = cut(models.hub_scores(self.hub, vectors))
+        small = {n: models.Spoke(s.product, s.features, s.build, models.Spec(
+            s.spec.name, s.spec.algorithm, {"maxIter": 10, "maxDepth": 4} if s.spec.algorithm == "gbt" else {"maxIter": 30}))
+            for n, s in models.SPOKES.items()}
+        self.spokes, self.failed = models.train_spokes(tx, t.fraud_labels(), self.contextual, self.hub_scores, AS_OF, small)
+
+    @classmethod
+    def of(cls, t) -> "Stage":
+        key = (t.spark.sparkContext.applicationId, t.folder)
+        if key not in cls._known:
+            cls._known[key] = cls(t)
+        return cls._known[key]
+
+    def scorer(self, t) -> batch.Scorer:
+        return batch.Scorer(self.spokes, self.hub_scores, t.transactions(), self.net, AS_OF)
+
+
+@query("hub_training_set")
+def hub_training_set(t):
+    """Labels with point-in-time activity and slow columns."""
+    return rounded(training.hub_training_set(t.fraud_labels(), t.transactions(), Stage.of(t).static, AS_OF))
+
+
+@query("hub_scores")
+def hub_scores(t):
+    """Risk score of every customer by the boosted hub model."""
+    return rounded(Stage.of(t).hub_scores)
+
+
+@query("hub_importances")
+def hub_importances(t):
+    return models.importances(t.spark, Stage.of(t).hub)
+
+
+@query("model_metrics")
+def model_metrics(t):
+    """AUC per part, feature and row counts of the hub and every product model."""
+    s = Stage.of(t)
+    return models.metrics_table(t.spark, {"hub": s.hub, **s.spokes})
+
+
+@query("spoke_scores")
+def spoke_scores(t):
+    """Every transaction scored by its product's model."""
+    s = Stage.of(t)
+    return rounded(models.spoke_scores(s.spokes, t.transactions(), s.contextual, s.hub_scores, t.transactions()))
+
+
+@query("hub_score_per_transaction")
+def hub_score_per_transaction(t):
+    rows = training.attach_hub_score(t.transactions().select("transaction_id", "customer_id"), Stage.of(t).hub_scores)
+    return rounded(rows)
+
+
+@query("forest_hub_metrics")
+def forest_hub_metrics(t):
+    """The second hub learner."""
+    rows = training.hub_training_set(t.fraud_labels(), t.transactions(), Stage.of(t).static, AS_OF)
+    forest = models.train_hub(rows, models.Spec("hub", "forest", {"numTrees": 10, "maxDepth": 5}))
+    return models.metrics_table(t.spark, {"forest": forest})
+
+
+@query("parameter_search")
+def parameter_search(t):
+    """Random candidates ranked by mean AUC over forward-chaining folds."""
+    s = Stage.of(t)
+    spoke = models.SPOKES["credit_card"]
+    rows = models.product_training_set(spoke, t.transactions(), t.fraud_labels(), s.contextual, s.hub_scores, AS_OF)
+    specs = models.random_specs(models.Spec("card", "logistic"), {"regParam": [0.001, 0.01, 0.1], "maxIter": [10, 20]}, 2)
+    return models.search(rows.withColumnRenamed("is_fraud", "label"), spoke.inputs(), specs, "timestamp", "transaction_id")
+
+
+@query("batch_decisions")
+def batch_decisions(t):
+    """Validation, context, hub, spokes and decision for all transactions."""
+    s = Stage.of(t)
+    d = batch.decide_batch(t.transactions(), s.scorer(t))
+    return rounded(d.select("transaction_id", "hub_risk_score", "spoke_fraud_score", "final_score", "risk_level",
+                            "action", F.concat_ws(",", "reason_codes").alias("reasons"), "confidence"))
