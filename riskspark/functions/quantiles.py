@@ -24,8 +24,12 @@ def value_bucket(v: Column) -> Column:
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
-                      probs: Mapping[str, float]) -> DataFrame:
-    """One row per group with a column per wanted percentile (linear interpolation)."""
+                      probs: Mapping[str, float], nearest: set[str] = frozenset()) -> DataFrame:
+    """One row per group with a column per wanted percentile.
+
+    Percentiles are interpolated between neighbours; those named in ``nearest``
+    take the value at index ``floor(p * n)`` (the last one at most).
+    """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("__v")).withColumn("__b", value_bucket(F.col("__v")))
@@ -37,7 +41,10 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
          - F.col("__n")).alias("__before"),
         F.col("__n"), F.sum("__n").over(whole).alias("__total"))
 
-    def ranks(p: float) -> tuple[Column, Column]:
+    def ranks(name: str, p: float) -> tuple[Column, Column]:
+        if name in nearest:
+            place = F.least(F.floor(F.col("__total") * F.lit(float(p))) + 1, F.col("__total"))
+            return place, place
         position = (F.col("__total") - 1) * F.lit(float(p))
         return F.floor(position) + 1, F.ceil(position) + 1
 
@@ -45,8 +52,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
         return (before < rank) & (rank <= upto)
 
     wanted = F.lit(False)
-    for p in probs.values():
-        for rank in ranks(p):
+    for name, p in probs.items():
+        for rank in ranks(name, p):
             wanted = wanted | holds(rank, F.col("__before"), F.col("__before") + F.col("__n"))
     targets = sizes.where(wanted).drop("__n")
     counted = (rows.join(targets, [*keys, "__b"])
@@ -58,7 +65,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
         + F.sum("__n").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     picks = []
     for name, p in probs.items():
-        lo, hi = ranks(p)
+        lo, hi = ranks(name, p)
         start = F.col("__upto") - F.col("__n")
         low = F.max(F.when(holds(lo, start, F.col("__upto")), F.col("__v")))
         high = F.max(F.when(holds(hi, start, F.col("__upto")), F.col("__v")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.sources.tables import read_table
+from riskspark.sources.tables import read_table, stream_source
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -17,11 +17,19 @@ AS_OF = "2024-01-31 00:00:00"
 class DriverTables:
     """Lazily built canonical tables of one data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, streaming: bool = False):
         self.spark = spark
         self.folder = folder
+        self.streaming = streaming
+
+    def as_stream(self) -> "DriverTables":
+        """The same tables with ``events`` read as a stream of files."""
+        return DriverTables(self.spark, self.folder, streaming=True)
 
     def raw(self, name: str) -> DataFrame:
+        if self.streaming and name == "events":
+            schema = read_table(self.spark, f"{self.folder}/{name}.parquet").schema
+            return stream_source(self.spark, self.folder, schema, pathGlobFilter=f"{name}.parquet")
         return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
     def events(self) -> DataFrame:
