@@ -23,14 +23,14 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     Values are first snapped to eight places: a tie at the fifth place then
     falls the same way whatever noise the summation left.
     """
-    def rounding(c):
-        snapped = F.rint(c * 1e8) / 1e8
-        scale = float(10 ** digits)
-        return F.signum(snapped) * F.floor(F.abs(snapped) * scale + 0.5) / scale + 0.0
+    scale = 10 ** digits
+
+    def rounding(name: str):
+        snapped = f"rint(`{name}` * 1e8D) / 1e8D"
+        return F.expr(f"signum({snapped}) * floor(abs({snapped}) * {scale}D + 0.5D) / {scale}D + 0D AS `{name}`")
 
     return df.select(*[
-        rounding(F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+        rounding(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
         for f in df.schema.fields])
 
 

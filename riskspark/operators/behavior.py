@@ -8,23 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.times import WINDOW_HOURS
-from riskspark.plans.windowed import clip, distinct_in_windows, inside
+from riskspark.plans.windowed import distinct_in_windows, windowed
 
 
 def transaction_windows(transactions: DataFrame, as_of,
                         windows: Mapping[str, int] = WINDOW_HOURS) -> DataFrame:
     """Approved transactions per window: count, volume, mean, sample deviation."""
-    rows = clip(transactions.where(F.col("status") == "approved"), "timestamp", as_of, windows)
-    aggs = []
-    for w, hours in windows.items():
-        amount = F.when(inside("timestamp", as_of, hours), F.col("amount").cast("double"))
-        aggs += [
-            F.count(amount).alias(f"transaction_count_{w}"),
-            F.coalesce(F.sum(amount), F.lit(0.0)).alias(f"transaction_volume_{w}"),
-            F.coalesce(F.avg(amount), F.lit(0.0)).alias(f"avg_transaction_amount_{w}"),
-            F.coalesce(F.stddev_samp(amount), F.lit(0.0)).alias(f"std_transaction_amount_{w}"),
-        ]
-    return rows.groupBy("customer_id").agg(*aggs)
+    rows = transactions.where(F.col("status") == "approved").select(
+        "customer_id", "timestamp", F.col("amount").cast("double").alias("amount"))
+    return windowed(rows, "customer_id", "timestamp", as_of, windows, {
+        "transaction_count": "count(CASE WHEN {in} THEN amount END)",
+        "transaction_volume": "coalesce(sum(CASE WHEN {in} THEN amount END), 0D)",
+        "avg_transaction_amount": "coalesce(avg(CASE WHEN {in} THEN amount END), 0D)",
+        "std_transaction_amount": "coalesce(stddev_samp(CASE WHEN {in} THEN amount END), 0D)"})
 
 
 def transaction_diversity(transactions: DataFrame, as_of,
@@ -43,34 +39,23 @@ def transaction_diversity(transactions: DataFrame, as_of,
 def channel_counts(transactions: DataFrame, as_of,
                    windows: Mapping[str, int] = WINDOW_HOURS) -> DataFrame:
     """Transactions per channel and window, any status."""
-    rows = clip(transactions, "timestamp", as_of, windows)
     names = {"mobile": "mobile_app", "web": "web_browser", "atm": "atm"}
-    return rows.groupBy("customer_id").agg(*[
-        F.count_if(inside("timestamp", as_of, hours) & (F.col("channel") == channel))
-        .cast("bigint").alias(f"{short}_transactions_{w}")
-        for w, hours in windows.items() for short, channel in names.items()])
+    return windowed(transactions.select("customer_id", "timestamp", "channel"), "customer_id", "timestamp", as_of, windows, {
+        f"{short}_transactions": f"count_if({{in}} AND channel = '{channel}')" for short, channel in names.items()})
 
 
 def digital_activity(events: DataFrame, as_of,
                      windows: Mapping[str, int] = WINDOW_HOURS) -> DataFrame:
-    """App and web activity per window; distinct hours are a bit mask, no set is kept."""
-    rows = clip(events, "timestamp", as_of, windows)
-    aggs = []
-    for w, hours in windows.items():
-        here = inside("timestamp", as_of, hours)
-        hour_bit = F.expr("shiftleft(1, hour(timestamp))")
-        aggs += [
-            F.count_if(here).cast("bigint").alias(f"login_count_{w}"),
-            F.coalesce(F.avg(F.when(here, F.col("session_duration_minutes"))), F.lit(0.0))
-            .alias(f"avg_session_duration_{w}"),
-            F.count_if(here & (F.col("event_type") == "password_change")).cast("bigint")
-            .alias(f"password_changes_{w}"),
-            F.count_if(here & (F.col("event_type") == "profile_update")).cast("bigint")
-            .alias(f"profile_updates_{w}"),
-            F.coalesce(F.bit_count(F.bit_or(F.when(here, hour_bit))), F.lit(0)).cast("bigint")
-            .alias(f"active_hours_{w}"),
-        ]
-    counts = rows.groupBy("customer_id").agg(*aggs)
+    """App and web activity per window.
+
+    Distinct hours are a bit mask, so no set of values is kept for them.
+    """
+    counts = windowed(events, "customer_id", "timestamp", as_of, windows, {
+        "login_count": "count_if({in})",
+        "avg_session_duration": "coalesce(avg(CASE WHEN {in} THEN session_duration_minutes END), 0D)",
+        "password_changes": "count_if({in} AND event_type = 'password_change')",
+        "profile_updates": "count_if({in} AND event_type = 'profile_update')",
+        "active_hours": "coalesce(cast(bit_count(bit_or(CASE WHEN {in} THEN shiftleft(1, hour(timestamp)) END)) AS bigint), 0L)"})
     days = distinct_in_windows(events, "customer_id", "timestamp", as_of,
                                {"login_days": F.to_date("timestamp")}, windows)
     return counts.join(days, "customer_id", "left")
@@ -78,12 +63,9 @@ def digital_activity(events: DataFrame, as_of,
 
 def velocity(features: DataFrame, windows=("1h", "6h", "24h")) -> DataFrame:
     """Per-hour rates derived from the window columns; no second scan."""
-    return features.withColumns({
-        **{f"transaction_velocity_{w}": F.col(f"transaction_count_{w}") / F.lit(float(WINDOW_HOURS[w]))
-           for w in windows},
-        **{f"volume_velocity_{w}": F.col(f"transaction_volume_{w}") / F.lit(float(WINDOW_HOURS[w]))
-           for w in windows},
-    })
+    rates = [F.expr(f"{source}_{w} / {float(WINDOW_HOURS[w])}D AS {name}_{w}") for w in windows
+             for name, source in (("transaction_velocity", "transaction_count"), ("volume_velocity", "transaction_volume"))]
+    return features.select("*", *rates)
 
 
 def behavioral_features(transactions: DataFrame, events: DataFrame, as_of,

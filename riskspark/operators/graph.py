@@ -142,12 +142,13 @@ def triangles(edges: DataFrame) -> DataFrame:
     than about sqrt(2 * edges) out-neighbours however popular it is; the third
     corner is the overlap of two such short lists.
     """
-    e, d = simple_edges(edges), degrees(edges)
+    e = cut(simple_edges(edges))
+    d = degrees(e)
     ranked_edges = (e.join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src")
                     .join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst"))
     up = F.struct("ds", "src") < F.struct("dd", "dst")
-    directed = ranked_edges.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"),
-                                   F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v"))
+    directed = cut(ranked_edges.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"),
+                                   F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v")))
     out = directed.groupBy("u").agg(F.collect_list("v").alias("heads"))
     third = (directed.join(out, "u").join(out.select(F.col("u").alias("v"), F.col("heads").alias("heads_v")), "v")
              .select("u", "v", F.array_intersect("heads", "heads_v").alias("w")).where(F.size("w") > 0))
@@ -370,21 +371,17 @@ def modularity(weighted: DataFrame, communities: DataFrame) -> float:
     return 0.0 if m2 == 0 else row["inside2"] / m2 - row["squares"] / (m2 * m2)
 
 
-def _move_round(weighted: DataFrame, state: DataFrame, m2: float, number: int) -> DataFrame:
+def _move_round(links: DataFrame, strength: DataFrame, state: DataFrame, m2: float, number: int) -> DataFrame:
     """Half of the nodes move to the neighbouring community with the largest gain."""
-    links = (weighted.where("src <> dst").select("src", "dst", "weight")
-             .unionByName(weighted.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
-    ends = weighted.select(F.col("src").alias("id"), "weight").unionByName(weighted.select(F.col("dst").alias("id"), "weight"))
-    strength = ends.groupBy("id").agg(F.sum("weight").alias("k"))
     own = state.join(strength, "id", "left").fillna(0.0, ["k"])
-    totals = own.groupBy("community").agg(F.sum("k").alias("sigma"))
+    totals = own.groupBy(F.col("community").alias("target")).agg(F.sum("k").alias("sigma"))
     toward = (links.join(state.select(F.col("id").alias("dst"), F.col("community").alias("target")), "dst")
-              .groupBy(F.col("src").alias("id"), "target").agg(F.sum("weight").alias("w")))
-    stay = own.select("id", F.col("community").alias("target"), F.lit(0.0).alias("w"))
-    options = (toward.unionByName(stay).groupBy("id", "target").agg(F.sum("w").alias("w"))
-               .join(own, "id").join(totals.withColumnRenamed("community", "target"), "target"))
+              .select(F.col("src").alias("id"), "target", F.col("weight").alias("w")))
+    stay = state.select("id", F.col("community").alias("target"), F.lit(0.0).alias("w"))
+    options = (toward.unionByName(stay).where(_parity("id", number)).groupBy("id", "target").agg(F.sum("w").alias("w"))
+               .join(own, "id").join(totals, "target"))
     outside = F.col("sigma") - F.when(F.col("target") == F.col("community"), F.col("k")).otherwise(0.0)
-    scored = options.where(_parity("id", number)).withColumn("gain", F.round(F.col("w") - outside * F.col("k") / m2, 9))
+    scored = options.withColumn("gain", F.round(F.col("w") - outside * F.col("k") / m2, 9))
     best = scored.groupBy("id").agg(
         F.min_by("target", F.struct(-F.col("gain"), "target")).alias("best"), F.max("gain").alias("top"),
         F.max(F.when(F.col("target") == F.col("community"), F.col("gain"))).alias("own"))
@@ -393,32 +390,33 @@ def _move_round(weighted: DataFrame, state: DataFrame, m2: float, number: int) -
 
 
 def modularity_communities(edges: DataFrame, nodes: DataFrame, max_rounds: int = 12, max_levels: int = 5,
-                           least_gain: float = 1e-4) -> DataFrame:
+                           least_gain: float = 1e-3) -> DataFrame:
     """Communities by local moving and contraction, both as whole-table rounds.
 
     A round is kept only if modularity rises, so the result never gets worse;
-    contraction then repeats the moves between communities.
+    contraction then repeats the moves between communities. A level ends
+    when two rounds in a row gain less than ``least_gain``.
     """
-    weighted = cut(simple_edges(edges).withColumn("weight", F.lit(1.0)))
+    level_edges = cut(simple_edges(edges).withColumn("weight", F.lit(1.0)))
     assignment = cut(nodes.select("id", F.col("id").alias("community")))
-    best = modularity(weighted, assignment)
-    level_edges = weighted
-    for _ in range(max_levels):
-        m2 = 2.0 * (level_edges.agg(F.sum("weight")).first()[0] or 0.0)
-        if m2 == 0:
-            break
+    best = modularity(level_edges, assignment)
+    m2 = 2.0 * (level_edges.agg(F.sum("weight")).first()[0] or 0.0)
+    for _ in range(max_levels if m2 > 0 else 0):
         start = best
+        turned = level_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+        # A self-loop counts twice towards its node's strength and never towards a move.
+        strength = cut(level_edges.unionByName(turned).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
+        links = cut(level_edges.unionByName(turned).where("src <> dst"))
         state = cut(assignment.select(F.col("community").alias("id")).distinct().withColumn("community", F.col("id")))
-        misses = 0
+        idle = 0
         for number in range(max_rounds):
-            trial = cut(_move_round(level_edges, state, m2, number))
+            trial = cut(_move_round(links, strength, state, m2, number))
             q = modularity(level_edges, trial)
-            if q > best + least_gain / 10:
-                state, best, misses = trial, q, 0
-            else:
-                misses += 1
-                if misses == 2:
-                    break
+            idle = 0 if q > best + least_gain else idle + 1
+            if q > best:
+                state, best = trial, q
+            if idle == 2:
+                break
         if best <= start + least_gain:
             break
         joined = assignment.join(state.select(F.col("id").alias("community"), F.col("community").alias("next")), "community")
@@ -444,8 +442,8 @@ def community_metrics(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """
     a = communities.select(F.col("id").alias("src"), "community")
     b = communities.select(F.col("id").alias("dst"), F.col("community").alias("other"))
-    inside = (edges.where("src <> dst").join(a, "src").join(b, "dst").where("community = other")
-              .select("community", "src", "dst", "transaction_count", "total_amount", "days_active"))
+    inside = cut(edges.where("src <> dst").join(a, "src").join(b, "dst").where("community = other")
+                 .select("community", "src", "dst", "transaction_count", "total_amount", "days_active"))
     sizes = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
     order = ranked(inside, ["community"], "total_amount", ["src", "dst"], out="i")
     sums = order.groupBy("community").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.times import within
+from riskspark.plans.fixpoint import cut
 
 DAYS_90, DAYS_180 = 90 * 24, 180 * 24
 
@@ -27,7 +28,8 @@ def device_sharing(transactions: DataFrame, as_of, hours: int = DAYS_90,
     with the same set of busy devices have the same co-users there, so those
     sets are counted once each and compared set against set. The total is exact.
     """
-    sized = customer_devices(transactions, as_of, hours)
+    # Read several times below: written once, small next to the transactions.
+    sized = cut(customer_devices(transactions, as_of, hours))
     base = sized.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("unique_devices_used"),
         F.max("device_users").alias("max_customers_per_device"))

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from riskspark.functions import series
 from riskspark.functions.quantiles import exact_percentiles
-from riskspark.functions.times import DAY_US, HOUR_US, as_time, hours_before, micros, whole_days
+from riskspark.functions.times import DAY_US, HOUR_US, as_time, micros, whole_days
 from riskspark.plans.running import asof_sums, running
-from riskspark.plans.windowed import distinct_in_windows
+from riskspark.plans.windowed import distinct_in_windows, windowed
 
 # Window names and minimum sizes.
 ROLLING = {"1H": 1, "6H": 6, "24H": 24, "7D": 168, "30D": 720, "90D": 2160}
@@ -57,24 +57,18 @@ def recency_frequency(transactions: DataFrame, as_of) -> DataFrame:
 def rolling_windows(transactions: DataFrame, as_of, windows: Mapping[str, int] = ROLLING) -> DataFrame:
     """Per window: count, sum, mean, deviation, extremes, distincts, repeat-beneficiary rate."""
     rows = until(transactions, as_of)
-    aggs = []
-    for w, hours in windows.items():
-        x = F.when(F.col("timestamp") >= hours_before(as_of, hours), F.col("amount").cast("double"))
-        aggs.append(F.count(x).alias(f"{w}_transaction_count"))
-        aggs += [F.coalesce(f(x), F.lit(0.0)).alias(f"{w}_{name}_amount") for name, f in (
-            ("total", F.sum), ("avg", F.avg), ("std", F.stddev_samp), ("max", F.max), ("min", F.min))]
-    sums = rows.groupBy("customer_id").agg(*aggs)
+    measures = {"{w}_transaction_count": "count(CASE WHEN {in} THEN amount END)"}
+    measures |= {f"{{w}}_{name}_amount": f"coalesce({f}(CASE WHEN {{in}} THEN amount END), 0D)" for name, f in (
+        ("total", "sum"), ("avg", "avg"), ("std", "stddev_samp"), ("max", "max"), ("min", "min"))}
+    amounts = rows.select("customer_id", "timestamp", F.col("amount").cast("double").alias("amount"))
+    sums = windowed(amounts, "customer_id", "timestamp", as_of, windows, measures, clipped=False)
     kinds = {"products": "product_type", "channels": "channel", "beneficiaries": "beneficiary_id"}
     distinct = distinct_in_windows(rows, "customer_id", "timestamp", as_of,
                                    {k: F.col(c) for k, c in kinds.items()}, windows)
-    out = sums.join(distinct, "customer_id", "left").fillna(0)
-    for w in windows:
-        for k in kinds:
-            out = out.withColumnRenamed(f"{k}_{w}", f"{w}_unique_{k}")
-    return out.withColumns({
-        f"{w}_repeat_beneficiary_rate":
-            1 - F.col(f"{w}_unique_beneficiaries") / F.greatest(F.col(f"{w}_transaction_count"), F.lit(1))
-        for w in windows})
+    distinct = distinct.select("customer_id", *[F.col(f"{k}_{w}").alias(f"{w}_unique_{k}") for w in windows for k in kinds])
+    repeat = [F.expr(f"1 - `{w}_unique_beneficiaries` / greatest(`{w}_transaction_count`, 1L) AS `{w}_repeat_beneficiary_rate`")
+              for w in windows]
+    return sums.join(distinct, "customer_id", "left").fillna(0).select("*", *repeat)
 
 
 def velocity_acceleration(rolling: DataFrame) -> DataFrame:
