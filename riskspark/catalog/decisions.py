@@ -197,7 +197,8 @@ SELECT transaction_id, CASE merchant_category WHEN '5411' THEN 1 WHEN '5541' THE
   coalesce(merchant_category IN ('5812','5813','7995','5933'), false)::INT AS merchant_risk_score,
   (channel IN ('pos','atm'))::INT AS card_present FROM tx WHERE product_type = 'credit_card'""", "tx")
 def card_rules(t):
-    return modeling_table.card_rules(t.transactions().where("product_type = 'credit_card'"))
+    rows = modeling_table.with_card_rules(t.transactions().where("product_type = 'credit_card'"))
+    return rows.select("transaction_id", "merchant_category_encoded", "is_online_transaction", "merchant_risk_score", "card_present")
 
 
 @query("loan_rules", """
@@ -205,7 +206,8 @@ SELECT transaction_id, round(amount, 4) AS loan_amount, 1 AS loan_purpose_encode
   0.8::DOUBLE AS employment_stability_score, 1.2::DOUBLE AS collateral_value_ratio, 0.15::DOUBLE AS interest_rate
 FROM tx WHERE product_type = 'loan'""", "tx")
 def loan_rules(t):
-    return rounded(modeling_table.loan_rules(t.transactions().where("product_type = 'loan'")))
+    rows = modeling_table.with_loan_rules(t.transactions().where("product_type = 'loan'"))
+    return rounded(rows.select("transaction_id", "loan_amount", *modeling_table.LOAN_DEFAULTS))
 
 
 HISTORY = """

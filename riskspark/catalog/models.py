@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskspark.catalog.base import ASOF_SQL, query, rounded
 from riskspark.functions.times import WINDOW_HOURS
-from riskspark.operators import (batch, behavior, context, modeling_table, models, network, profile, training)
+from riskspark.operators import batch, behavior, modeling_table, models, network, profile, training
 from riskspark.plans.fixpoint import cut
 from riskspark.sources.driver import AS_OF
 
@@ -84,7 +84,6 @@ class Stage:
         self.net = cut(network.network_features(tx, t.fraud_records(), AS_OF))
         prof = profile.profile_features(t.customers(), t.customer_products(), t.risk_profile(), AS_OF)
         self.static = cut(batch.static_columns(prof, self.net))
-        self.contextual = cut(context.contextual_features(tx, tx, AS_OF))
         rows = training.hub_training_set(t.fraud_labels(), tx, self.static, AS_OF)
         self.hub = models.train_hub(rows, models.Spec("hub", "gbt", {"maxIter": 10, "maxDepth": 4}))
         windows = behavior.transaction_windows(tx, AS_OF)
@@ -94,7 +93,8 @@ class Stage:
         small = {n: models.Spoke(s.product, s.features, s.build, models.Spec(
             s.spec.name, s.spec.algorithm, {"maxIter": 10, "maxDepth": 4} if s.spec.algorithm == "gbt" else {"maxIter": 30}))
             for n, s in models.SPOKES.items()}
-        self.spokes, self.failed = models.train_spokes(tx, t.fraud_labels(), self.contextual, self.hub_scores, AS_OF, small)
+        self.enriched = cut(batch.enrich(tx, tx, self.hub_scores, AS_OF))
+        self.spokes, self.failed = models.train_spokes(self.enriched, t.fraud_labels(), AS_OF, small)
 
     @classmethod
     def of(cls, t) -> "Stage":
@@ -135,7 +135,7 @@ def model_metrics(t):
 def spoke_scores(t):
     """Every transaction scored by its product's model."""
     s = Stage.of(t)
-    return rounded(models.spoke_scores(s.spokes, t.transactions(), s.contextual, s.hub_scores, t.transactions()))
+    return rounded(models.spoke_scores(s.spokes, s.enriched).select("transaction_id", "spoke_score"))
 
 
 @query("hub_score_per_transaction")
@@ -157,7 +157,7 @@ def parameter_search(t):
     """Random candidates ranked by mean AUC over forward-chaining folds."""
     s = Stage.of(t)
     spoke = models.SPOKES["credit_card"]
-    rows = models.product_training_set(spoke, t.transactions(), t.fraud_labels(), s.contextual, s.hub_scores, AS_OF)
+    rows = models.product_training_set(spoke, s.enriched, t.fraud_labels(), AS_OF)
     specs = models.random_specs(models.Spec("card", "logistic"), {"regParam": [0.001, 0.01, 0.1], "maxIter": [10, 20]}, 2)
     return models.search(rows.withColumnRenamed("is_fraud", "label"), spoke.inputs(), specs, "timestamp", "transaction_id")
 

@@ -52,21 +52,20 @@ def base_risk(age: Column, income: Column, credit: Column, is_pep: Column) -> Co
     return F.least(total, F.lit(1.0))
 
 
-def card_rules(transactions: DataFrame) -> DataFrame:
+def with_card_rules(transactions: DataFrame) -> DataFrame:
     mcc, channel = F.col("merchant_category"), F.col("channel")
-    return transactions.select(
-        "transaction_id",
-        F.coalesce(lookup(mcc, MERCHANT_CODES, 0), F.lit(0)).alias("merchant_category_encoded"),
-        F.coalesce(channel == "web_browser", F.lit(False)).cast("int").alias("is_online_transaction"),
-        F.coalesce(mcc.isin(*HIGH_RISK_MERCHANTS), F.lit(False)).cast("int").alias("merchant_risk_score"),
-        F.coalesce(channel.isin("pos", "atm"), F.lit(False)).cast("int").alias("card_present"))
+    return transactions.withColumns({
+        "merchant_category_encoded": F.coalesce(lookup(mcc, MERCHANT_CODES, 0), F.lit(0)),
+        "is_online_transaction": F.coalesce(channel == "web_browser", F.lit(False)).cast("int"),
+        "merchant_risk_score": F.coalesce(mcc.isin(*HIGH_RISK_MERCHANTS), F.lit(False)).cast("int"),
+        "card_present": F.coalesce(channel.isin("pos", "atm"), F.lit(False)).cast("int")})
 
 
-def loan_rules(transactions: DataFrame) -> DataFrame:
+def with_loan_rules(transactions: DataFrame) -> DataFrame:
     """Loan inputs; a column of that name in the table replaces the placeholder."""
-    return transactions.select(
-        "transaction_id", F.col("amount").cast("double").alias("loan_amount"),
-        *[(F.col(n) if n in transactions.columns else F.lit(v)).alias(n) for n, v in LOAN_DEFAULTS.items()])
+    return transactions.withColumns({
+        "loan_amount": F.col("amount").cast("double"),
+        **{n: F.lit(v) for n, v in LOAN_DEFAULTS.items() if n not in transactions.columns}})
 
 
 def amount_flags(transactions: DataFrame, share: float = 0.9) -> DataFrame:

@@ -175,14 +175,15 @@ def hub_scores(hub: Trained, vectors: DataFrame) -> DataFrame:
 
 # --- spokes -----------------------------------------------------------------------------
 
-Builder = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+Builder = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class Spoke:
-    """A product's model: which columns to add to the context, and the learner.
+    """A product's model: which columns it reads, how to add them, and the learner.
 
-    ``build(transactions, contextual, history)`` returns rows keyed by transaction_id.
+    ``build`` gets enriched transactions (``batch.enrich``) and only projects, so
+    scoring a product adds no shuffle.
     """
     product: str
     features: tuple[str, ...]
@@ -194,53 +195,37 @@ class Spoke:
         return [*self.features, *(["hub_score"] if self.needs_hub else [])]
 
 
-def _pix(rows: DataFrame, contextual: DataFrame, history: DataFrame) -> DataFrame:
-    return (rows.select("transaction_id").join(contextual.drop("customer_id"), "transaction_id", "left")
-            .join(training.new_beneficiary(rows, history), "transaction_id", "left"))
-
-
-def _card(rows: DataFrame, contextual: DataFrame, history: DataFrame) -> DataFrame:
-    return (rows.select("transaction_id").join(contextual.drop("customer_id"), "transaction_id", "left")
-            .join(modeling_table.card_rules(rows), "transaction_id", "left"))
-
-
-def _loan(rows: DataFrame, contextual: DataFrame, history: DataFrame) -> DataFrame:
-    return modeling_table.loan_rules(rows)
+def _as_is(rows: DataFrame) -> DataFrame:
+    return rows
 
 
 # The inputs of each product's model.
 SPOKES: dict[str, Spoke] = {
     "pix": Spoke("pix", ("transaction_amount", "is_round_amount", "is_weekend", "hour_of_day", "is_night_transaction",
                          "minutes_since_last_transaction", "distance_from_usual_location_km", "amount_zscore",
-                         "is_new_beneficiary"), _pix, Spec("pix_fraud_model", "gbt")),
+                         "is_new_beneficiary"), _as_is, Spec("pix_fraud_model", "gbt")),
     "credit_card": Spoke("credit_card", ("transaction_amount", "merchant_category_encoded", "is_online_transaction",
                                          "distance_from_usual_location_km", "amount_zscore", "merchant_risk_score",
-                                         "card_present"), _card, Spec("credit_card_fraud_model", "gbt")),
+                                         "card_present"), modeling_table.with_card_rules, Spec("credit_card_fraud_model", "gbt")),
     "loan": Spoke("loan", ("loan_amount", "loan_purpose_encoded", "debt_to_income_ratio", "employment_stability_score",
-                           "collateral_value_ratio", "interest_rate"), _loan, Spec("loan_fraud_model", "mlp")),
+                           "collateral_value_ratio", "interest_rate"), modeling_table.with_loan_rules, Spec("loan_fraud_model", "mlp")),
 }
 
 
-def product_training_set(spoke: Spoke, transactions: DataFrame, labels: DataFrame, contextual: DataFrame,
-                         hub: DataFrame, as_of) -> DataFrame:
+def product_training_set(spoke: Spoke, enriched: DataFrame, labels: DataFrame, as_of) -> DataFrame:
     """Labelled transactions of a product with context, product features and hub score."""
-    rows = training.labelled_transactions(transactions, labels, as_of, spoke.product)
-    built = spoke.build(rows, contextual, transactions)
-    scored = training.attach_hub_score(rows.select("transaction_id", "customer_id", "timestamp", "is_fraud"), hub)
-    keep = ["transaction_id", *[f for f in spoke.features if f in built.columns]]
-    return scored.join(built.select(*keep), "transaction_id").fillna(0)
+    rows = spoke.build(training.labelled_transactions(enriched, labels, as_of, spoke.product))
+    return rows.select("transaction_id", "customer_id", "timestamp", "is_fraud", *spoke.inputs()).fillna(0)
 
 
-def train_spokes(transactions: DataFrame, labels: DataFrame, contextual: DataFrame, hub: DataFrame, as_of,
-                 spokes: Mapping[str, Spoke] = SPOKES, only: Sequence[str] | None = None
-                 ) -> tuple[dict[str, Trained], dict[str, str]]:
+def train_spokes(enriched: DataFrame, labels: DataFrame, as_of, spokes: Mapping[str, Spoke] = SPOKES,
+                 only: Sequence[str] | None = None) -> tuple[dict[str, Trained], dict[str, str]]:
     """Train all or some products; a failure of one is reported and does not stop the others."""
     done, failed = {}, {}
     for name in only or spokes:
         spoke = spokes[name]
         try:
-            rows = product_training_set(spoke, transactions, labels, contextual, hub, as_of)
-            parts = training.split_by_time(rows, "timestamp", "transaction_id")
+            parts = training.split_by_time(product_training_set(spoke, enriched, labels, as_of), "timestamp", "transaction_id")
             done[name] = train_model(parts.withColumnRenamed("is_fraud", "label"), spoke.inputs(), spoke.spec)
         except Exception as error:
             log.exception("training %s failed", name)
@@ -254,19 +239,15 @@ def metrics_table(spark: SparkSession, trained: Mapping[str, Trained]) -> DataFr
     return spark.createDataFrame(rows, "model string, metric string, value double")
 
 
-def spoke_scores(trained: Mapping[str, Trained], transactions: DataFrame, contextual: DataFrame, hub: DataFrame,
-                 history: DataFrame, spokes: Mapping[str, Spoke] = SPOKES) -> DataFrame:
-    """Every transaction scored by its product's model; 0.5 where there is none."""
-    parts = []
+def spoke_scores(trained: Mapping[str, Trained], enriched: DataFrame, spokes: Mapping[str, Spoke] = SPOKES) -> DataFrame:
+    """Enriched transactions with ``spoke_score`` from their product's model; 0.5 where there is none.
+
+    Products are narrow branches of one table, united again: no join back.
+    """
+    columns = enriched.columns
+    covered = F.coalesce(F.col("product_type").isin(*trained), F.lit(False)) if trained else F.lit(False)
+    out = enriched.where(~covered).withColumn("spoke_score", F.lit(DEFAULT_SCORE))
     for name, model in trained.items():
-        rows = transactions.where(F.col("product_type") == name)
-        built = spokes[name].build(rows, contextual, history)
-        keep = ["transaction_id", *[f for f in spokes[name].features if f in built.columns]]
-        ready = training.attach_hub_score(rows.select("transaction_id", "customer_id"), hub).join(
-            built.select(*keep), "transaction_id")
-        parts.append(model.score(ready, "spoke_score").select("transaction_id", "spoke_score"))
-    rest = transactions.where(~F.coalesce(F.col("product_type").isin(*trained), F.lit(False))) if trained else transactions
-    out = rest.select("transaction_id", F.lit(DEFAULT_SCORE).alias("spoke_score"))
-    for p in parts:
-        out = out.unionByName(p)
+        rows = spokes[name].build(enriched.where(F.col("product_type") == name))
+        out = out.unionByName(model.score(rows, "spoke_score").select(*columns, "spoke_score"))
     return out

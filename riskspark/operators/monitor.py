@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.quantiles import exact_percentiles
-from riskspark.functions.times import HOUR_US, MINUTE_US, as_time, hours_before, micros
-from riskspark.plans.running import running
+from riskspark.functions.times import MINUTE_US, as_time, hours_before, micros
+from riskspark.plans.fixpoint import cut
+from riskspark.plans.running import first_after, running
 
 # Windows, retention, limits, freshness in seconds.
 SUMMARY_MINUTES, RETENTION_HOURS, TIMER_VALUES = 60, 24, 1000
@@ -81,34 +81,26 @@ def threshold_alerts(values: DataFrame, rules: DataFrame) -> DataFrame:
         "severity", F.when(F.col("always_critical"), "critical").otherwise(severity)).drop("below", "always_critical")
 
 
-def _keep_after_cooldown(minutes: int):
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "alert_id"])
-        last, flags = None, []
-        for us in pdf["us"]:
-            on = last is None or us - last > minutes * MINUTE_US
-            flags.append(on)
-            last = us if on else last
-        return pdf[flags]
-    return keep
-
-
-def cooled_alerts(alerts: DataFrame, minutes: int = COOLDOWN_MINUTES) -> DataFrame:
+def cooled_alerts(alerts: DataFrame, minutes: int = COOLDOWN_MINUTES, max_rounds: int = 60) -> DataFrame:
     """First alert of a kind, then the next one more than ``minutes`` later, and so on.
 
-    After a quiet time longer than the cooldown an alert is always sent, so each
-    unbroken run of alerts is independent and is handled on its own. Only
-    the first alert per instant can be sent, so equal times are merged first.
+    Each instant points to the first one beyond its cooldown. Starting from the
+    first instant of a kind, the set of sent alerts doubles its length per round
+    while the pointers are composed with themselves, so a kind of any size is
+    spread over all tasks. Of equal instants only the first alert is sent.
     """
-    first = (alerts.withColumn("us", micros("timestamp")).groupBy("kind", "us")
-             .agg(F.min("alert_id").alias("alert_id"), F.min("timestamp").alias("timestamp")))
-    gaps = running(first, ["kind"], "timestamp", ["alert_id"], lags={"before": F.col("__us")})
-    starts = F.when(F.col("before").isNull() | (F.col("us") - F.col("before") > minutes * MINUTE_US), 1).otherwise(0)
-    runs = running(gaps.withColumn("start", starts), ["kind"], "timestamp", ["alert_id"], sums={"run": F.col("start")})
-    schema = "kind string, us long, alert_id long, run long"
-    kept = (runs.select("kind", "us", F.col("alert_id").cast("long").alias("alert_id"), F.col("run").cast("long").alias("run"))
-            .groupBy("kind", "run").applyInPandas(_keep_after_cooldown(minutes), schema))
-    return kept.select("kind", "alert_id").join(alerts, ["kind", "alert_id"])
+    first = cut(alerts.withColumn("us", micros("timestamp")).groupBy("kind", "us").agg(F.min("alert_id").alias("alert_id")))
+    jump = cut(first_after(first.select("kind", "us"), ["kind"], "us", minutes * MINUTE_US, "to").where("to IS NOT NULL"))
+    sent = cut(first.groupBy("kind").agg(F.min("us").alias("us")))
+    for _ in range(max_rounds):
+        further = cut(sent.join(jump, ["kind", "us"]).select("kind", F.col("to").alias("us"))
+                      .join(sent, ["kind", "us"], "left_anti"))
+        if further.isEmpty():
+            return first.join(sent, ["kind", "us"], "left_semi").select("kind", "alert_id").join(alerts, ["kind", "alert_id"])
+        sent = sent.unionByName(further)
+        onward = jump.select("kind", F.col("us").alias("to"), F.col("to").alias("beyond"))
+        jump = cut(jump.join(onward, ["kind", "to"]).select("kind", "us", F.col("beyond").alias("to")))
+    raise RuntimeError("alert chain did not end")
 
 
 def log_rows(df: DataFrame, event_type: str, fields: Mapping[str, Column], level: str | Column = "INFO",

@@ -145,3 +145,22 @@ def asof_sums(events: DataFrame, probes: DataFrame, keys: Sequence[str], *,
         *[(F.coalesce(F.col("__l_" + n), F.lit(0)) + F.coalesce(F.col("__p_" + n), F.lit(0))).alias(n)
           for n in sums],
     )
+
+
+def first_after(rows: DataFrame, keys: Sequence[str], us: str, delta_us: int, out: str,
+                bucket_us: int = HOUR_US) -> DataFrame:
+    """Per row: the smallest time of its key more than ``delta_us`` later (null if none)."""
+    events = rows.select(*keys, F.col(us).alias(_US), F.lit(0).alias("__probe"), F.col(us).alias("__seen"),
+                         F.lit(None).cast("bigint").alias("__from"))
+    probes = rows.select(*keys, (F.col(us) + delta_us).alias(_US), F.lit(1).alias("__probe"),
+                         F.lit(None).cast("bigint").alias("__seen"), F.col(us).alias("__from"))
+    both = events.unionByName(probes).withColumn(_BUCKET, F.floor(F.col(_US) / F.lit(bucket_us)).cast("bigint"))
+    # Backwards in time, a probe before the events at its own instant.
+    later = (Window.partitionBy(*keys, _BUCKET).orderBy(F.desc(_US), F.desc("__probe"))
+             .rowsBetween(Window.unboundedPreceding, -1))
+    local = both.withColumn("__near", F.min("__seen").over(later)).where("__probe = 1")
+    starts = both.groupBy(*keys, _BUCKET).agg(F.min("__seen").alias("__start"))
+    beyond = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(1, Window.unboundedFollowing)
+    starts = starts.select(*keys, _BUCKET, F.first("__start", ignorenulls=True).over(beyond).alias("__next"))
+    return local.join(starts, [*keys, _BUCKET]).select(
+        *keys, F.col("__from").alias(us), F.coalesce("__near", "__next").alias(out))

@@ -103,7 +103,7 @@ def test_save_load_and_failure_isolation(spark, fitted, tmp_path):
     models.save(m, str(tmp_path / "m"), "7", spark)
     again = models.load(spark, str(tmp_path / "m"))
     assert again.features == m.features and again.metrics["test_auc"] == pytest.approx(m.metrics["test_auc"])
-    done, failed = models.train_spokes(df, df, df, df, "2024-01-01", only=["pix"])
+    done, failed = models.train_spokes(df, df, "2024-01-01", only=["pix"])
     assert not done and "pix" in failed
 
 
