@@ -178,8 +178,8 @@ UNION ALL SELECT c_custkey, 'credit_score_external', 310 + c_custkey * 29 % 541
     "demo": """
 SELECT c_custkey AS customer_id, 18 + c_custkey * 13 % 63 AS age, c_acctbal * 12 + 20000 AS income,
   300 + c_custkey * 53 % 551 AS credit_score, 1 + c_custkey * 11 % 3000 AS account_age_days,
-  CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END AS is_pep,
-  CASE WHEN c_nationkey % 6 = 0 THEN 1 ELSE 0 END AS high_risk_location FROM customer""",
+  CAST(CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END AS BIGINT) AS is_pep,
+  CAST(CASE WHEN c_nationkey % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) AS high_risk_location FROM customer""",
     "mp": """
 SELECT event_id AS point_id, event_type AS name, ts AS timestamp, value,
   ['mobile_app','web_browser','atm','pos'][event_id % 4 + 1] AS channel FROM events""",

@@ -225,8 +225,8 @@ def customer_history(t):
 
 
 @query("modeling_table", f"""
-SELECT transaction_id, customer_id, round(amount, 4) AS transaction_amount, hour(timestamp) AS hour_of_day,
-  isodow(timestamp) - 1 AS day_of_week, (isodow(timestamp) >= 6)::INT AS is_weekend,
+SELECT transaction_id, customer_id, round(amount, 4) AS transaction_amount, CAST(hour(timestamp) AS INTEGER) AS hour_of_day,
+  CAST(isodow(timestamp) - 1 AS INTEGER) AS day_of_week, (isodow(timestamp) >= 6)::INT AS is_weekend,
   (hour(timestamp) >= 22 OR hour(timestamp) <= 6)::INT AS is_night_transaction,
   {PROD_RISK} AS product_type_risk, {DEV_RISK} AS device_risk_score, age, round(income, 4) AS income, credit_score,
   account_age_days, is_pep, high_risk_location, round(avg_transaction_amount, 4) AS avg_transaction_amount, transaction_frequency,

@@ -105,7 +105,7 @@ FROM o FULL JOIN i ON o.customer_id = i.customer_id"""
 FLAGS = """
 SELECT transaction_id, customer_id, round(amount, 4) AS transaction_amount,
   (amount % 1 = 0)::INT AS is_round_amount, (isodow(timestamp) >= 6)::INT AS is_weekend,
-  hour(timestamp) AS hour_of_day, (hour(timestamp) < 6 OR hour(timestamp) > 22)::INT AS is_night_transaction,
+  CAST(hour(timestamp) AS INTEGER) AS hour_of_day, (hour(timestamp) < 6 OR hour(timestamp) > 22)::INT AS is_night_transaction,
   (channel = 'mobile_app')::INT AS is_mobile_channel, (channel = 'web_browser')::INT AS is_web_channel,
   (channel = 'atm')::INT AS is_atm_channel FROM tx"""
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.functions.quantiles import value_bucket
+
 # The reported thresholds.
 THRESHOLDS = (0.1, 0.2, 0.3, 0.5, 0.7, 0.8, 0.9)
 
@@ -32,16 +34,15 @@ def threshold_metrics(scores: DataFrame, score: str = "score", label: str = "lab
                        _ratio(2 * precision * recall, precision + recall).alias("f1"))
 
 
-def curve_points(scores: DataFrame, score: str = "score", label: str = "label",
-                 slices: int = 256) -> DataFrame:
+def curve_points(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """ROC and precision-recall point at every distinct score, highest first.
 
-    Scores lie in [0, 1]; running counts are taken inside score slices and the
-    slice totals are added, so no task sees all distinct scores.
+    Running counts are taken inside narrow value slices and the slice totals are
+    added, so no task sees all distinct scores.
     """
     counts = (scores.groupBy(F.col(score).cast("double").alias("threshold"))
               .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-              .withColumn("__slice", F.floor(F.col("threshold") * slices).cast("int")))
+              .withColumn("__slice", value_bucket(F.col("threshold"))))
     inside = (Window.partitionBy("__slice").orderBy(F.desc("threshold"))
               .rowsBetween(Window.unboundedPreceding, 0))
     above = Window.orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)

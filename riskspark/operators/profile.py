@@ -45,7 +45,7 @@ def income_code(bracket: Column) -> Column:
     code = F.lit(0)
     for name, value in INCOME_CODES.items():
         code = F.when(bracket == name, F.lit(value)).otherwise(code)
-    return code.cast("bigint")
+    return code.cast("int")
 
 
 def kyc_score() -> Column:
