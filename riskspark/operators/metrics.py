@@ -34,37 +34,39 @@ def threshold_metrics(scores: DataFrame, score: str = "score", label: str = "lab
                        _ratio(2 * precision * recall, precision + recall).alias("f1"))
 
 
-def curve_points(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """ROC and precision-recall point at every distinct score, highest first.
+def curve_points(scores: DataFrame, score: str = "score", label: str = "label",
+                 by: Sequence[str] = ()) -> DataFrame:
+    """ROC and precision-recall point at every distinct score (of each group), highest first.
 
     Running counts are taken inside narrow value slices and the slice totals are
     added, so no task sees all distinct scores.
     """
-    counts = (scores.groupBy(F.col(score).cast("double").alias("threshold"))
+    counts = (scores.groupBy(*by, F.col(score).cast("double").alias("threshold"))
               .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
               .withColumn("__slice", value_bucket(F.col("threshold"))))
-    inside = (Window.partitionBy("__slice").orderBy(F.desc("threshold"))
+    inside = (Window.partitionBy(*by, "__slice").orderBy(F.desc("threshold"))
               .rowsBetween(Window.unboundedPreceding, 0))
-    above = Window.orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    slices_df = counts.groupBy("__slice").agg(F.sum("pos").alias("sp"), F.sum("neg").alias("sn")).select(
-        "__slice", F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("bp"),
+    whole = Window.partitionBy(*by)
+    above = whole.orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+    slices_df = counts.groupBy(*by, "__slice").agg(F.sum("pos").alias("sp"), F.sum("neg").alias("sn")).select(
+        *by, "__slice", F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("bp"),
         F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("bn"),
         F.sum("sp").over(whole).alias("all_pos"), F.sum("sn").over(whole).alias("all_neg"))
     cum = counts.select("*", F.sum("pos").over(inside).alias("lp"), F.sum("neg").over(inside).alias("ln")) \
-        .join(slices_df, "__slice")
+        .join(slices_df, [*by, "__slice"])
     tp, fp = F.col("lp") + F.col("bp"), F.col("ln") + F.col("bn")
-    return cum.select("threshold", tp.alias("tp"), fp.alias("fp"), "pos", "neg", "all_pos", "all_neg",
+    return cum.select(*by, "threshold", tp.alias("tp"), fp.alias("fp"), "pos", "neg", "all_pos", "all_neg",
                       _ratio(tp, F.col("all_pos")).alias("tpr"), _ratio(fp, F.col("all_neg")).alias("fpr"),
                       _ratio(tp, tp + fp).alias("precision"))
 
 
-def auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Exact area under the ROC curve (ties count half) and the class counts."""
-    points = curve_points(scores, score, label)
+def auc(scores: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """Exact area under the ROC curve (ties count half) and the class counts, per group if asked."""
+    points = curve_points(scores, score, label, by)
     # A negative is beaten by the positives above its score and half of those at it.
     wins = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2))
-    return points.agg((wins / (F.first("all_pos") * F.first("all_neg"))).alias("auc"),
+    pairs = F.first("all_pos") * F.first("all_neg")
+    return points.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("auc"),
                       F.first("all_pos").alias("positives"), F.first("all_neg").alias("negatives"))
 
 

@@ -86,12 +86,14 @@ def train_model(rows: DataFrame, features: Sequence[str], spec: Spec) -> Trained
     rows = cut(rows.fillna(0).withColumn("label", F.col("label").cast("double")))
     model = fit(rows, features, spec)
     out = Trained(spec, list(features), model, {})
-    scored = cut(out.score(rows).select("part", "label", "score"))
+    scored = out.score(rows).select("part", "label", "score")
+    # One row per part.
+    found = {r["part"]: r for r in metrics.auc(scored, by=["part"]).collect()}
     for part in ("train", "validation", "test"):
-        row = metrics.auc(scored.where(F.col("part") == part)).first()
-        out.metrics[f"{part}_auc"] = row["auc"]
+        out.metrics[f"{part}_auc"] = found[part]["auc"] if part in found else None
     out.metrics["feature_count"] = len(out.features)
-    out.metrics["training_samples"] = scored.where("part = 'train'").count()
+    train = found.get("train")
+    out.metrics["training_samples"] = train["positives"] + train["negatives"] if train else 0
     return out
 
 
