@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import line_dedup, mixing, sharding
+from riskspark.llm import line_dedup, mixing, near_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+SHINGLES_SQL = fr"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS s FROM docs),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON a = x.r JOIN sizes y ON b = y.r WHERE 100 * both >= 75 * (x.n + y.n - both)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r AS a, r AS b FROM docs UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+least AS (SELECT a AS r, min(d.doc_id) AS component_id FROM reach JOIN docs d ON reach.b = d.r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM docs LEFT JOIN sizes USING (r) JOIN least USING (r)
+"""
+
+
+@query(SHINGLES_SQL)
+def op1_near_dedup(spark, sf_dir):
+    """Near-duplicate components over five-word shingles at a similarity of 0.75."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 MIX_SQL = """
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 shares AS (SELECT source, n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k, count(*) OVER () AS m,
