@@ -34,8 +34,8 @@ WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id,
 shingles AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
     ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS s FROM docs),
 sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
-common AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
-links AS (SELECT a, b FROM common JOIN sizes x ON a = x.r JOIN sizes y ON b = y.r WHERE 100 * both >= 75 * (x.n + y.n - both)),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON a = x.r JOIN sizes y ON b = y.r WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT r AS a, r AS b FROM docs UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
 least AS (SELECT a AS r, min(d.doc_id) AS component_id FROM reach JOIN docs d ON reach.b = d.r GROUP BY a)
