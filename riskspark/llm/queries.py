@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import line_dedup, mixing, near_dedup, sharding
+from riskspark.llm import decontamination, line_dedup, mixing, near_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,30 @@ FROM leaves
 def op5_shard(spark, sf_dir):
     """Every document's shard: at most 64 MiB of text each."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 64 << 20)
+
+
+BENCHMARK_SQL = fr"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, size, w[i:i + size - 1] AS win FROM
+    (SELECT item_id, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+spots AS (SELECT r, size, i, w[i:i + size - 1] AS win FROM
+    (SELECT r, w, size, unnest(range(1, greatest(len(w) - size, -1) + 2)) AS i FROM docs, sizes)),
+hits AS (SELECT r, i, s.size, item_id FROM spots s JOIN windows v ON s.size = v.size AND s.win = v.win),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""
+
+
+@query(BENCHMARK_SQL)
+def op9_decontaminate(spark, sf_dir):
+    """Words of every document inside windows of 13 words of the benchmark."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.digest(found)
