@@ -47,6 +47,8 @@ M, R = 128, 4
 BANDS = M // R
 LOG_B = np.log(1.001)
 CUT = 12.5
+#: A row is named by two hashes of its id and text.
+KEY = ["__k1", "__k2"]
 
 
 def sketch(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -125,9 +127,9 @@ def _sketches(width: int):
                 rows = batch.slice(first, len(n))
                 first += len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(n.astype(np.int64)), _int64(node),
+                    [rows.column(0), rows.column(1), rows.column(2), pa.array(n.astype(np.int64)), _int64(node),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))],
-                    ["doc_id", "t", "n_shingles", "node", "bands"])
+                    ["doc_id", *KEY, "n_shingles", "node", "bands"])
     return run
 
 
@@ -204,17 +206,34 @@ def _block_links(width: int, percent: int):
     return run
 
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.withColumns({KEY[0]: F.xxhash64("doc_id", "text"), KEY[1]: F.xxhash64(F.lit(7), "text", "doc_id")})
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, block: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``documents``.
 
     ``kept`` marks the row that bears the smallest id of its component.
     """
-    docs = documents.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    rows = components(documents, width, percent, block)
+    component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "n_shingles", component_id.alias("component_id"),
+                       F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+
+
+def components(documents: DataFrame, width: int = 5, percent: int = 75, block: int = 512) -> DataFrame:
+    """(doc_id, key columns, n_shingles, component, component_id), one row per row of ``documents``.
+
+    ``component`` is a label of the component, null for rows without words;
+    ``component_id`` its smallest id.
+    """
+    docs = _keyed(documents.select("doc_id", "text")).select("doc_id", *KEY, "text")
     id_type = dict(docs.dtypes)["doc_id"]
     rows = stored(docs.mapInArrow(
-        _sketches(width), f"doc_id {id_type}, t bigint, n_shingles bigint, node bigint, bands array<bigint>"), "sketches")
+        _sketches(width), f"doc_id {id_type}, {KEY[0]} bigint, {KEY[1]} bigint, n_shingles bigint, node bigint, bands array<bigint>"),
+        "sketches")
     classes = stored(rows.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "t")).alias("row"),
+        F.min("doc_id").alias("least"), F.min(F.struct(*KEY)).alias("row"),
         F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
     bands = classes.select("node", F.posexplode("bands").alias("pos", "value")).where("value <> 0")
@@ -223,10 +242,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, blo
 
     def texts(nodes: DataFrame) -> DataFrame:
         """(node, n, bands, text) of the given classes, each by one row that has the set."""
-        wanted = (classes.join(nodes.distinct(), "node", "left_semi")
-                  .select("node", "n", "bands", F.col("row.doc_id").alias("id"), F.col("row.t").alias("t")))
-        found = wanted.join(docs.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "text"),
-                            F.col("id").eqNullSafe(F.col("d")) & F.col("t").eqNullSafe(F.col("u")))
+        wanted = classes.join(nodes.distinct(), "node", "left_semi").select("node", "n", "bands", "row.*")
+        found = wanted.join(docs.select(*KEY, "text"), KEY)
         return found.dropDuplicates(["node"]).select("node", "n", "bands", "text")
 
     side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bands").alias(f"r_{s}"))
@@ -254,11 +271,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75, blo
     component = _components(links)
     labelled = classes.select("node", "least").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "component").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+    named = labelled.join(least, "component").select("node", "component", "component_id")
+    return rows.select("doc_id", *KEY, "n_shingles", "node").join(named, "node", "left").drop("node")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -275,3 +289,17 @@ def _meeting(met: DataFrame, components: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"))
         .where("low < high").groupBy("n", "x", "y").agg(F.min(F.struct("pos", "value")).alias("b")).select("b.*"))
     return labelled.join(buckets, ["pos", "value"], "left_semi")
+
+
+def drop_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """One row of each component, all columns unchanged.
+
+    It is the row with the smallest id, of rows with that id the one with the
+    smallest hash. Rows without words stay. A component of null ids keeps
+    one row too; rows equal in id and text count as one.
+    """
+    rows = components(documents, width, percent)
+    first = rows.where("n_shingles > 0").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("row")).select("row.*").select(*KEY)
+    stay = first.union(rows.where("n_shingles = 0").select(*KEY))
+    return _keyed(documents).join(stay, KEY, "left_semi").dropDuplicates(KEY).select(*documents.columns)

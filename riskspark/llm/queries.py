@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import decontamination, line_dedup, mixing, near_dedup, sharding
+from riskspark.llm import decontamination, line_dedup, mixing, near_dedup, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,12 @@ def op1_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_toxicity(spark, sf_dir):
+    """A toxicity score for every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 MIX_SQL = """
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 shares AS (SELECT source, n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k, count(*) OVER () AS m,
