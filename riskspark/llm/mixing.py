@@ -46,6 +46,10 @@ aggregate(sequence(0, period - 1),
   acc -> acc.slots)"""
 
 
+def _tag(name: str | None) -> str:
+    return "0" if name is None else f"1{name}"
+
+
 def period_weights(sizes: DataFrame, alpha: float = 0.7, resolution: int = 1000, weights: dict | None = None) -> DataFrame:
     """One row (period, sources): an array of (name, n, w), the weights adding up to the period.
 
@@ -55,9 +59,9 @@ def period_weights(sizes: DataFrame, alpha: float = 0.7, resolution: int = 1000,
     """
     share = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
     if weights is not None:
-        named = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
+        named = F.create_map(*[x for k, v in weights.items() for x in (F.lit(_tag(k)), F.lit(float(v)))])
         share = F.coalesce(named[F.col(S)], F.lit(0.0))
-    listed = sizes.select(F.struct((F.col(S).isNotNull()).alias("has"), F.col(S).alias("name"), "n", share.alias("share")).alias("s"))
+    listed = sizes.select(F.struct(F.col(S).alias("name"), "n", share.alias("share")).alias("s"))
     one = listed.agg(F.sort_array(F.collect_list("s")).alias("s")).where(F.size("s") > 0)
     one = one.select("s", F.greatest(F.lit(resolution), 4 * F.size("s")).cast("long").alias("period"),
                      F.expr("aggregate(s, 0D, (a, x) -> a + x.share)").alias("total"))
@@ -91,30 +95,32 @@ def _placed(rows: DataFrame, sizes_of: DataFrame, alpha: float, resolution: int,
     """``rows`` with their positions: __source, __order (hash order) and anything else are kept."""
     counts = stored(sizes_of.groupBy(S, AT).agg(F.count(F.lit(1)).alias("m")), "buckets")
     before = Window.partitionBy(S).orderBy(AT).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(S).alias("o_s"), F.col(AT).alias("o_b"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("o_n"))
+    offsets = counts.select(S, AT, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("__before"))
     plan = schedule(counts.groupBy(S).agg(F.sum("m").alias("n")), alpha, resolution, weights)
     inside = Window.partitionBy(S, AT).orderBy("__order")
     ranked = rows.withColumn(RANK, F.row_number().over(inside) - 1)
-    ranked = ranked.join(offsets, F.col(S).eqNullSafe(F.col("o_s")) & (F.col(AT) == F.col("o_b")))
-    ranked = ranked.withColumn(RANK, F.col(RANK) + F.col("o_n")).drop("o_s", "o_b", "o_n")
-    plan = plan.select(F.col(S).alias("p_s"), F.struct("n", "w", "period", "slots", "blocks").alias("p"))
-    out = ranked.join(plan, F.col(S).eqNullSafe(F.col("p_s"))).withColumn(
-        EPOCH, F.explode(F.expr(f"sequence(0L, (p.blocks - 1 - {RANK}) div p.n)")))
-    i = f"({RANK} + {EPOCH} * p.n)"
-    return out.withColumn(POSITION, F.expr(f"({i} div p.w) * p.period + p.slots[cast({i} % p.w as int)]")).drop("p", "p_s", RANK)
+    # The rows lie by (source, bucket) already, so a merge join moves the small side alone.
+    ranked = ranked.join(offsets.hint("merge"), [S, AT]).withColumn(RANK, F.col(RANK) + F.col("__before")).drop("__before")
+    plan = plan.select(S, F.struct("n", "w", "period", "slots", "blocks").alias("__plan"))
+    out = ranked.join(plan, S).withColumn(
+        EPOCH, F.explode(F.expr(f"sequence(0L, (__plan.blocks - 1 - {RANK}) div __plan.n)")))
+    i = f"({RANK} + {EPOCH} * __plan.n)"
+    return out.withColumn(POSITION, F.expr(
+        f"({i} div __plan.w) * __plan.period + __plan.slots[cast({i} % __plan.w as int)]"))
 
 
 def _ordered(documents: DataFrame) -> DataFrame:
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    name = F.coalesce(F.concat(F.lit("1"), F.col("source").cast("string")), F.lit("0"))
     return (documents.withColumn("__order", F.struct(digest.alias("d"), F.xxhash64("text").alias("t")))
-            .withColumn(AT, F.substring(digest, 1, 3)))
+            .withColumn(AT, F.substring(digest, 1, 3)).withColumn(S, name))
 
 
 def mix(documents: DataFrame, alpha: float = 0.7, resolution: int = 1000, weights: dict | None = None) -> DataFrame:
     """(doc_id, source, epoch, position): the order of the mixed corpus, one row per placed document."""
-    rows = _ordered(documents.select("doc_id", F.col("source").alias(S), "text")).drop("text")
-    return _placed(rows, rows, alpha, resolution, weights).select(
-        "doc_id", F.col(S).alias("source"), F.col(EPOCH).alias("epoch"), F.col(POSITION).alias("position"))
+    rows = _ordered(documents.select("doc_id", "source", "text")).drop("text")
+    return _placed(rows, rows.select(S, AT), alpha, resolution, weights).select(
+        "doc_id", "source", F.col(EPOCH).alias("epoch"), F.col(POSITION).alias("position"))
 
 
 def interleave(documents: DataFrame, alpha: float = 0.7, resolution: int = 1000, weights: dict | None = None,
@@ -122,7 +128,7 @@ def interleave(documents: DataFrame, alpha: float = 0.7, resolution: int = 1000,
     """The mixed corpus itself with all columns of ``documents``, each part a
     consecutive stretch of the mix in its order."""
     names = documents.columns
-    rows = _ordered(documents.withColumn(S, F.col("source")))
+    rows = _ordered(documents)
     placed = _placed(rows, rows.select(S, AT), alpha, resolution, weights)
     return (placed.withColumn("__part", (F.col(POSITION) / rows_per_part).cast("int"))
             .repartition("__part").sortWithinPartitions(POSITION).select(*names))
