@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import decontamination, line_dedup, mixing, near_dedup, sharding, topk, toxicity, url_filter
+from riskspark.llm import decontamination, licenses, line_dedup, mixing, near_dedup, secret_scan, sharding, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -200,3 +200,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 def op10_top_k(spark, sf_dir):
     """The 20 best inner products of every twentieth vector with all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op6_secrets(spark, sf_dir):
+    """Secrets of every document, weak ones where their complements stand close by."""
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op7_licenses(spark, sf_dir):
+    """Licence labels of every document."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
