@@ -64,7 +64,9 @@ JOIN (SELECT DISTINCT customer_id, device_id FROM tx WHERE device_id IS NOT NULL
 
 @query("device_sharing_graph", DEVICE_PAIRS, "tx")
 def device_sharing_graph(t):
-    pairs, _ = graph.device_graph(t.transactions())
+    """Pairs for the customers of the bank, here all of them."""
+    tx = t.transactions()
+    pairs = graph.device_pairs(graph.device_members(tx), t.customers())
     return pairs.withColumn("device_ids", F.array_join("device_ids", ","))
 
 
@@ -72,9 +74,16 @@ def device_sharing_graph(t):
 SELECT device_id, customer_id, n AS device_users FROM (SELECT DISTINCT device_id, customer_id FROM tx WHERE device_id IS NOT NULL)
 JOIN (SELECT device_id, count(DISTINCT customer_id) AS n FROM tx WHERE device_id IS NOT NULL GROUP BY 1) USING (device_id) WHERE n > 4""", "tx")
 def device_sharing_hubs(t):
-    """Member lists of busy devices, here those above four users."""
-    _, hubs = graph.device_graph(t.transactions(), busy_device=4)
-    return hubs
+    """The device graph, asked for devices above four users."""
+    return graph.device_members(t.transactions()).where("device_users > 4")
+
+
+@query("device_memberships", """
+SELECT device_id, customer_id, n AS device_users FROM (SELECT DISTINCT device_id, customer_id FROM tx WHERE device_id IS NOT NULL)
+JOIN (SELECT device_id, count(DISTINCT customer_id) AS n FROM tx WHERE device_id IS NOT NULL GROUP BY 1) USING (device_id) WHERE n > 1""", "tx")
+def device_memberships(t):
+    """The whole device graph as its two-sided table."""
+    return graph.device_members(t.transactions())
 
 
 @query("device_fingerprints", """
@@ -85,9 +94,11 @@ def device_fingerprints(t):
 
 
 @query("customer_relationships", f"""
-SELECT src, dst, 'transfer' AS relationship_type, transaction_count AS strength, round(total_amount, 4) AS total_amount,
+SELECT src, dst, NULL AS device_id, 'transfer' AS relationship_type, transaction_count AS strength, round(total_amount, 4) AS total_amount,
   first_transaction, last_transaction FROM ({EDGES}) WHERE src <> dst
-UNION ALL SELECT src, dst, 'shared_device', shared_devices, 0, NULL, NULL FROM ({DEVICE_PAIRS})""", "tx")
+UNION ALL SELECT customer_id, NULL, device_id, 'shared_device', n - 1, 0, min(timestamp), max(timestamp)
+FROM tx JOIN (SELECT device_id, count(DISTINCT customer_id) AS n FROM tx WHERE device_id IS NOT NULL GROUP BY 1) USING (device_id)
+WHERE n > 1 GROUP BY device_id, customer_id, n""", "tx")
 def customer_relationships(t):
     return rounded(graph.relationships(t.transactions()))
 

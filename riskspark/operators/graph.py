@@ -61,35 +61,28 @@ def node_attributes(transactions: DataFrame) -> DataFrame:
 
 
 def device_members(transactions: DataFrame) -> DataFrame:
-    """Distinct (device, customer) pairs of devices used by more than one customer."""
+    """The device graph: (device_id, customer_id, device_users) of every device with more
+    than one customer.
+
+    Two customers share a device when both are its members. This form is
+    complete and linear at every size; pairs are made for chosen customers only.
+    """
     pairs = transactions.where("device_id IS NOT NULL").select("device_id", "customer_id").distinct()
     users = pairs.groupBy("device_id").agg(F.count(F.lit(1)).alias("device_users")).where("device_users > 1")
     return pairs.join(users, "device_id")
 
 
-def device_graph(transactions: DataFrame, busy_device: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Device-sharing graph as (pair edges, memberships of busy devices).
+def device_pairs(members: DataFrame, ids: DataFrame) -> DataFrame:
+    """All pairs (src < dst) with a shared device in which a customer of ``ids`` takes part.
 
-    Pairs are listed through devices of at most ``busy_device`` users, with
-    their exact number of shared devices including busy ones. A busy device is
-    returned as its member list: every two of its members are neighbours, which
-    says the same in linear instead of quadratic space.
+    The work is the number of co-users of the customers asked for.
     """
-    members = device_members(transactions)
-    busy = members.where(F.col("device_users") > busy_device)
-    quiet = members.where(F.col("device_users") <= busy_device).select("device_id", "customer_id")
-    pairs = (quiet.select("device_id", F.col("customer_id").alias("src"))
-             .join(quiet.select("device_id", F.col("customer_id").alias("dst")), "device_id").where("src < dst")
-             .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("quiet_n"),
-                                        F.array_sort(F.collect_list("device_id")).alias("quiet_ids")))
-    sets = busy.groupBy(F.col("customer_id").alias("id")).agg(F.collect_list("device_id").alias("busy"))
-    empty = F.array().cast("array<string>")
-    full = (pairs.join(sets.select(F.col("id").alias("src"), F.col("busy").alias("a")), "src", "left")
-            .join(sets.select(F.col("id").alias("dst"), F.col("busy").alias("b")), "dst", "left")
-            .withColumn("common", F.array_intersect(F.coalesce("a", empty), F.coalesce("b", empty))))
-    edges = full.select("src", "dst", (F.col("quiet_n") + F.size("common")).cast("bigint").alias("shared_devices"),
-                        F.array_sort(F.concat("quiet_ids", "common")).alias("device_ids"))
-    return edges, busy.select("device_id", "customer_id", "device_users")
+    asked = ids.select("customer_id").distinct()
+    own = members.join(asked, "customer_id", "left_semi").select("device_id", F.col("customer_id").alias("a"))
+    met = own.join(members.select("device_id", F.col("customer_id").alias("b")), "device_id").where("a <> b")
+    return (met.select("device_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+            .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared_devices"),
+                                       F.array_sort(F.collect_list("device_id")).alias("device_ids")))
 
 
 def device_fingerprints(transactions: DataFrame) -> DataFrame:
@@ -102,15 +95,22 @@ def device_fingerprints(transactions: DataFrame) -> DataFrame:
 
 
 def relationships(transactions: DataFrame) -> DataFrame:
-    """Typed customer relationships: money transfers and shared devices."""
+    """Typed relationships: money transfers between customers, and customers on shared devices.
+
+    A shared device is a row per member (``dst`` null, ``strength`` the number of
+    other members), so the table is complete and linear; ``device_pairs`` lists
+    the partners of chosen customers.
+    """
     money = transaction_graph(transactions).where("src <> dst").select(
-        "src", "dst", F.lit("transfer").alias("relationship_type"), F.col("transaction_count").alias("strength"),
-        "total_amount", "first_transaction", "last_transaction")
-    devices, _ = device_graph(transactions)
-    empty_time = F.lit(None).cast(transactions.schema["timestamp"].dataType)
-    shared = devices.select(
-        "src", "dst", F.lit("shared_device").alias("relationship_type"), F.col("shared_devices").alias("strength"),
-        F.lit(0.0).alias("total_amount"), empty_time.alias("first_transaction"), empty_time.alias("last_transaction"))
+        "src", "dst", F.lit(None).cast("string").alias("device_id"), F.lit("transfer").alias("relationship_type"),
+        F.col("transaction_count").alias("strength"), "total_amount", "first_transaction", "last_transaction")
+    used = transactions.where("device_id IS NOT NULL").groupBy("device_id", F.col("customer_id").alias("src")).agg(
+        F.min("timestamp").alias("first_transaction"), F.max("timestamp").alias("last_transaction"))
+    users = used.groupBy("device_id").agg((F.count(F.lit(1)) - 1).alias("strength")).where("strength > 0")
+    shared = used.join(users, "device_id").select(
+        "src", F.lit(None).cast(transactions.schema["customer_id"].dataType).alias("dst"), "device_id",
+        F.lit("shared_device").alias("relationship_type"), "strength", F.lit(0.0).alias("total_amount"),
+        "first_transaction", "last_transaction")
     return money.unionByName(shared)
 
 
@@ -162,7 +162,7 @@ def triangles(edges: DataFrame) -> DataFrame:
         F.when(possible > 0, F.coalesce("t", F.lit(0)) / possible).otherwise(0.0).alias("clustering_coefficient"))
 
 
-def core_numbers(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def core_numbers(edges: DataFrame) -> DataFrame:
     """Core number by repeated h-index of the neighbours' values, from the degree down.
 
     Neighbour values are counted per (node, value) before they are ranked, so a
@@ -183,7 +183,7 @@ def core_numbers(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
                 .groupBy(F.col("src").alias("id"), F.col("core_number").alias("old")).agg(F.max("reach").alias("core_number"))
                 .select("id", "core_number", (F.col("core_number") != F.col("old")).alias("changed")))
 
-    return iterate(start, step, "changed", max_rounds)
+    return iterate(start, step, "changed")
 
 
 def neighbour_means(edges: DataFrame, features: DataFrame, columns: Sequence[str], hops: int = 2) -> DataFrame:
@@ -208,26 +208,30 @@ def choose_pivots(nodes: DataFrame, k: int | None, seed: int = 42) -> DataFrame:
     return nodes.select("id").orderBy(key, "id").limit(k)
 
 
-def _levels(links: DataFrame, pivots: DataFrame, max_depth: int) -> list[DataFrame]:
-    """Breadth-first levels (pivot, id, sigma) with the number of shortest paths."""
+def _levels(links: DataFrame, pivots: DataFrame) -> list[DataFrame]:
+    """Breadth-first levels (pivot, id, sigma) with the number of shortest paths.
+
+    Edges are undirected, so what a level reaches lies in it, in the level before
+    or in the next one: only these two need to be taken out.
+    """
     level = cut(pivots.select(F.col("id").alias("pivot"), "id", F.lit(1.0).alias("sigma")))
-    levels, seen = [level], level.select("pivot", "id")
-    for _ in range(max_depth):
+    levels = [level]
+    while True:
         step = (level.join(links.withColumnRenamed("src", "id"), "id")
                 .groupBy("pivot", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma")))
-        level = cut(step.join(seen, ["pivot", "id"], "left_anti"))
+        for seen in levels[-2:]:
+            step = step.join(seen.select("pivot", "id"), ["pivot", "id"], "left_anti")
+        level = cut(step)
         if level.isEmpty():
             return levels
         levels.append(level)
-        seen = seen.unionByName(level.select("pivot", "id"))
-    raise RuntimeError(f"graph deeper than {max_depth} levels")
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, k: int | None = PIVOTS, max_depth: int = 100) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, k: int | None = PIVOTS) -> DataFrame:
     """Normalised betweenness from k pivots (``None``: all nodes, exact)."""
     links = cut(both_ways(simple_edges(edges)))
     pivots = cut(choose_pivots(nodes, k))
-    levels = _levels(links, pivots, max_depth)
+    levels = _levels(links, pivots)
     zero = F.lit(0.0)
     deeper = levels[-1].withColumn("delta", zero)
     parts = []
@@ -251,7 +255,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, k: int | None = PIVOTS, max_
         "id", (F.coalesce("s", zero) * scale).alias("betweenness_centrality"))
 
 
-def closeness(edges: DataFrame, nodes: DataFrame, method: str = "sketch", max_depth: int = 100) -> DataFrame:
+def closeness(edges: DataFrame, nodes: DataFrame, method: str = "sketch") -> DataFrame:
     """Closeness, scaled by the share of reachable nodes.
 
     ``exact`` searches from every node and needs a row per reachable pair: for
@@ -260,21 +264,21 @@ def closeness(edges: DataFrame, nodes: DataFrame, method: str = "sketch", max_de
     """
     links = cut(both_ways(simple_edges(edges)))
     if method == "exact":
-        levels = _levels(links, nodes, max_depth)
+        levels = _levels(links, nodes)
         reach = None
         for depth, level in enumerate(levels):
             part = level.select(F.col("pivot").alias("id"), F.lit(depth).cast("double").alias("d"))
             reach = part if reach is None else reach.unionByName(part)
         sums = reach.groupBy("id").agg((F.count(F.lit(1)) - 1).cast("double").alias("r"), F.sum("d").alias("total"))
     else:
-        sums = _sketched_distances(links, nodes, max_depth)
+        sums = _sketched_distances(links, nodes)
     n = nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
     r, total = F.coalesce("r", F.lit(0.0)), F.coalesce("total", F.lit(0.0))
     return nodes.join(sums, "id", "left").select(
         "id", F.when(total > 0, r / total * r / (n - 1)).otherwise(0.0).alias("closeness_centrality"))
 
 
-def _sketched_distances(links: DataFrame, nodes: DataFrame, max_depth: int) -> DataFrame:
+def _sketched_distances(links: DataFrame, nodes: DataFrame) -> DataFrame:
     own = nodes.groupBy("id").agg(F.hll_sketch_agg(F.col("id").cast("string"), 14).alias("sketch"))
     state = cut(own.select("id", "sketch", F.lit(1.0).alias("seen"), F.lit(0.0).alias("total"), F.lit(0.0).alias("d")))
 
@@ -288,7 +292,7 @@ def _sketched_distances(links: DataFrame, nodes: DataFrame, max_depth: int) -> D
             (F.col("total") + d * F.greatest(F.col("now") - F.col("seen"), F.lit(0.0))).alias("total"), d.alias("d"),
             (F.col("now") > F.col("seen")).alias("changed"))
 
-    done = iterate(state, step, "changed", max_depth)
+    done = iterate(state, step, "changed")
     return done.select("id", (F.col("seen") - 1).alias("r"), "total")
 
 
@@ -326,11 +330,12 @@ def _parity(id_column: str, round_number: int) -> Column:
     return F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit(round_number // 2)), F.lit(2)) == round_number % 2
 
 
-def label_propagation(edges: DataFrame, nodes: DataFrame, max_rounds: int = 20) -> DataFrame:
+def label_propagation(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each node takes the most frequent label around it; it keeps its own on a tie.
 
-    Half of the nodes (by hash) move at a time, which stops neighbours from
-    swapping labels for ever. Ties between other labels go to the smallest.
+    Half of the nodes (by a hash that differs from round to round) move at a time,
+    which stops neighbours from swapping labels for ever. Ties between other
+    labels go to the smallest. It ends when neither half has a move.
     """
     links = cut(both_ways(simple_edges(edges)))
     state = cut(nodes.select("id", F.col("id").alias("community")))
@@ -346,13 +351,13 @@ def label_propagation(edges: DataFrame, nodes: DataFrame, max_rounds: int = 20)
         return s.join(moves, "id", "left").select("id", F.coalesce("best", "community").alias("community"),
                                                   F.col("best").isNotNull().alias("moved"))
 
-    quiet = 0
-    for number in range(max_rounds):
+    quiet = number = 0
+    # Two quiet rounds are a whole pass only if they are the two halves of one hash.
+    while quiet < 2 or number % 2:
         state = cut(half(state, number))
         quiet = quiet + 1 if state.where("moved").isEmpty() else 0
         state = state.drop("moved")
-        if quiet == 2:
-            break
+        number += 1
     return state
 
 
@@ -389,34 +394,33 @@ def _move_round(links: DataFrame, strength: DataFrame, state: DataFrame, m2: flo
     return state.join(moves, "id", "left").select("id", F.coalesce("best", "community").alias("community"))
 
 
-def modularity_communities(edges: DataFrame, nodes: DataFrame, max_rounds: int = 12, max_levels: int = 5,
-                           least_gain: float = 1e-3) -> DataFrame:
+def modularity_communities(edges: DataFrame, nodes: DataFrame, least_gain: float = 1e-3) -> DataFrame:
     """Communities by local moving and contraction, both as whole-table rounds.
 
     A round is kept only if modularity rises, so the result never gets worse;
     contraction then repeats the moves between communities. A level ends
-    when two rounds in a row gain less than ``least_gain``.
+    when two rounds in a row gain less than ``least_gain``, and the last level is
+    one that gains no more than that; modularity is at most 1, so both end.
     """
     level_edges = cut(simple_edges(edges).withColumn("weight", F.lit(1.0)))
     assignment = cut(nodes.select("id", F.col("id").alias("community")))
     best = modularity(level_edges, assignment)
     m2 = 2.0 * (level_edges.agg(F.sum("weight")).first()[0] or 0.0)
-    for _ in range(max_levels if m2 > 0 else 0):
+    while m2 > 0:
         start = best
         turned = level_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
         # A self-loop counts twice towards its node's strength and never towards a move.
         strength = cut(level_edges.unionByName(turned).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
         links = cut(level_edges.unionByName(turned).where("src <> dst"))
         state = cut(assignment.select(F.col("community").alias("id")).distinct().withColumn("community", F.col("id")))
-        idle = 0
-        for number in range(max_rounds):
+        idle = number = 0
+        while idle < 2:
             trial = cut(_move_round(links, strength, state, m2, number))
+            number += 1
             q = modularity(level_edges, trial)
             idle = 0 if q > best + least_gain else idle + 1
             if q > best:
                 state, best = trial, q
-            if idle == 2:
-                break
         if best <= start + least_gain:
             break
         joined = assignment.join(state.select(F.col("id").alias("community"), F.col("community").alias("next")), "community")

@@ -198,7 +198,7 @@ def matched_pairs(identities: DataFrame, fuzzy: str = "matcher", null_policy: st
     return scored.where(F.col("score") >= threshold).unionByName(copies)
 
 
-def _seed_groups(pairs: DataFrame, max_rounds: int) -> DataFrame:
+def _seed_groups(pairs: DataFrame) -> DataFrame:
     """Greedy grouping around seeds in id order; members match their seed directly.
 
     An id with no smaller open neighbour is a seed; an open id joins when its
@@ -222,14 +222,13 @@ def _seed_groups(pairs: DataFrame, max_rounds: int) -> DataFrame:
             "id", F.coalesce("component", "fresh").alias("component"))
         return merged.withColumn("changed", F.col("component").isNull())
 
-    return iterate(start, step, "changed", max_rounds)
+    return iterate(start, step, "changed")
 
 
-def id_mapping(identities: DataFrame, pairs: DataFrame, mode: str = "components",
-               max_rounds: int = 60) -> DataFrame:
+def id_mapping(identities: DataFrame, pairs: DataFrame, mode: str = "components") -> DataFrame:
     """customer_id to canonical id: the smallest of its group."""
     edges = pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    groups = connected_components(edges, max_rounds) if mode == "components" else _seed_groups(pairs, max_rounds)
+    groups = connected_components(edges) if mode == "components" else _seed_groups(pairs)
     return (identities.select("customer_id").distinct()
             .join(groups.withColumnRenamed("id", "customer_id"), "customer_id", "left")
             .select("customer_id", F.coalesce("component", "customer_id").alias("canonical_customer_id")))

@@ -19,43 +19,40 @@ def customer_devices(transactions: DataFrame, as_of, hours: int = DAYS_90) -> Da
     return pairs.join(users, "device_id")
 
 
-def device_sharing(transactions: DataFrame, as_of, hours: int = DAYS_90,
-                   busy_device: int = 1000) -> DataFrame:
+def device_sharing(transactions: DataFrame, as_of, hours: int = DAYS_90, many_devices: int = 8) -> DataFrame:
     """Distinct co-users, devices used, largest device audience per customer.
 
-    Devices with at most ``busy_device`` users are joined to themselves, so a
-    row meets a bounded number of partners. Busy devices never are: customers
-    with the same set of busy devices have the same co-users there, so those
-    sets are counted once each and compared set against set. The total is exact.
+    The co-users of a customer are the union of the members of its devices. Its
+    size is the alternating sum, over all sets of its devices, of the number
+    of customers that own the whole set: a count per set of devices, whatever the
+    number of members, and no pairs. Customers with more than ``many_devices``
+    shared devices have too many sets; they (and who meets them) are counted by
+    listing their own co-users. Both ways are exact.
     """
     # Read several times below: written once, small next to the transactions.
     sized = cut(customer_devices(transactions, as_of, hours))
     base = sized.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("unique_devices_used"),
         F.max("device_users").alias("max_customers_per_device"))
-    shared = sized.where("device_users > 1")
-
-    busy_sets = (shared.where(F.col("device_users") > busy_device).groupBy("customer_id")
-                 .agg(F.sort_array(F.collect_set("device_id")).alias("busy")))
-    kinds = busy_sets.groupBy("busy").agg(F.count(F.lit(1)).alias("members"))
-    parts = kinds.select("busy", "members", F.explode("busy").alias("device_id"))
-    met = (parts.select("busy", "device_id")
-           .join(parts.select(F.col("busy").alias("other"), "members", "device_id"), "device_id")
-           .select("busy", "other", "members").distinct())
-    reach = met.groupBy("busy").agg((F.sum("members") - 1).alias("busy_partners"))
-    busy_counts = busy_sets.join(reach, "busy").select("customer_id", "busy_partners")
-
-    quiet = shared.where(F.col("device_users") <= busy_device).select("device_id", "customer_id")
-    partners = (quiet.join(quiet.withColumnRenamed("customer_id", "partner"), "device_id")
-                .where("customer_id <> partner").select("customer_id", "partner").distinct())
-    own = busy_sets.withColumnRenamed("busy", "own_busy")
-    theirs = busy_sets.select(F.col("customer_id").alias("partner"), F.col("busy").alias("partner_busy"))
-    quiet_counts = (partners.join(own, "customer_id", "left").join(theirs, "partner", "left")
-                    .where(~F.coalesce(F.arrays_overlap("own_busy", "partner_busy"), F.lit(False)))
-                    .groupBy("customer_id").agg(F.count(F.lit(1)).alias("quiet_partners")))
-    return (base.join(busy_counts, "customer_id", "left").join(quiet_counts, "customer_id", "left")
+    shared = sized.where("device_users > 1").select("device_id", "customer_id")
+    owners = cut(shared.groupBy("customer_id").agg(F.sort_array(F.collect_list("device_id")).alias("devices")))
+
+    few = owners.where(F.size("devices") <= many_devices)
+    sets = few.select("customer_id", F.explode(F.expr(
+        "transform(sequence(1L, shiftleft(1L, size(devices)) - 1), m -> named_struct('sign', if(bit_count(m) % 2 = 1, 1L, -1L), "
+        "'set', filter(devices, (d, i) -> (shiftright(m, i) & 1) = 1)))")).alias("s")).select("customer_id", "s.*")
+    counted = sets.groupBy("set").agg(F.count(F.lit(1)).alias("n"))
+    light = sets.join(counted, "set").groupBy("customer_id").agg((F.sum(F.col("sign") * F.col("n")) - 1).alias("light"))
+
+    heavy = owners.where(F.size("devices") > many_devices).select("customer_id", F.explode("devices").alias("device_id"))
+    met = (heavy.join(shared.withColumnRenamed("customer_id", "partner"), "device_id")
+           .where("customer_id <> partner").select("customer_id", "partner").distinct())
+    own = met.groupBy("customer_id").agg(F.count(F.lit(1)).alias("partners"))
+    theirs = (met.join(few.select(F.col("customer_id").alias("partner")), "partner")
+              .groupBy(F.col("partner").alias("customer_id")).agg(F.count(F.lit(1)).alias("partners")))
+    return (base.join(light, "customer_id", "left").join(own.unionByName(theirs), "customer_id", "left")
             .select("customer_id",
-                    (F.coalesce("busy_partners", F.lit(0)) + F.coalesce("quiet_partners", F.lit(0)))
+                    (F.coalesce("light", F.lit(0)) + F.coalesce("partners", F.lit(0)))
                     .cast("bigint").alias("customers_sharing_devices"),
                     "unique_devices_used", "max_customers_per_device"))
 

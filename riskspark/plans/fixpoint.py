@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -16,19 +17,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str,
-            max_rounds: int) -> DataFrame:
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """Write the rows as Parquet under the shared checkpoint folder, partitioned by
+    the given columns, and read them back: later branches prune columns and partitions."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str) -> DataFrame:
     """Repeat ``step`` until its boolean column ``changed`` is false everywhere.
 
-    ``step`` receives the state without that column. Every round ends in a
-    checkpoint, so a lost executor costs one round at most.
+    ``step`` receives the state without that column and must settle for every
+    input: there is no limit of rounds. Every round ends in a checkpoint, so a lost
+    executor costs one round at most.
     """
-    for _ in range(max_rounds):
+    while True:
         state = cut(step(state))
-        if state.where(F.col(changed)).isEmpty():
-            return state.drop(changed)
+        settled = state.where(F.col(changed)).isEmpty()
         state = state.drop(changed)
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        if settled:
+            return state
 
 
 def both_ways(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -37,7 +46,7 @@ def both_ways(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
         edges.select(F.col(dst).alias(src), F.col(src).alias(dst)))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) with the smallest id as the component label.
 
     A round takes the smallest label among neighbours and then the label of
@@ -57,4 +66,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             "id", F.least("component", "above").alias("component"),
             (F.least("component", "above") != F.col("old")).alias("changed"))
 
-    return iterate(labels, step, "changed", max_rounds)
+    return iterate(labels, step, "changed")

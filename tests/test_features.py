@@ -37,13 +37,13 @@ def tx(spark, rows):
     return spark.createDataFrame(rows, TX)
 
 
-@pytest.mark.parametrize("busy", [1, 3, 8, 1000])
-def test_device_sharing_is_exact_whatever_counts_as_busy(tx, rows, busy):
+@pytest.mark.parametrize("many", [0, 1, 2, 8])
+def test_device_sharing_is_exact_both_ways(tx, rows, many):
     users, owned = defaultdict(set), defaultdict(set)
     for x in rows:
         users[x[7]].add(x[1])
         owned[x[1]].add(x[7])
-    got = {r["customer_id"]: r for r in network.device_sharing(tx, AS_OF, busy_device=busy).collect()}
+    got = {r["customer_id"]: r for r in network.device_sharing(tx, AS_OF, many_devices=many).collect()}
     assert len(got) == len(owned)
     for c, mine in owned.items():
         assert got[c]["customers_sharing_devices"] == len(set().union(*(users[d] for d in mine)) - {c})
@@ -51,27 +51,37 @@ def test_device_sharing_is_exact_whatever_counts_as_busy(tx, rows, busy):
         assert got[c]["unique_devices_used"] == len(mine)
 
 
-@pytest.mark.parametrize("busy", [5, 1000])
-def test_device_graph_pairs_and_hubs_cover_all_pairs(tx, rows, busy):
+def test_device_pairs_of_chosen_customers(tx, rows):
     users = defaultdict(set)
     for x in rows:
         users[x[7]].add(x[1])
-    pairs, hubs = graph.device_graph(tx, busy_device=busy)
-    listed = {(r["src"], r["dst"]): r["shared_devices"] for r in pairs.collect()}
-    members = defaultdict(set)
-    for r in hubs.collect():
-        members[r["device_id"]].add(r["customer_id"])
+    members = graph.device_members(tx)
+    have = defaultdict(set)
+    for r in members.collect():
+        have[r["device_id"]].add(r["customer_id"])
+        assert r["device_users"] == len(users[r["device_id"]])
+    assert dict(have) == {d: c for d, c in users.items() if d is not None and len(c) > 1}
+    chosen = {x[1] for x in rows[::7]}
     want = defaultdict(int)
-    for d, c in users.items():
+    for c in have.values():
         for a in c:
             for b in c:
-                if a < b:
+                if a < b and {a, b} & chosen:
                     want[a, b] += 1
-    for pair, n in listed.items():
-        assert want[pair] == n
-    for a, b in want:
-        assert (a, b) in listed or any({a, b} <= m for m in members.values())
-    assert all(len(m) > busy and m == users[d] for d, m in members.items())
+    got = graph.device_pairs(members, tx.select("customer_id").where(F.col("customer_id").isin(list(chosen))))
+    assert {(r["src"], r["dst"]): r["shared_devices"] for r in got.collect()} == dict(want)
+
+
+def test_no_relationship_is_lost_on_a_busy_device(spark):
+    tx = spark.range(1200).selectExpr(
+        "id AS transaction_id", "id AS customer_id", "CAST(NULL AS BIGINT) AS beneficiary_id", "'pix' AS product_type", "1.0D AS amount",
+        "'hub' AS device_id", "TIMESTAMP_NTZ '2024-01-30 10:00:00' AS timestamp")
+    tx = tx.unionByName(tx.withColumn("device_id", F.expr("concat('d', customer_id div 2)")))
+    rows = graph.relationships(tx).collect()
+    assert len(rows) == 2400 and {r["strength"] for r in rows if r["device_id"] == "hub"} == {1199}
+    assert graph.device_pairs(graph.device_members(tx), spark.range(1).withColumnRenamed("id", "customer_id")).count() == 1199
+    counts = network.device_sharing(tx, AS_OF).collect()
+    assert {r["customers_sharing_devices"] for r in counts} == {1199}
 
 
 @pytest.mark.parametrize("cell", [0.05, 0.5, 20.0])
