@@ -68,7 +68,7 @@ def change_analysis(t):
 
 
 @query("counterfactual_insights", f"""
-SELECT customer_id, coalesce(string_agg('To change the prediction, consider ' || CASE WHEN average_change > 0 THEN 'reducing ' ELSE 'increasing ' END || feature,
+SELECT customer_id, coalesce(string_agg('To change the prediction, consider ' || CASE WHEN average_change > 0 THEN 'increasing ' ELSE 'reducing ' END || feature,
   ';' ORDER BY change_frequency DESC, feature) FILTER (WHERE change_frequency > 0.5), '') AS advice FROM ({ANALYSIS}) GROUP BY 1""", "demo")
 def counterfactual_insights(t):
     out = explain.insights(explain.change_analysis(given_changes(t), "customer_id"), "customer_id")

@@ -204,6 +204,14 @@ def same_day_history(t):
     return context.same_day_history(t.transactions())
 
 
+@query("same_day_history_of_later_rows", f"""
+SELECT s.* FROM ({SAME_DAY}) s JOIN tx USING (transaction_id) WHERE timestamp >= TIMESTAMP '2024-01-15 12:00:00'""", "tx")
+def same_day_history_of_later_rows(t):
+    """The rows from a noon on, against all stored transactions."""
+    tx = t.transactions()
+    return context.same_day_history(tx.where("timestamp >= TIMESTAMP_NTZ '2024-01-15 12:00:00'"), tx)
+
+
 @query("distance_from_usual_location", _distance(AS_OF), "tx")
 def distance_from_usual_location(t):
     return rounded(context.nearest_usual_location(t.transactions(), t.transactions(), AS_OF))

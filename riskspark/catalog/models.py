@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskspark.catalog.base import ASOF_SQL, query, rounded
 from riskspark.functions.times import WINDOW_HOURS
 from riskspark.operators import batch, behavior, modeling_table, models, network, profile, training
-from riskspark.plans.fixpoint import cut
+from riskspark.plans.fixpoint import cut, written
 from riskspark.sources.driver import AS_OF
 
 CONFIDENT = f"SELECT * FROM fl WHERE confidence_score >= 0.8::DOUBLE AND label_timestamp >= {ASOF_SQL} - INTERVAL 730 DAY"
@@ -93,7 +93,7 @@ class Stage:
         small = {n: models.Spoke(s.product, s.features, s.build, models.Spec(
             s.spec.name, s.spec.algorithm, {"maxIter": 10, "maxDepth": 4} if s.spec.algorithm == "gbt" else {"maxIter": 30}))
             for n, s in models.SPOKES.items()}
-        self.enriched = cut(batch.enrich(tx, tx, self.hub_scores, AS_OF))
+        self.enriched = written(batch.enrich(tx, tx, self.hub_scores, AS_OF), "product_type")
         self.spokes, self.failed = models.train_spokes(self.enriched, t.fraud_labels(), AS_OF, small)
 
     @classmethod

@@ -213,7 +213,7 @@ base AS (SELECT customer_id, avg(c) AS m, stddev_pop(c) AS s FROM own GROUP BY 1
 cur AS (SELECT t.transaction_id, count(hist.timestamp) AS c FROM tx t LEFT JOIN hist ON hist.customer_id = t.customer_id
   AND hist.timestamp >= t.timestamp - INTERVAL 24 HOUR AND hist.timestamp <= t.timestamp GROUP BY 1)
 SELECT t.transaction_id, round(CASE WHEN coalesce(rws, 0) < 5 THEN 0 ELSE 1 - coalesce(hn, 0) / rws END, 4) AS time_of_day_anomaly_score,
-  round(CASE WHEN coalesce(rws, 0) < 10 OR NOT (s > 0) THEN 0 ELSE least(abs(cur.c + 1 - m) / s / 3, 1) END, 4) AS frequency_anomaly_score,
+  round(CASE WHEN coalesce(rws, 0) < 10 OR NOT (s > 0) THEN 0 ELSE least(abs(cur.c + CASE WHEN t.transaction_id IN (SELECT transaction_id FROM hist) THEN 0 ELSE 1 END - m) / s / 3, 1) END, 4) AS frequency_anomaly_score,
   round(CASE WHEN coalesce(rws, 0) < 10 THEN 0 WHEN coalesce(hn, 0) = 0 THEN 1 WHEN hs > 0 THEN least(abs(amount - hm) / hs / 3, 1)
     WHEN amount = hm THEN 0 ELSE 1 END, 4) AS amount_timing_anomaly_score
 FROM tx t LEFT JOIN n USING (customer_id) LEFT JOIN base USING (customer_id) JOIN cur ON cur.transaction_id = t.transaction_id

@@ -42,12 +42,23 @@ def transaction_flags(transactions: DataFrame, night: str = "strict") -> DataFra
         flag(F.col("channel") == "atm").alias("is_atm_channel"))
 
 
-def same_day_history(transactions: DataFrame) -> DataFrame:
-    """Minutes since the previous transaction of the day and how many came before."""
-    rows = transactions.select("transaction_id", "customer_id", "timestamp").withColumn(
-        "__day", F.to_date("timestamp"))
-    seen = strictly_before(rows, ["customer_id", "__day"], "timestamp",
-                           counts="transactions_today", latest="__previous")
+def same_day_history(transactions: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Minutes since the previous transaction of the day and how many came before.
+
+    Earlier rows are those of ``history``, and of ``transactions`` where they are
+    not stored yet, so the answer does not depend on how a stream is cut. Only
+    days that ``transactions`` touches are read from ``history``.
+    """
+    columns = ["transaction_id", "customer_id", "timestamp"]
+    rows = transactions.select(*columns).withColumn("__asked", F.lit(True))
+    if history is not None and not history.sameSemantics(transactions):
+        first, last = transactions.agg(F.to_date(F.min("timestamp")), F.max("timestamp")).first()
+        if first is not None:
+            stored = history.where((F.col("timestamp") >= F.lit(first).cast("timestamp_ntz")) & (F.col("timestamp") <= F.lit(last)))
+            rows = rows.unionByName(stored.select(*columns).join(transactions.select("transaction_id"), "transaction_id", "left_anti")
+                                    .withColumn("__asked", F.lit(False)))
+    seen = strictly_before(rows.withColumn("__day", F.to_date("timestamp")), ["customer_id", "__day"], "timestamp",
+                           counts="transactions_today", latest="__previous").where("__asked")
     gap_seconds = F.round((micros("timestamp") - F.col("__previous")) / 1_000_000)
     return seen.select(
         "transaction_id", "transactions_today",
@@ -150,7 +161,7 @@ def amount_deviation(transactions: DataFrame, history: DataFrame, as_of) -> Data
 def contextual_features(transactions: DataFrame, history: DataFrame, as_of) -> DataFrame:
     """The whole contextual pillar, one row per transaction."""
     out = transaction_flags(transactions)
-    for part in (same_day_history(transactions),
+    for part in (same_day_history(transactions, history),
                  nearest_usual_location(transactions, history, as_of),
                  amount_deviation(transactions, history, as_of)):
         out = out.join(part, "transaction_id", "left")

@@ -183,7 +183,7 @@ def insights(analysis: DataFrame, id_column: str, top: int = 5) -> DataFrame:
     rows = analysis.groupBy(id_column).agg(F.slice(F.array_sort(F.collect_list(item)), 1, top).alias("items"))
 
     def sentence(x: Column) -> Column:
-        verb = F.when(x["average_change"] > 0, "reducing").otherwise("increasing")
+        verb = F.when(x["average_change"] > 0, "increasing").otherwise("reducing")
         return F.format_string("To change the prediction, consider %s %s from %.3f (changed in %.1f%% of counterfactuals)",
                                verb, x["feature"], x["original_value"], x["change_frequency"] * 100)
 

@@ -299,14 +299,17 @@ def temporal_anomalies(transactions: DataFrame, history: DataFrame) -> DataFrame
     own = trailing_counts(history)
     base = own.groupBy("customer_id").agg(F.avg("trailing").alias("mean_trailing"),
                                           F.stddev_pop("trailing").alias("std_trailing"))
-    now = trailing_counts(transactions, history=history).select("transaction_id", F.col("trailing"))
+    # A row that the history does not hold yet counts itself.
+    stored = history.select("transaction_id", F.lit(0).alias("new")).distinct()
+    now = (trailing_counts(transactions, history=history).join(stored, "transaction_id", "left")
+           .select("transaction_id", (F.col("trailing") + F.coalesce("new", F.lit(1))).alias("trailing")))
     t = (transactions.select("transaction_id", "customer_id", F.hour("timestamp").alias("h"),
                              F.col("amount").cast("double").alias("amount"))
          .join(sizes, "customer_id", "left").join(base, "customer_id", "left")
          .join(hours, ["customer_id", "h"], "left").join(now, "transaction_id", "left"))
     rows = F.coalesce("rows", F.lit(0))
     seen = F.coalesce("hour_n", F.lit(0))
-    z_count = F.abs(F.col("trailing") + 1 - F.col("mean_trailing")) / F.col("std_trailing")
+    z_count = F.abs(F.col("trailing") - F.col("mean_trailing")) / F.col("std_trailing")
     z_amount = F.abs(F.col("amount") - F.col("hour_mean")) / F.col("hour_std")
     return t.select(
         "transaction_id",

@@ -1,7 +1,7 @@
 """Canonical payment tables derived from the given Parquet tables.
 
 Every derivation is plain column arithmetic, so the same rows can be written in
-SQL (``oracles.py``) and the work grows with the given tables.
+SQL (next to the queries in ``riskspark/catalog``) and the work grows with the given tables.
 """
 
 from __future__ import annotations

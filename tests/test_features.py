@@ -109,6 +109,21 @@ def test_missing_and_zero_coordinates(spark):
     assert got == {1: 0.0, 2: 0.0, 3: 1000.0}
 
 
+@pytest.mark.parametrize("cuts", [1, 3, 10])
+def test_same_day_history_does_not_depend_on_the_cut(spark, cuts):
+    rows = tx_rows(240, 4)
+    rows = [(*x[:11], datetime(2024, 2, 1) + (x[11] - datetime(2024, 2, 1)) / 9, x[12]) for x in rows]
+    tx = spark.createDataFrame(rows, TX).cache()
+    whole = {tuple(r) for r in context.same_day_history(tx).collect()}
+    assert max(n for _, n, _ in whole) > 5
+    parts = [tx.where(F.col("transaction_id") % cuts == k) for k in range(cuts)]
+    assert {tuple(r) for p in parts for r in context.same_day_history(p, tx).collect()} == whole
+    later = sorted(rows, key=lambda x: x[11])[120][11]
+    fresh = context.same_day_history(tx.where(F.col("timestamp") >= F.lit(later)), tx.where(F.col("timestamp") < F.lit(later)))
+    assert {tuple(r) for r in fresh.collect()} <= whole
+    assert context.same_day_history(tx.limit(0), tx).count() == 0
+
+
 def test_same_day_history_first_and_zero_minutes(spark):
     t = datetime(2024, 2, 5, 10)
     rows = [(i, 1, "pix", "transfer", 1.0, 1, "atm", "d", "i", None, None, ts, "approved")
