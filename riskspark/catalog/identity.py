@@ -61,6 +61,28 @@ def identity_pairs_matcher(t):
     return rounded(identity.matched_pairs(identities(t), fuzzy="matcher"))
 
 
+def _passes(name: str) -> str:
+    return f"CASE WHEN coalesce(a.{name}, '') = '' OR coalesce(b.{name}, '') = '' OR a.{name} = b.{name} THEN 1 ELSE 0 END"
+
+
+def _none(x: str) -> str:
+    return f"coalesce(nullif(CAST({x} AS VARCHAR), ''), 'none')"
+
+
+@query("identity_pair_scores_reference", f"""
+SELECT id_a, id_b, round(score, 4) AS score FROM (
+  SELECT id_a, id_b, (1.0 + 0.8 * e + 0.7 * p + CASE WHEN nb >= 0.85 THEN nb * 0.9 ELSE 0 END + CASE WHEN np >= 0.80 THEN np * 0.8 ELSE 0 END)::DOUBLE
+    / 4.2::DOUBLE AS score
+  FROM (SELECT a.customer_id AS id_a, b.customer_id AS id_b, {_passes('email')} AS e, {_passes('phone')} AS p,
+    ({_ratio(_none('a.full_name'), _none('b.full_name'))} + {_ratio(_none('a.birth_date'), _none('b.birth_date'))}) / 2 AS nb,
+    ({_ratio(_none('a.full_name'), _none('b.full_name'))} + {_ratio(_none('a.phone'), _none('b.phone'))}) / 2 AS np
+    FROM ident a JOIN ident b ON a.document_number = b.document_number AND a.customer_id < b.customer_id))
+WHERE score >= 0.8::DOUBLE""", "ident")
+def identity_pair_scores_reference(t):
+    """Pairs reaching the match score where an empty side passes an exact rule."""
+    return rounded(identity.matched_pairs(identities(t), fuzzy="edit", null_policy="reference"))
+
+
 @query("customer_id_mapping", MAPPING, "ident")
 def customer_id_mapping(t):
     return mapping(t)

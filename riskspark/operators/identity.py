@@ -99,15 +99,27 @@ def record_variants(identities: DataFrame) -> DataFrame:
             .groupBy(*fields).agg(F.min("customer_id").alias("rep")))
 
 
-def candidate_pairs(variants: DataFrame) -> DataFrame:
-    """Pairs of variants that can reach the match score; no other pair can.
-
-    With total weight 4.2 a pair without an equal document stays below 0.8. With
-    equal documents, if both sides carry an e-mail or both carry a phone, one of
-    these must be equal too. So pairs share (document, e-mail) or (document,
-    phone); only pairs with no identifier type in common are met on the document
-    alone. Where a document is missing, the e-mail, and failing that the phone,
-    takes its place as the mandatory rule.
+def candidate_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame:
+    """Pairs of variants that can reach the match score.
+
+    The rules weigh 4.2 in all, so a pair may lose 0.84.
+
+    ``skip``: with two different documents nothing reaches 0.8. With equal
+    documents, if both sides carry an e-mail or both carry a phone, one of
+    these must be equal too; only pairs with no such type in common are met on the
+    document alone. Where a document is missing, the e-mail, and failing that
+    the phone, takes its place as the mandatory rule.
+
+    ``reference``: an empty side passes an exact rule, so documents must be equal or
+    one empty, the name with birth date must pass, and only one of e-mail,
+    phone and name with phone may fail. Pairs meet on the document unless
+    e-mails and phones both differ, and with a document empty on the e-mail or on
+    the phone.
+
+    Pairs without an equal identifier can match by name and birth date alone.
+    Under either policy they are met where both are equal letter by letter; those that are only
+    similar in name or birth date and share no identifier are left out, since
+    finding them means comparing everyone with everyone.
     """
     v = variants.withColumn("has_email", F.col("email").isNotNull()) \
         .withColumn("has_phone", F.col("phone").isNotNull()) \
@@ -127,12 +139,18 @@ def candidate_pairs(variants: DataFrame) -> DataFrame:
 
     # A pair is compared once: smaller id first. Variants of one id are one node anyway.
     ordered = F.col("a_rep") < F.col("b_rep")
+    email, phone, document = both("has_email"), both("has_phone"), both("has_doc")
+    if null_policy == "skip":
+        alone, by_phone, unlike = ~email & ~phone, ~document & ~email, ~document & ~email & ~phone
+    else:
+        alone, by_phone, unlike = ~email | ~phone, ~document, ~document & (~email | ~phone)
     pairs = [
         a.join(b, meet("document_number", "email") & ordered),
         a.join(b, meet("document_number", "phone") & ordered),
-        a.join(b, meet("document_number") & ordered & ~both("has_email") & ~both("has_phone")),
-        a.join(b, meet("email") & ordered & ~both("has_doc")),
-        a.join(b, meet("phone") & ordered & ~both("has_doc") & ~both("has_email")),
+        a.join(b, meet("document_number") & ordered & alone),
+        a.join(b, meet("email") & ordered & ~document),
+        a.join(b, meet("phone") & ordered & by_phone),
+        a.join(b, meet("full_name", "birth_date") & ordered & unlike),
     ]
     out = pairs[0]
     for p in pairs[1:]:
@@ -187,7 +205,7 @@ def matched_pairs(identities: DataFrame, fuzzy: str = "matcher", null_policy: st
                   threshold: float = MATCH_MIN) -> DataFrame:
     """Matching id pairs: scored variants, plus exact copies tied to their smallest id."""
     variants = cut(record_variants(identities))
-    scored = score_pairs(candidate_pairs(variants), fuzzy, null_policy)
+    scored = score_pairs(candidate_pairs(variants, null_policy), fuzzy, null_policy)
     fields = ["document_number", "email", "phone", "full_name", "birth_date"]
     rows = identities.select("customer_id", *[_filled(c).alias("i_" + c) for c in fields])
     same = F.lit(True)
@@ -201,8 +219,9 @@ def matched_pairs(identities: DataFrame, fuzzy: str = "matcher", null_policy: st
 def _seed_groups(pairs: DataFrame) -> DataFrame:
     """Greedy grouping around seeds in id order; members match their seed directly.
 
-    An id with no smaller open neighbour is a seed; an open id joins when its
-    smallest open neighbour is one.
+    An open id becomes a seed when no seed and no smaller open id is next to it. It
+    joins its smallest neighbouring seed once no smaller neighbour is open, since
+    that one could still become a seed. The smallest open id settles every round.
     """
     links = cut(both_ways(pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))).distinct())
     start = links.select(F.col("src").alias("id")).distinct().withColumn("component", F.lit(None).cast(
@@ -210,14 +229,14 @@ def _seed_groups(pairs: DataFrame) -> DataFrame:
 
     def step(state: DataFrame) -> DataFrame:
         open_ids = state.where("component IS NULL").select("id")
-        least = (links.join(open_ids.withColumnRenamed("id", "src"), "src", "left_semi")
-                 .join(open_ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-                 .groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("least")))
-        marked = open_ids.join(least, "id", "left").withColumn(
-            "seed", F.col("least").isNull() | (F.col("least") > F.col("id")))
-        seeds = marked.where("seed").select(F.col("id").alias("least"), F.lit(True).alias("by_seed"))
-        fresh = (marked.join(seeds, "least", "left").select(
-            "id", F.when(F.col("seed"), F.col("id")).when(F.col("by_seed"), F.col("least")).alias("fresh")))
+        near = (links.join(open_ids.withColumnRenamed("id", "src"), "src", "left_semi")
+                .join(state.withColumnRenamed("id", "dst"), "dst")
+                .groupBy(F.col("src").alias("id")).agg(
+                    F.min(F.when(F.col("component").isNull(), F.col("dst"))).alias("least"),
+                    F.min(F.when(F.col("component") == F.col("dst"), F.col("dst"))).alias("seed")))
+        free = F.when(F.col("seed").isNull() & F.coalesce(F.col("least") > F.col("id"), F.lit(True)), F.col("id"))
+        joins = F.when(F.coalesce(F.col("least") > F.col("seed"), F.lit(True)), F.col("seed"))
+        fresh = near.select("id", F.coalesce(free, joins).alias("fresh"))
         merged = state.join(fresh, "id", "left").select(
             "id", F.coalesce("component", "fresh").alias("component"))
         return merged.withColumn("changed", F.col("component").isNull())

@@ -39,7 +39,7 @@ def direct_score(a, b, policy="skip"):
         text = lambda x: str(x) if x else "none"
         if skip and not (a[3] and b[3] and a[f] and b[f]):
             continue
-        s = (ratio(a[3], b[3]) + ratio(text(a[f]), text(b[f]))) / 2
+        s = (ratio(text(a[3]), text(b[3])) + ratio(text(a[f]), text(b[f]))) / 2
         weight += w
         total += s * w if s >= least else 0
     return total / weight if weight else 0.0
@@ -55,13 +55,18 @@ def ids(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def meets(x, y):
+    """An identifier in common, or the same name and birth date."""
+    return any(x[f] and x[f] == y[f] for f in (2, 5, 6)) or bool(x[3] and x[3] == y[3] and x[4] and x[4] == y[4])
+
+
 @pytest.fixture(scope="module")
 def wanted(rows):
     """Matches of all pairs with at least one identifier in common, by direct scoring."""
     out = {}
     for x in rows:
         for y in rows:
-            if x[1] < y[1] and any(x[f] and x[f] == y[f] for f in (2, 5, 6)):
+            if x[1] < y[1] and meets(x, y):
                 s = direct_score(x, y)
                 if s >= 0.8:
                     out[x[1], y[1]] = s
@@ -90,6 +95,30 @@ def test_blocking_loses_no_match(spark, ids, wanted):
             assert got[a, b] == pytest.approx(s)
 
 
+@pytest.mark.parametrize("policy", ["skip", "reference"])
+def test_blocking_with_every_pattern_of_empty_fields(spark, policy):
+    full = {2: "d1", 3: "ANA SOUZA", 4: date(1980, 1, 1), 5: "a@x", 6: "551"}
+    other = {2: "d2", 3: "ANA SOUSA", 4: date(1980, 1, 2), 5: "b@x", 6: "552"}
+    rows = []
+    for changed in range(8):  # document, e-mail, phone of the second person
+        for empty in range(32):
+            x = {f: other[f] if f in (2, 5, 6) and changed >> (2, 5, 6).index(f) & 1 else full[f] for f in full}
+            x = {f: None if empty >> (f - 2) & 1 else v for f, v in x.items()}
+            rows.append(("s", len(rows), *[x[f] for f in sorted(x)], WHEN, WHEN))
+    rows += [("s", 1000 + i, r[2], "ANA SOUSA" if r[3] else None, *r[4:]) for i, r in enumerate(rows) if i % 3 == 0]
+    variants = identity.record_variants(spark.createDataFrame(rows, SCHEMA)).cache()
+    reps = {r["rep"] for r in variants.collect()}
+    got = {(r["id_a"], r["id_b"]): r["score"] for r in
+           identity.score_pairs(identity.candidate_pairs(variants, policy), null_policy=policy).collect()}
+    n = 0
+    for x in rows:
+        for y in rows:
+            if x[1] < y[1] and {x[1], y[1]} <= reps and meets(x, y) and (s := direct_score(x, y, policy)) >= 0.8:
+                assert got[x[1], y[1]] == pytest.approx(s), (x, y)
+                n += 1
+    assert n > 100
+
+
 def test_components_equal_all_pairs(ids, rows, wanted):
     want = groups(wanted, [r[1] for r in rows])
     got = {r["customer_id"]: r["canonical_customer_id"] for r in identity.resolve(ids).collect()}
