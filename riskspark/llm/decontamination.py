@@ -245,7 +245,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
         # At most about block_words words come to the driver at a time.
         items = [(r.item_id, r.text) for r in blocks.where(F.col("block") == block).collect()]
         matcher = spark.sparkContext.broadcast(Matcher(items, window))
-        passes.append(stored(docs.mapInArrow(_found(matcher, item_type), schema), f"pass{block}"))
+        passes.append(stored(docs.transform(tx.in_arrow, _found(matcher, item_type), schema), f"pass{block}"))
         matcher.unpersist()
     hits = passes[0].where("size(runs) > 0")
     for p in passes[1:]:

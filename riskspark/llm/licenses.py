@@ -193,11 +193,11 @@ def license_scan(documents: DataFrame, rare: int = 8, slack: int = 2, coverage:
     """
     index = Index()
     docs = documents.select("doc_id", "text")
-    counts = {r.word: r.n for r in docs.select("text").mapInArrow(_frequencies(index), "word int, n bigint")
+    counts = {r.word: r.n for r in docs.select("text").transform(tx.in_arrow, _frequencies(index), "word int, n bigint")
               .groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = counts.get(-1, 0)
     idf = np.array([np.log((total + 1) / (counts.get(w, 0) + 1)) for w in range(len(index.words))])
-    return docs.mapInArrow(
+    return docs.transform(tx.in_arrow,
         _scan(index, idf, rare, slack, coverage, least_idf),
         f"doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, "
         "base_labels string, labels string, score double")

@@ -229,7 +229,7 @@ def components(documents: DataFrame, width: int = 5, percent: int = 75, block: i
     """
     docs = _keyed(documents.select("doc_id", "text")).select("doc_id", *KEY, "text")
     id_type = dict(docs.dtypes)["doc_id"]
-    rows = stored(docs.mapInArrow(
+    rows = stored(docs.transform(tx.in_arrow,
         _sketches(width), f"doc_id {id_type}, {KEY[0]} bigint, {KEY[1]} bigint, n_shingles bigint, node bigint, bands array<bigint>"),
         "sketches")
     classes = stored(rows.where("n_shingles > 0").groupBy("node").agg(
@@ -249,13 +249,13 @@ def components(documents: DataFrame, width: int = 5, percent: int = 75, block: i
     side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bands").alias(f"r_{s}"))
     pairs = (met.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
              .join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b"))
-    pairs = stored(pairs.mapInArrow(_near(percent / 100), "a bigint, b bigint"), "pairs")
+    pairs = stored(pairs.transform(tx.in_arrow, _near(percent / 100), "a bigint, b bigint"), "pairs")
     found = texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
     found = stored(found.select("node", "text"), "texts")
     with_texts = (pairs.join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
                   .join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
                   .select("a", "b", "text_a", "text_b"))
-    links = stored(with_texts.mapInArrow(_verified(width, percent), "a bigint, b bigint"), "links")
+    links = stored(with_texts.transform(tx.in_arrow, _verified(width, percent), "a bigint, b bigint"), "links")
 
     open_buckets = _meeting(met, _components(links))
     spread = (open_buckets.withColumn("blocks", F.ceil(F.col("members") / block))

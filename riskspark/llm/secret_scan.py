@@ -153,7 +153,7 @@ def scan(documents: DataFrame, reach: int = 300) -> DataFrame:
     ``base`` and ``spans`` list kind:start:end by start, then by kind.
     """
     docs = documents.select("doc_id", "text")
-    return docs.mapInArrow(_scan(reach), f"doc_id {dict(docs.dtypes)['doc_id']}, n_assign bigint, n_access bigint, "
+    return docs.transform(tx.in_arrow, _scan(reach), f"doc_id {dict(docs.dtypes)['doc_id']}, n_assign bigint, n_access bigint, "
                                          "n_hex bigint, base string, spans string")
 
 

@@ -1,7 +1,7 @@
 """Words of many texts at once, on the bytes of an Arrow column.
 
 All functions take a piece of a batch: the UTF-8 bytes of its texts one after
-another and the offsets of the texts. A piece holds a few megabytes of text, or
+another and the offsets of the texts. A piece holds half a megabyte of text, or
 one text if that is longer, so memory does not grow with the batch. Word
 borders are ASCII characters in every rule used here, so bytes suffice.
 """
@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 U = np.uint64
 #: Odd multipliers of the word hash and of a 64-bit mixing step.
 BASE, MIX1, MIX2, GOLD = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -38,6 +39,13 @@ NOT_BLANK = _class([(0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF)])
 ALNUM = _class([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches: texts are long, and executors small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df.mapInArrow(run, schema)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A string column, nulls as empty texts."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()).fill_null("")

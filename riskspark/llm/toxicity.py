@@ -2,15 +2,17 @@
 
 1. A bounded sample of labelled rows gives a lexicon: whole words, beginnings
    and ends of words that stand in toxic documents far more often than in others.
-2. Voters are the lexicon split by kind, by precision and at random, and some
-   patterns of spelling that know no label. A voter fires or stays silent on a
-   text, so a text has one vote pattern.
+2. Voters are the lexicon split by kind, by precision and at random, two for
+   one or many precise entries, and patterns of spelling that know no label. A voter fires or
+   stays silent on a text, so a text has one vote pattern.
 3. A generative label model is fitted to the pattern counts of all documents
-   outside the held-out fold: EM on two classes gives each voter's firing rates;
-   correlations of voters inside the classes (voters that fire for the same
-   reason) then lower their weights, and EM runs again. At most 2^voters counts
+   outside the held-out fold, with the labelled sample as an anchor: EM on two
+   classes gives each voter's firing rates;
+   voters that are correlated inside the classes (they fire for the same reason)
+   then count less, and EM runs again. At most 2^voters counts
    come to the driver.
-4. A logistic model on the lexicon entries is fitted to the posterior labels
+4. The posterior odds are scaled to the labels of the sample.
+5. A logistic model on the lexicon entries is fitted to the posterior labels
    of the sample's texts, and scores every document in one pass.
 
 Labels are read only where crc32(doc_id as text) mod 5 is not 0. Texts and
@@ -122,24 +124,24 @@ def spelling(raw: np.ndarray, offsets: np.ndarray, borders: np.ndarray) -> list[
 
 
 class Voters:
-    """The lexicon table, and the voter each entry belongs to."""
+    """The lexicon table, the voter each entry belongs to, and which entries are precise."""
 
-    def __init__(self, table: Table, voter: np.ndarray, n: int):
-        self.table, self.voter, self.n = table, voter, n
+    def __init__(self, table: Table, voter: np.ndarray, n: int, precise: np.ndarray):
+        self.table, self.voter, self.n, self.precise = table, voter, n, precise
 
     def votes(self, raw, offsets, data, starts, ends, borders) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The vote pattern of each text as a number, and the (text, entry) pairs it rests on."""
         text, entry = self.table.find(data, starts, ends, borders)
         pattern = np.zeros(len(offsets) - 1, dtype=np.int64)
         np.bitwise_or.at(pattern, text, np.int64(1) << self.voter[entry])
-        many = np.bincount(text, minlength=len(pattern)) >= 3
-        for j, fires in enumerate([many, *spelling(raw, offsets, borders)]):
+        found = np.bincount(text, self.precise[entry], minlength=len(pattern))
+        for j, fires in enumerate([found >= 1, found >= 3, *spelling(raw, offsets, borders)]):
             pattern |= fires.astype(np.int64) << (self.n + j)
         return pattern, text, entry
 
     @property
     def width(self) -> int:
-        return self.n + 1 + PATTERNS
+        return self.n + 2 + PATTERNS
 
 
 def _patterns(voters: Voters):
@@ -164,33 +166,45 @@ def _described(voters: Voters):
     return run
 
 
-class LabelModel:
-    """Two classes, voters with class-wise firing rates, weights lowered by correlation."""
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
 
-    def __init__(self, votes: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 50):
-        self.weights = np.ones(votes.shape[1])
-        posterior = start
+class LabelModel:
+    """Two classes; voters fire or stay silent, with class-wise firing rates and correlations.
+
+    A voter counts less the more it is correlated with others inside the classes.
+    ``marked`` texts (of votes ``own``) keep their class and weigh as much as all
+    counts together, so that the classes stay what the labels mean.
+    """
+
+    def __init__(self, votes: np.ndarray, counts: np.ndarray, own: np.ndarray, marked: np.ndarray, rounds: int = 20):
+        every = np.vstack([votes, own])
+        mass = np.concatenate([counts, np.full(len(own), counts.sum() / max(len(own), 1))])
+        self.correlations = np.zeros((votes.shape[1],) * 2)
+        self.fit(own, np.ones(len(own)), marked)
         for correlated in (False, True):
             if correlated:
-                self.weights = 1 / (1 + self.correlation(votes, counts, posterior))
+                self.correlations = self.correlation(every, mass, np.concatenate([self.posterior(votes), marked]))
             for _ in range(rounds):
-                self.fit(votes, counts, posterior)
-                posterior = self.posterior(votes)
-        self.correlations = self.correlation(votes, counts, posterior)
+                self.fit(every, mass, np.concatenate([self.posterior(votes), marked]))
 
     def fit(self, votes: np.ndarray, counts: np.ndarray, posterior: np.ndarray) -> None:
         mass = np.stack([(1 - posterior) * counts, posterior * counts])
         self.rates = (mass @ votes + 0.5) / (mass.sum(axis=1, keepdims=True) + 1)
         self.prior = (mass[1].sum() + 0.5) / (mass.sum() + 1)
 
+    def odds(self, votes: np.ndarray) -> np.ndarray:
+        fired, silent = (np.log(r[1]) - np.log(r[0]) for r in (self.rates, 1 - self.rates))
+        weights = 1 / (1 + self.correlations.sum(axis=1))
+        return np.log(self.prior / (1 - self.prior)) + (votes * fired + (1 - votes) * silent) @ weights
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        fires, silent = np.log(self.rates), np.log1p(-self.rates)
-        each = (fires[1] - fires[0]) * votes + (silent[1] - silent[0]) * (1 - votes)
-        odds = np.log(self.prior / (1 - self.prior)) + each @ self.weights
-        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        return sigmoid(self.odds(votes))
 
-    def correlation(self, votes: np.ndarray, counts: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-        """Per voter the sum of its positive correlations with the others inside the classes."""
+    @staticmethod
+    def correlation(votes: np.ndarray, counts: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+        """Positive correlations of pairs of voters inside the classes."""
         total = np.zeros((votes.shape[1],) * 2)
         for mass in (counts * posterior, counts * (1 - posterior)):
             share = mass / max(mass.sum(), 1e-12)
@@ -198,19 +212,24 @@ class LabelModel:
             cov = (centred * share[:, None]).T @ centred
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             total += np.maximum(cov / np.outer(sd, sd), 0) / 2
-        return total.sum(axis=1) - np.diag(total)
+        np.fill_diagonal(total, 0)
+        return total
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 400) -> np.ndarray:
-    """Logistic weights (the last one the bias) for soft labels, by accelerated gradient steps."""
+def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 25) -> np.ndarray:
+    """Logistic weights (the last one the bias) for soft labels, classes balanced, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    balance = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-    w = previous = np.zeros(x.shape[1])
-    step = 4 / max((x * x).sum(axis=1).mean() * balance.max() * 2, 1e-9)
-    for t in range(steps):
-        ahead = w + t / (t + 3) * (w - previous)
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -50, 50)))
-        previous, w = w, ahead - step * (x.T @ ((p - y) * balance) / len(y) + l2 * ahead)
+    balance = y * 0.5 / max(y.mean(), 1e-6) + (1 - y) * 0.5 / max(1 - y.mean(), 1e-6)
+    ridge = np.full(x.shape[1], l2)
+    ridge[-1] = 1e-6
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = sigmoid(x @ w)
+        curve = (x * (balance * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+        move = np.linalg.solve(curve + np.diag(ridge), x.T @ ((y - p) * balance) - ridge * w)
+        w = w + move * min(1.0, 5 / max(np.abs(move).max(), 1e-9))
+        if np.abs(move).max() < 1e-6:
+            break
     return w
 
 
@@ -227,7 +246,7 @@ class Scorer:
         for _, _, offsets, data, starts, ends, borders in _tokens(batch):
             text, entry = self.table.find(data, starts, ends, borders)
             z = self.weights[-1] + np.bincount(text, self.weights[entry], minlength=len(offsets) - 1)
-            out.append(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+            out.append(sigmoid(z))
         return np.concatenate(out)
 
 
@@ -246,18 +265,18 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, max_
         return Scorer(None, None)
 
     least = max(3 if n_toxic >= 10 else 1, int(support * n_toxic))
-    toxic = (sample.where("toxic = 1").mapInArrow(_counts(None), COUNTS).groupBy("h", "kind")
+    toxic = (sample.where("toxic = 1").transform(tx.in_arrow, _counts(None), COUNTS).groupBy("h", "kind")
              .agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect())
     if not toxic:
         return Scorer(None, None)
     known = np.sort(np.array([r.h for r in toxic], dtype=np.int64).view(np.uint64))
-    clean = {r.h: r.n for r in sample.where("toxic = 0").mapInArrow(_counts(known), COUNTS).groupBy("h")
+    clean = {r.h: r.n for r in sample.where("toxic = 0").transform(tx.in_arrow, _counts(known), COUNTS).groupBy("h")
              .agg(F.sum("n").alias("n")).collect()}
     rated = []
     for r in toxic:
         share, other = (r.n + 0.5) / (n_toxic + 1), (clean.get(r.h, 0) + 0.5) / (n_clean + 1)
         if share >= 5 * other:
-            rated.append((share * np.log(share / other), r.h, r.kind, share / other))
+            rated.append((share * np.log(share / other), r.h, r.kind, (r.n + 0.5) / (r.n + clean.get(r.h, 0) + 1)))
     rated.sort(key=lambda x: (-x[0], x[1]))
     rated = rated[:max_features]
     if not rated:
@@ -265,27 +284,31 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, max_
 
     hashes = np.array([x[1] for x in rated], dtype=np.int64).view(np.uint64)
     table = Table(hashes, [x[2] for x in rated])
-    # Twelve voters: by kind, by strength of the entry, and in two random halves.
+    # Twelve voters: by kind, by precision of the entry, and in two random halves.
     kind = np.array([0 if x[2] == 0 else 1 if KINDS[x[2]][0] == "start" else 2 for x in rated])
-    weak = np.array([x[3] < 50 for x in rated]).astype(int)
-    voters = Voters(table, kind * 4 + weak * 2 + (hashes % np.uint64(2)).astype(int), 12)
+    weak = np.array([x[3] < 0.9 for x in rated]).astype(int)
+    voters = Voters(table, kind * 4 + weak * 2 + (hashes % np.uint64(2)).astype(int), 12, 1.0 - weak)
 
-    described = sample.mapInArrow(_described(voters), "toxic int, pattern bigint, entries array<int>").collect()
+    described = sample.transform(tx.in_arrow, _described(voters), "toxic int, pattern bigint, entries array<int>").collect()
     bits = lambda p: ((np.asarray(p)[:, None] >> np.arange(voters.width)) & 1).astype(float)
     own = bits([r.pattern for r in described])
     marked = np.array([r.toxic for r in described], dtype=float)
-    counted = (docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(_patterns(voters), "pattern bigint, n bigint")
+    counted = (docs.where(~held_out(F.col("doc_id"))).select("text").transform(tx.in_arrow, _patterns(voters), "pattern bigint, n bigint")
                .groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect())
     votes, counts = bits([r.pattern for r in counted]), np.array([r.n for r in counted], dtype=float)
-    begin = LabelModel.__new__(LabelModel)
-    begin.weights = np.full(voters.width, 1 / 3)
-    begin.fit(own, np.ones(len(own)), np.clip(marked, 0.02, 0.98))
-    model = LabelModel(votes, counts, begin.posterior(votes))
+    model = LabelModel(votes, counts, own, np.clip(marked, 0.02, 0.98))
 
     x = np.zeros((len(described), len(rated)), dtype=np.float32)
     for i, r in enumerate(described):
         x[i, r.entries] = 1
-    return Scorer(table, fit_linear(x, model.posterior(own)))
+    # Discounted votes give odds in the right order but too close to even: one slope and one bias scale them.
+    odds = model.odds(own)[:, None]
+    slope, bias = fit_linear(odds, marked)
+    soft = sigmoid(odds[:, 0] * slope + bias)
+    weights = fit_linear(x, soft)
+    # The same for the linear model, whose weights the ridge keeps small.
+    slope, bias = fit_linear((x @ weights[:-1])[:, None], soft, l2=1e-4)
+    return Scorer(table, np.append(weights[:-1] * slope, bias))
 
 
 def _scored(scorer: Scorer):
@@ -306,11 +329,11 @@ def toxicity(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``documents``."""
     scorer = train(documents, labels, **options)
     docs = documents.select("doc_id", "text")
-    scored = docs.mapInArrow(_scored(scorer), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    scored = docs.transform(tx.in_arrow, _scored(scorer), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The documents whose score is below ``threshold``, all columns unchanged, without a shuffle."""
-    return documents.mapInArrow(_below(train(documents, labels, **options), threshold), documents.schema)
+    return documents.transform(tx.in_arrow, _below(train(documents, labels, **options), threshold), documents.schema)
