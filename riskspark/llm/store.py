@@ -19,9 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path that no earlier run has used."""
-    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
+    _made.append(f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}")
+    return f"{_made[-1]}/{name}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables this process has stored; call it when its results are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        path = hadoop(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

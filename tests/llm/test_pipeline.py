@@ -1,11 +1,12 @@
 """The registered queries against SQL, and the pipeline stage by stage against plain Python."""
 
+import os
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from riskspark.llm import mixing
+from riskspark.llm import mixing, store
 from riskspark.llm.queries import ORACLES, QUERIES
 from tests.llm.helpers import frame, odd_rows
 from tests.llm.test_operators import shards_by_hand
@@ -47,6 +48,14 @@ def test_stages(spark):
     assert Counter((r.doc_id, r.copy, r.n_bytes, r.shard) for r in got.collect()) == shards_by_hand(expected, 64 << 20)
 
 
+def test_stored_tables_can_be_deleted(spark):
+    table = store.stored(spark.range(3), "numbers")
+    path = store._made[-1]
+    assert table.count() == 3 and os.path.isdir(path.removeprefix("file:"))
+    store.clean(spark)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 def test_stages_take_odd_and_empty_tables(spark):
     for rows in (odd_rows(), []):
         docs = frame(spark, rows)
