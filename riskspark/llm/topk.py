@@ -6,8 +6,8 @@ of vectors is a row. Inside a task each dimension is a list of the candidates
 sorted by their component. A query reads all lists from its better end, depth by
 depth. The components read so far, and the ends of the unread parts, bound each
 candidate's score from both sides; a candidate whose upper bound is below the
-k-th best lower bound can't qualify and is never looked at again. When few are
-left their scores are resolved. Each task gives k rows per query, and a limit by
+k-th best lower bound can't qualify and is never looked at again. The scores of
+those that are left are resolved. Each task gives k rows per query, and a limit by
 rank joins the blocks.
 
 Defined results. Components become floor(scale * x); scores are exact while
@@ -28,7 +28,10 @@ from pyspark.sql.window import Window
 
 from riskspark.llm.store import stored
 
-FIRST_SHARE = 16
+#: Shares of the lists read before candidates are excluded (bounds of dense vectors part late).
+DEPTHS = (0.875,)
+#: Queries that read the lists together.
+TOGETHER = 64
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -40,39 +43,53 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
 
 
 class Lists:
-    """The sorted lists of a block: component values and each candidate's place in every list."""
+    """The sorted lists of a block of candidates, each list once from either end.
+
+    Queries read a list from its upper end where their component is positive,
+    from the lower one where it is negative. What has been read down to a depth
+    is the same for all queries with that sign, so sums over read and over
+    unread entries are matrix products for many queries at once.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.v = ids[order], vectors[order].astype(np.float64)
+        self.by = np.argsort(self.v, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.v, self.by, axis=0)
+        self.worst = np.concatenate([self.sorted[0], self.sorted[-1]])
+        self.read = [self._read(max(1, int(share * len(self.ids)))) for share in DEPTHS]
+
+    def _read(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries read, as values and (negated) as a mask, and the best value an unread entry can have."""
         n, d = self.v.shape
-        by = np.argsort(self.v, axis=0, kind="stable")
-        self.place = np.empty((n, d), dtype=np.int32)
-        self.place[by, np.arange(d)] = np.arange(n, dtype=np.int32)[:, None]
-        self.sorted = np.take_along_axis(self.v, by, axis=0)
-
-    def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best ``k``, best first."""
-        n = len(self.ids)
-        live = np.flatnonzero(self.ids != own)
-        use = np.flatnonzero(q)
-        q_used, up = q[use], q[use] > 0
-        worst = np.where(up, self.sorted[0, use], self.sorted[-1, use]) * q_used
-        depth = max(k, n // FIRST_SHARE)
-        while len(live) > 4 * k and depth < n:
-            place = self.place[np.ix_(live, use)]
-            read = np.where(up, place >= n - depth, place < depth)
-            part = np.where(read, self.v[np.ix_(live, use)] * q_used, 0.0)
-            known = part.sum(axis=1)
-            front = np.where(up, self.sorted[n - depth, use], self.sorted[depth - 1, use]) * q_used
-            unread = (~read).astype(np.float64)
-            lower, upper = known + unread @ worst, known + unread @ front
-            least = np.partition(lower, len(live) - k)[len(live) - k]
-            live = live[upper >= least]
-            depth *= 2
-        scores = self.v[live] @ q
-        best = np.lexsort((self.ids[live], -scores))[:k]
-        return self.ids[live][best], scores[best]
+        seen = np.zeros((n, 2 * d))
+        np.put_along_axis(seen[:, :d], self.by[n - depth:], 1.0, axis=0)
+        np.put_along_axis(seen[:, d:], self.by[:depth], 1.0, axis=0)
+        front = np.concatenate([self.sorted[n - depth], self.sorted[depth - 1]])
+        return np.hstack([self.v, self.v]) * seen, 1 - seen, front
+
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query the ids and scores of the best ``k`` of the block, best first."""
+        signed = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
+        live = [np.flatnonzero(self.ids != i) for i in own]
+        for values, unread, front in self.read:
+            if max(map(len, live)) <= 4 * k:
+                break
+            known = signed @ values.T
+            lower, upper = known + (signed * self.worst) @ unread.T, known + (signed * front) @ unread.T
+            for i, some in enumerate(live):
+                if len(some) > k:
+                    least = np.partition(lower[i, some], len(some) - k)[len(some) - k]
+                    live[i] = some[upper[i, some] >= least]
+        out = []
+        for q, some in zip(queries, live):
+            scores = self.v[some] @ q
+            if len(some) > k:
+                enough = scores >= np.partition(scores, len(some) - k)[len(some) - k]
+                some, scores = some[enough], scores[enough]
+            best = np.lexsort((self.ids[some], -scores))[:k]
+            out.append((self.ids[some][best], scores[best]))
+        return out
 
 
 def _search(k: int):
@@ -85,16 +102,17 @@ def _search(k: int):
         out = [(np.zeros(0, np.int64),) * 3]
         if not asks.all():
             lists = Lists(ids[~asks], vectors[~asks])
-            for own, q in zip(ids[asks], vectors[asks].astype(np.float64)):
-                found, scores = lists.top(own, q, k)
-                out.append((np.full(len(found), own), found, scores.astype(np.int64)))
+            own, queries = ids[asks], vectors[asks].astype(np.float64)
+            for i in range(0, len(own), TOGETHER):
+                for query, (found, scores) in zip(own[i:i + TOGETHER], lists.top(own[i:i + TOGETHER], queries[i:i + TOGETHER], k)):
+                    out.append((np.full(len(found), query), found, scores.astype(np.int64)))
         query, found, score = (np.concatenate(c) for c in zip(*out))
         return pa.table({"query_id": query, "vec_id": found, "score": score})
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block: int = 16_384,
-          query_block: int = 4_096) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block: int = 8_192,
+          query_block: int = 2_048) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` picks, its ``k`` best other rows."""
     rows = stored(quantised(vectors.select("vec_id", "embedding"), scale), "vectors")
     n, n_queries = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(is_query.cast("int")), F.lit(0))).first()
