@@ -23,47 +23,63 @@ def is_night(ts: Column, night: str = "strict") -> Column:
     return (hour < 6) | (hour > 22) if night == "strict" else (hour >= 22) | (hour <= 6)
 
 
-def transaction_flags(transactions: DataFrame, night: str = "strict") -> DataFrame:
-    """Amount, calendar and channel flags per transaction."""
+def _flags(night: str) -> dict[str, Column]:
     ts, amount = F.col("timestamp"), F.col("amount").cast("double")
 
     def flag(condition: Column) -> Column:
         return F.coalesce(condition, F.lit(False)).cast("int")
 
-    return transactions.select(
-        "transaction_id", "customer_id",
-        amount.alias("transaction_amount"),
-        flag(amount % 1 == 0).alias("is_round_amount"),
-        flag(F.weekday(ts) >= 5).alias("is_weekend"),
-        F.hour(ts).alias("hour_of_day"),
-        flag(is_night(ts, night)).alias("is_night_transaction"),
-        flag(F.col("channel") == "mobile_app").alias("is_mobile_channel"),
-        flag(F.col("channel") == "web_browser").alias("is_web_channel"),
-        flag(F.col("channel") == "atm").alias("is_atm_channel"))
+    return {
+        "transaction_amount": amount,
+        "is_round_amount": flag(amount % 1 == 0),
+        "is_weekend": flag(F.weekday(ts) >= 5),
+        "hour_of_day": F.hour(ts),
+        "is_night_transaction": flag(is_night(ts, night)),
+        "is_mobile_channel": flag(F.col("channel") == "mobile_app"),
+        "is_web_channel": flag(F.col("channel") == "web_browser"),
+        "is_atm_channel": flag(F.col("channel") == "atm")}
 
 
-def same_day_history(transactions: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """Minutes since the previous transaction of the day and how many came before.
+def transaction_flags(transactions: DataFrame, night: str = "strict") -> DataFrame:
+    """Amount, calendar and channel flags per transaction."""
+    return transactions.select("transaction_id", "customer_id", *[c.alias(n) for n, c in _flags(night).items()])
+
+
+SAME_DAY_COLUMNS = ["transactions_today", "minutes_since_last_transaction"]
 
-    Earlier rows are those of ``history``, and of ``transactions`` where they are
-    not stored yet, so the answer does not depend on how a stream is cut. Only
-    days that ``transactions`` touches are read from ``history``.
+
+def with_same_day(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the minutes since the previous transaction of the day and how many came before.
+
+    Earlier rows are those of ``history``, and of ``rows`` where they are not
+    stored yet, so the answer does not depend on how a stream is cut. Only days that
+    ``rows`` touches are read from ``history``.
     """
-    columns = ["transaction_id", "customer_id", "timestamp"]
-    rows = transactions.select(*columns).withColumn("__asked", F.lit(True))
-    if history is not None and not history.sameSemantics(transactions):
-        first, last = transactions.agg(F.to_date(F.min("timestamp")), F.max("timestamp")).first()
+    columns = rows.columns
+    both = rows.withColumn("__asked", F.lit(True))
+    if history is not None:
+        first, last = rows.agg(F.to_date(F.min("timestamp")), F.max("timestamp")).first()
         if first is not None:
             stored = history.where((F.col("timestamp") >= F.lit(first).cast("timestamp_ntz")) & (F.col("timestamp") <= F.lit(last)))
-            rows = rows.unionByName(stored.select(*columns).join(transactions.select("transaction_id"), "transaction_id", "left_anti")
-                                    .withColumn("__asked", F.lit(False)))
-    seen = strictly_before(rows.withColumn("__day", F.to_date("timestamp")), ["customer_id", "__day"], "timestamp",
+            stored = (stored.select("transaction_id", "customer_id", "timestamp")
+                      .join(rows.select("transaction_id"), "transaction_id", "left_anti").withColumn("__asked", F.lit(False)))
+            both = both.unionByName(stored, allowMissingColumns=True)
+    seen = strictly_before(both.withColumn("__day", F.to_date("timestamp")), ["customer_id", "__day"], "timestamp",
                            counts="transactions_today", latest="__previous").where("__asked")
     gap_seconds = F.round((micros("timestamp") - F.col("__previous")) / 1_000_000)
-    return seen.select(
-        "transaction_id", "transactions_today",
-        F.coalesce(F.floor(gap_seconds / 60), F.lit(NO_EARLIER_MINUTES)).cast("bigint")
-        .alias("minutes_since_last_transaction"))
+    return seen.select(*columns, "transactions_today", F.coalesce(F.floor(gap_seconds / 60), F.lit(NO_EARLIER_MINUTES))
+                       .cast("bigint").alias("minutes_since_last_transaction"))
+
+
+def same_day_history(transactions: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Minutes since the previous transaction of the day and how many came before."""
+    rows = transactions.select("transaction_id", "customer_id", "timestamp")
+    return with_same_day(rows, _other(transactions, history)).select("transaction_id", *SAME_DAY_COLUMNS)
+
+
+def _other(transactions: DataFrame, history: DataFrame | None) -> DataFrame | None:
+    """The history unless it is the transactions themselves."""
+    return None if history is None or history.sameSemantics(transactions) else history
 
 
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -75,7 +91,13 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 def nearest_usual_location(transactions: DataFrame, history: DataFrame, as_of,
                            hours: int = DAYS_90, cell_degrees: float = 0.5) -> DataFrame:
-    """Kilometres from each transaction to the customer's nearest location in the window.
+    """Kilometres from each transaction to the customer's nearest location in the window."""
+    return with_location(transactions, history, as_of, hours, cell_degrees).select(
+        "transaction_id", "distance_from_usual_location_km")
+
+
+def with_location(transactions: DataFrame, history: DataFrame, as_of, hours: int = DAYS_90, cell_degrees: float = 0.5) -> DataFrame:
+    """``transactions`` with the kilometres from each transaction to the customer's nearest location in the window.
 
     Places are reduced to distinct (customer, latitude, longitude) first, and a place
     already in the history needs no search. For the others, history is grouped
@@ -121,9 +143,10 @@ def nearest_usual_location(transactions: DataFrame, history: DataFrame, as_of,
     found = (near.join(points, ["customer_id", *cell])
              .groupBy(*place).agg(F.min(great_circle_km(lat, lon, F.col("y"), F.col("x"))).alias("km")))
     all_found = known.withColumn("km", F.lit(0.0)).unionByName(found)
-    return (transactions.select("transaction_id", *place).join(all_found, place, "left")
-            .select("transaction_id",
-                    F.when(~has_place, 0.0).otherwise(F.coalesce("km", F.lit(NO_HISTORY_KM)))
+    columns = transactions.columns
+    return (transactions.join(all_found.withColumnRenamed("km", "__km"), place, "left")
+            .select(*columns,
+                    F.when(~has_place, 0.0).otherwise(F.coalesce("__km", F.lit(NO_HISTORY_KM)))
                     .alias("distance_from_usual_location_km")))
 
 
@@ -138,31 +161,48 @@ def amount_baseline(history: DataFrame, as_of, hours: int = DAYS_90) -> DataFram
                       "customer_id", "left")
 
 
-def amount_deviation(transactions: DataFrame, history: DataFrame, as_of) -> DataFrame:
-    """How far an amount is from its customer's history; every divisor is at least 1."""
+DEVIATION_COLUMNS = ["amount_zscore", "amount_vs_p95_ratio", "amount_vs_max_ratio", "is_amount_above_p95"]
+
+
+def with_deviation(transactions: DataFrame, history: DataFrame, as_of) -> DataFrame:
+    """``transactions`` with how far the amount is from its customer's history; every divisor is at least 1."""
     amount = F.col("amount").cast("double")
+    base = amount_baseline(history, as_of)
+    base = base.select("customer_id", F.struct(*base.columns[1:]).alias("__base"))
 
     def known(name: str, default: float) -> Column:
-        return F.coalesce(name, F.lit(default))
+        return F.coalesce("__base." + name, F.lit(default))
 
     def at_least_one(column: Column) -> Column:
         return F.greatest(column, F.lit(1.0))
 
-    return (transactions.select("transaction_id", "customer_id", "amount")
-            .join(amount_baseline(history, as_of), "customer_id", "left")
-            .select("transaction_id",
-                    ((amount - known("avg_amount", 0.0)) / at_least_one(known("std_amount", 1.0)))
-                    .alias("amount_zscore"),
-                    (amount / at_least_one(known("p95_amount", 0.0))).alias("amount_vs_p95_ratio"),
-                    (amount / at_least_one(known("max_amount", 0.0))).alias("amount_vs_max_ratio"),
-                    (amount > known("p95_amount", 0.0)).cast("int").alias("is_amount_above_p95")))
+    return transactions.join(base, "customer_id", "left").select(
+        *transactions.columns,
+        ((amount - known("avg_amount", 0.0)) / at_least_one(known("std_amount", 1.0))).alias("amount_zscore"),
+        (amount / at_least_one(known("p95_amount", 0.0))).alias("amount_vs_p95_ratio"),
+        (amount / at_least_one(known("max_amount", 0.0))).alias("amount_vs_max_ratio"),
+        (amount > known("p95_amount", 0.0)).cast("int").alias("is_amount_above_p95"))
+
+
+def amount_deviation(transactions: DataFrame, history: DataFrame, as_of) -> DataFrame:
+    """How far an amount is from its customer's history."""
+    return with_deviation(transactions.select("transaction_id", "customer_id", "amount"), history, as_of).select(
+        "transaction_id", *DEVIATION_COLUMNS)
+
+
+def with_context(transactions: DataFrame, history: DataFrame, as_of) -> DataFrame:
+    """``transactions`` with the whole contextual pillar.
+
+    The row is carried through: one exchange for the day, one for the
+    customer's amounts and one for its places, and no join back on the id.
+    """
+    rows = transactions.withColumns(_flags("strict"))
+    rows = with_same_day(rows, _other(transactions, history))
+    return with_deviation(with_location(rows, history, as_of), history, as_of)
 
 
 def contextual_features(transactions: DataFrame, history: DataFrame, as_of) -> DataFrame:
     """The whole contextual pillar, one row per transaction."""
-    out = transaction_flags(transactions)
-    for part in (same_day_history(transactions, history),
-                 nearest_usual_location(transactions, history, as_of),
-                 amount_deviation(transactions, history, as_of)):
-        out = out.join(part, "transaction_id", "left")
-    return out
+    rows = with_context(transactions, history, as_of)
+    return rows.select("transaction_id", "customer_id", *_flags("strict"), *SAME_DAY_COLUMNS,
+                       "distance_from_usual_location_km", *DEVIATION_COLUMNS)

@@ -77,11 +77,16 @@ def attach_hub_score(transactions: DataFrame, hub_scores: DataFrame, default: fl
 
 def new_beneficiary(transactions: DataFrame, history: DataFrame, product: str = "pix") -> DataFrame:
     """1 unless the customer paid this beneficiary by the same product strictly earlier."""
+    return with_new_beneficiary(transactions, history, product).select("transaction_id", "is_new_beneficiary")
+
+
+def with_new_beneficiary(transactions: DataFrame, history: DataFrame, product: str = "pix") -> DataFrame:
+    """``transactions`` with the new-beneficiary flag."""
     pair = ["customer_id", "beneficiary_id"]
     first = (history.where((F.col("product_type") == product) & F.col("beneficiary_id").isNotNull())
              .groupBy(*pair).agg(F.min("timestamp").alias("__first")))
-    return transactions.select("transaction_id", *pair, "timestamp").join(first, pair, "left").select(
-        "transaction_id", F.when(F.col("__first") < F.col("timestamp"), 0).otherwise(1).alias("is_new_beneficiary"))
+    return transactions.join(first, pair, "left").select(
+        *transactions.columns, F.when(F.col("__first") < F.col("timestamp"), 0).otherwise(1).alias("is_new_beneficiary"))
 
 
 def stable_fraction(id_column: str, seed: int = 42) -> Column:
