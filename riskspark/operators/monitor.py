@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.quantiles import exact_percentiles
-from riskspark.functions.times import MINUTE_US, as_time, hours_before, micros
+from riskspark.functions.times import HOUR_US, MINUTE_US, as_time, hours_before, micros
 from riskspark.plans.fixpoint import cut
 from riskspark.plans.running import first_after, running
 
@@ -43,11 +43,20 @@ def counters(points: DataFrame) -> DataFrame:
 
 
 def timer_summary(points: DataFrame, id_column: str, last: int = TIMER_VALUES) -> DataFrame:
-    """Summary of the latest values per (name, labels); positions are bucketed running counts."""
+    """Summary of the latest values per (name, labels).
+
+    Counts per hour tell which of the newest hours hold them; only rows of these
+    hours are placed, by bucketed running counts.
+    """
     keyed = points.withColumn("label_key", label_key(F.col("labels"))).drop("labels")
     keys = ["name", "label_key"]
+    hour = F.floor(micros("timestamp") / F.lit(HOUR_US)).cast("bigint").alias("__hour")
+    counts = keyed.groupBy(*keys, hour).agg(F.count(F.lit(1)).alias("n"))
+    newer = Window.partitionBy(*keys).orderBy(F.desc("__hour")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0))).where(F.col("newer") < last)
+    keyed = keyed.withColumn("__hour", hour).join(needed.select(*keys, "__hour"), [*keys, "__hour"], "left_semi").drop("__hour")
     placed = running(keyed, keys, "timestamp", [id_column], sums={"place": F.lit(1).cast("bigint")})
-    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    sizes = needed.groupBy(*keys).agg(F.sum("n").alias("size"))
     recent = placed.join(sizes, keys).where(F.col("size") - F.col("place") < last)
     return summarize(recent, keys)
 

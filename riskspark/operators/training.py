@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.times import HOUR_US, WINDOW_HOURS, as_time, micros
-from riskspark.plans.running import asof_sums, running
+from riskspark.plans.running import asof_sums
 
 # Label window in days, least label confidence.
 LABEL_DAYS, MIN_CONFIDENCE = 730, 0.8
@@ -95,9 +96,39 @@ def stable_fraction(id_column: str, seed: int = 42) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(16 ** 8))
 
 
-def time_ranked(df: DataFrame, ts: str, id_column: str) -> DataFrame:
-    """Global position by time; ranks are taken per hour and offset, not in one task."""
-    return running(df, [], ts, [id_column], sums={"time_rank": F.lit(1).cast("bigint")})
+def _id_key(df: DataFrame, id_column: str) -> Column:
+    """The order of rows of one instant: the id if it is a whole number, otherwise its hash."""
+    whole = dict(df.dtypes)[id_column] in ("tinyint", "smallint", "int", "bigint")
+    return F.col(id_column).cast("bigint") if whole else F.xxhash64(id_column)
+
+
+def time_boundary(df: DataFrame, ts: str, id_column: str, rank: int):
+    """(microseconds, id) of the row at position ``rank`` (from 1) by time and id, or None beyond the end.
+
+    Found from counts: per hour, then per second of the hour that holds the
+    position, then per microsecond of that second, then per stretch of the
+    ids (or their hashes) of that instant. No row is ranked; each step sorts a bounded number of counts.
+    """
+    rows, left = df.select(micros(ts).alias("us"), _id_key(df, id_column).alias("id")), rank
+    for bucket in (*[F.floor(F.col("us") / width) for width in (HOUR_US, 1_000_000, 1)],
+                   *[F.shiftright("id", bits) for bits in (44, 22, 0)]):
+        counts = rows.groupBy(bucket.cast("bigint").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+        found = (counts.withColumn("before", F.coalesce(before, F.lit(0)))
+                 .where((F.col("before") < left) & (F.col("before") + F.col("n") >= left)).first())
+        if found is None:
+            return None
+        rows, left = rows.where(bucket.cast("bigint") == found["b"]), left - found["before"]
+    at = rows.first()
+    return at["us"], at["id"]
+
+
+def _after(df: DataFrame, ts: str, id_column: str, boundary) -> Column:
+    """Whether a row lies at or behind a boundary."""
+    if boundary is None:
+        return F.lit(False)
+    us = micros(ts)
+    return (us > boundary[0]) | ((us == boundary[0]) & (_id_key(df, id_column) >= F.lit(boundary[1])))
 
 
 def split_by_time(df: DataFrame, ts: str, id_column: str, test: float = 0.1, validation: float = 0.2,
@@ -106,15 +137,17 @@ def split_by_time(df: DataFrame, ts: str, id_column: str, test: float = 0.1, val
 
     The share depends only on the id, so it is the same within each class.
     """
-    size = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    boundary = F.floor(size * F.lit(1 - test))
-    part = (F.when(F.col("time_rank") > boundary, "test")
+    boundary = time_boundary(df, ts, id_column, math.floor(df.count() * (1 - test)) + 1)
+    part = (F.when(_after(df, ts, id_column, boundary), "test")
             .when(stable_fraction(id_column, seed) < validation, "validation").otherwise("train"))
-    return time_ranked(df, ts, id_column).withColumn("part", part).drop("time_rank")
+    return df.withColumn("part", part)
 
 
 def time_folds(df: DataFrame, ts: str, id_column: str, folds: int = 3) -> DataFrame:
     """Column ``block`` 0..folds in time order: train on blocks up to i, test on i + 1."""
-    size = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    block = F.least(F.floor((F.col("time_rank") - 1) * (folds + 1) / size), F.lit(folds)).cast("int")
-    return time_ranked(df, ts, id_column).withColumn("block", block).drop("time_rank")
+    size = df.count()
+    block = F.lit(0)
+    for b in range(1, folds + 1):
+        start = time_boundary(df, ts, id_column, -(-b * size // (folds + 1)) + 1)
+        block = F.when(_after(df, ts, id_column, start), b).otherwise(block)
+    return df.withColumn("block", block.cast("int"))

@@ -39,23 +39,48 @@ def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Ite
     A row older than the newest seen one is late: it counts with a gap of zero.
     """
     rows = pd.concat(list(chunks)).sort_values(["us", "transaction_id"])
-    n, total, squares, first, last, gaps, late = state.get if state.exists else (0, 0.0, 0.0, None, None, [], 0)
-    gaps, out = list(gaps), []
-    for tid, us, amount in zip(rows["transaction_id"], rows["us"], rows["amount"]):
-        n, total, squares = n + 1, total + amount, squares + amount * amount
-        gap = 0.0
-        if last is not None:
-            late += us < last
-            gap = max(us - last, 0) / HOUR_US
-            gaps = (gaps + [gap])[-RECENT_GAPS:]
-        first = us if first is None else first
-        last = us if last is None else max(us, last)
-        mean, days = total / n, max((us - first) // DAY_US, 0)
-        g = np.array(gaps) if gaps else np.zeros(1)
-        out.append((key[0], tid, n, total, mean, float(np.sqrt(max(squares / n - mean * mean, 0.0))) if n > 1 else 0.0,
-                    days, n / max(days, 1), gap, g.mean(), g.std(), float(np.median(g)), int(late)))
-    state.update((n, total, squares, int(first), int(last), [float(x) for x in gaps], int(late)))
-    yield pd.DataFrame(out, columns=["customer_id", "transaction_id", *FEATURES])
+    us, amount = rows["us"].to_numpy(np.int64), rows["amount"].to_numpy(np.float64)
+    n0, total0, squares0, first, last, gaps, late0 = state.get if state.exists else (0, 0.0, 0.0, None, None, [], 0)
+    n = n0 + np.arange(1, len(us) + 1)
+    total = np.cumsum(np.concatenate([[total0], amount]))[1:]
+    squares = np.cumsum(np.concatenate([[squares0], amount * amount]))[1:]
+    # Rows are in time order, so only those before the stored newest row are late.
+    newest = np.maximum.accumulate(np.concatenate([[us[0] if last is None else last], us]))
+    new_gaps = np.maximum(us - newest[:-1], 0) / HOUR_US
+    late = late0 + np.cumsum(us < newest[:-1])
+    first = us[0] if first is None else first
+    known = np.concatenate([gaps, new_gaps[1:] if last is None else new_gaps])
+    mean_gap, std_gap, median_gap = _recent(known, len(gaps), len(us), last is None)
+    mean, days = total / n, np.maximum((us - first) // DAY_US, 0)
+    out = pd.DataFrame({
+        "customer_id": [key[0]] * len(us), "transaction_id": rows["transaction_id"].to_numpy(), "total_transactions": n,
+        "total_amount": total, "avg_amount": mean,
+        "amount_std": np.where(n > 1, np.sqrt(np.maximum(squares / n - mean * mean, 0.0)), 0.0),
+        "days_active": days, "transactions_per_day": n / np.maximum(days, 1), "hours_since_last_transaction": new_gaps,
+        "avg_inter_transaction_hours": mean_gap, "std_inter_transaction_hours": std_gap,
+        "median_inter_transaction_hours": median_gap, "late_rows": late})
+    state.update((int(n[-1]), float(total[-1]), float(squares[-1]), int(first), int(newest[-1]),
+                  [float(x) for x in known[-RECENT_GAPS:]], int(late[-1])))
+    yield out[["customer_id", "transaction_id", *FEATURES]]
+
+
+def _recent(known: np.ndarray, before: int, n: int, fresh: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, deviation and median of the last gaps at each of ``n`` rows.
+
+    ``known`` are the gaps in order, ``before`` of them from earlier batches; the first row of a
+    fresh customer has none.
+    """
+    out = np.zeros((3, n))
+    measures = (np.mean, np.std, np.median)
+    size = before + np.arange(n) + (0 if fresh else 1)
+    for i in np.flatnonzero((size > 0) & (size < RECENT_GAPS)):
+        out[:, i] = [f(known[:size[i]]) for f in measures]
+    full = np.flatnonzero(size >= RECENT_GAPS)
+    if len(full):
+        windows = np.lib.stride_tricks.sliding_window_view(known, RECENT_GAPS)
+        for part in np.array_split(full, len(full) // 10_000 + 1):
+            out[:, part] = [f(windows[size[part] - RECENT_GAPS], axis=1) for f in measures]
+    return out[0], out[1], out[2]
 
 
 def online_features(stream: DataFrame) -> DataFrame:
