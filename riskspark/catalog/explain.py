@@ -90,7 +90,7 @@ class Fitted:
         part = F.when(training.stable_fraction("customer_id") < 0.2, "test").otherwise("train")
         rows = rows.withColumn("part", part).select("customer_id", "label", "part", *FEATURES)
         self.trained = models.train_model(rows, FEATURES, models.Spec("customer_risk", "logistic"))
-        self.background = cut(explain.background(demo, "customer_id", FEATURES, 20))
+        self.background = cut(explain.background(demo, "customer_id", FEATURES))
 
     @classmethod
     def of(cls, t) -> "Fitted":
@@ -111,14 +111,14 @@ def sampled_attributions(t):
 def counterfactuals(t):
     """Nearest changed versions of every customer that fall in the low-risk class."""
     f = Fitted.of(t)
-    found = explain.counterfactuals(f.trained.model, t.demo_profiles(), "customer_id", FEATURES, t.demo_profiles(), candidates=20)
+    found = explain.counterfactuals(f.trained.model, t.demo_profiles(), "customer_id", FEATURES, t.demo_profiles())
     return rounded(explain.long_changes(found, "customer_id", FEATURES))
 
 
 @query("local_surrogates")
 def local_surrogates(t):
     f = Fitted.of(t)
-    return rounded(explain.local_surrogates(f.trained.model, t.demo_profiles(), "customer_id", FEATURES, t.demo_profiles(), samples=60))
+    return rounded(explain.local_surrogates(f.trained.model, t.demo_profiles(), "customer_id", FEATURES, t.demo_profiles()))
 
 
 @query("combined_explanations", f"""

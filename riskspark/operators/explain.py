@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from riskspark.operators import metrics
 from riskspark.operators.modeling_table import stable_sample
+from riskspark.plans.fixpoint import cut
 
 # Background size, strength and level limits.
 BACKGROUND = 100
@@ -140,25 +141,41 @@ def counterfactuals(model: Model, df: DataFrame, id_column: str, features: Seque
     """Changed versions of each row that reach the wanted class, nearest first.
 
     A seeded hash picks which features change and to what value inside the
-    observed range. Distances are scaled by that range.
+    observed range. Distances are scaled by that range. Rows that have fewer than
+    ``keep`` are tried again with other picks that change more features, until all
+    are complete or a round reaches nothing new; ``reached`` tells how many a row got.
     """
+    from pyspark.sql import Window
     ranges = feature_ranges(reference, features)
     lo, hi = ranges.select("lo").scalar(), ranges.select("hi").scalar()
-    tries = df.select(F.col(id_column).alias("id"), feature_array(df, features).alias("x"), lo.alias("lo"), hi.alias("hi"),
-                      F.explode(F.sequence(F.lit(1), F.lit(candidates))).alias("candidate"))
-    changed = F.transform("x", lambda v, i: F.when(
-        uniform(F.lit(seed), F.col("id"), F.col("candidate"), i, F.lit("pick")) < share,
-        F.get("lo", i) + uniform(F.lit(seed), F.col("id"), F.col("candidate"), i, F.lit("value"))
-        * (F.get("hi", i) - F.get("lo", i))).otherwise(v))
-    scored = class_one(model, tries.withColumn("z", changed), F.col("z"))
-    reached = scored.where(F.when(F.col("f") > 0.5, 1).otherwise(0) == wanted)
-    gap = F.aggregate(F.transform("x", lambda v, i: F.when(
-        F.get("hi", i) > F.get("lo", i), F.abs(v - F.get("z", i)) / (F.get("hi", i) - F.get("lo", i))).otherwise(0.0)),
-        F.lit(0.0), lambda a, v: a + v)
-    from pyspark.sql import Window
-    near = Window.partitionBy("id").orderBy("distance", "candidate")  # at most ``candidates`` rows per id
-    ranked = reached.withColumn("distance", gap).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= keep)
-    return ranked.select(F.col("id").alias(id_column), "rank", "distance", F.col("f").alias("score"), "x", "z")
+    rows = df.select(F.col(id_column).alias("id"), feature_array(df, features).alias("x"), lo.alias("lo"), hi.alias("hi"))
+
+    def tried(open_rows: DataFrame, first: int, part: float) -> DataFrame:
+        tries = open_rows.withColumn("candidate", F.explode(F.sequence(F.lit(first), F.lit(first + candidates - 1))))
+        changed = F.transform("x", lambda v, i: F.when(
+            uniform(F.lit(seed), F.col("id"), F.col("candidate"), i, F.lit("pick")) < part,
+            F.get("lo", i) + uniform(F.lit(seed), F.col("id"), F.col("candidate"), i, F.lit("value"))
+            * (F.get("hi", i) - F.get("lo", i))).otherwise(v))
+        scored = class_one(model, tries.withColumn("z", changed), F.col("z"))
+        gap = F.aggregate(F.transform("x", lambda v, i: F.when(
+            F.get("hi", i) > F.get("lo", i), F.abs(v - F.get("z", i)) / (F.get("hi", i) - F.get("lo", i))).otherwise(0.0)),
+            F.lit(0.0), lambda a, v: a + v)
+        return scored.where(F.when(F.col("f") > 0.5, 1).otherwise(0) == wanted).select(
+            "id", "candidate", gap.alias("distance"), "f", "x", "z")
+
+    found, first, part = cut(tried(rows, 1, share)), 1, share
+    while True:
+        counts = found.groupBy("id").agg(F.count(F.lit(1)).alias("reached"))
+        open_rows = rows.join(counts.where(F.col("reached") >= keep).select("id"), "id", "left_anti")
+        first, part = first + candidates, 1 - (1 - part) / 2
+        more = cut(tried(open_rows, first, part))
+        if more.isEmpty():
+            break
+        found = cut(found.unionByName(more))
+    near = Window.partitionBy("id").orderBy("distance", "candidate")  # some rounds of ``candidates`` rows per id
+    ranked = found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= keep)
+    return ranked.join(counts, "id").select(F.col("id").alias(id_column), "rank", "distance", F.col("f").alias("score"), "x", "z",
+                                            F.least("reached", F.lit(keep)).alias("reached"))
 
 
 def long_changes(found: DataFrame, id_column: str, features: Sequence[str]) -> DataFrame:
