@@ -85,16 +85,15 @@ class Stage:
         prof = profile.profile_features(t.customers(), t.customer_products(), t.risk_profile(), AS_OF)
         self.static = cut(batch.static_columns(prof, self.net))
         rows = training.hub_training_set(t.fraud_labels(), tx, self.static, AS_OF)
-        self.hub = models.train_hub(rows, models.Spec("hub", "gbt", {"maxIter": 10, "maxDepth": 4}))
+        self.hub = models.train_hub(rows, models.Spec("hub", "gbt"))
         windows = behavior.transaction_windows(tx, AS_OF)
         keep = [c for c in windows.columns if not c.startswith("std_")]
         vectors = self.static.join(windows.select(*keep), "customer_id", "left").fillna(0)
         self.hub_scores = cut(models.hub_scores(self.hub, vectors))
-        small = {n: models.Spoke(s.product, s.features, s.build, models.Spec(
-            s.spec.name, s.spec.algorithm, {"maxIter": 10, "maxDepth": 4} if s.spec.algorithm == "gbt" else {"maxIter": 30}))
-            for n, s in models.SPOKES.items()}
         self.enriched = written(batch.enrich(tx, tx, self.hub_scores, AS_OF), "product_type")
-        self.spokes, self.failed = models.train_spokes(self.enriched, t.fraud_labels(), AS_OF, small)
+        self.spokes, self.failed = models.train_spokes(self.enriched, t.fraud_labels(), AS_OF)
+        if self.failed:
+            raise RuntimeError(f"training failed: {self.failed}")
 
     @classmethod
     def of(cls, t) -> "Stage":
@@ -148,7 +147,7 @@ def hub_score_per_transaction(t):
 def forest_hub_metrics(t):
     """The second hub learner."""
     rows = training.hub_training_set(t.fraud_labels(), t.transactions(), Stage.of(t).static, AS_OF)
-    forest = models.train_hub(rows, models.Spec("hub", "forest", {"numTrees": 10, "maxDepth": 5}))
+    forest = models.train_hub(rows, models.Spec("hub", "forest"))
     return models.metrics_table(t.spark, {"forest": forest})
 
 
@@ -158,7 +157,7 @@ def parameter_search(t):
     s = Stage.of(t)
     spoke = models.SPOKES["credit_card"]
     rows = models.product_training_set(spoke, s.enriched, t.fraud_labels(), AS_OF)
-    specs = models.random_specs(models.Spec("card", "logistic"), {"regParam": [0.001, 0.01, 0.1], "maxIter": [10, 20]}, 2)
+    specs = models.random_specs(models.Spec("card", "gbt"), {"stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 4, 5]}, 2)
     return models.search(rows.withColumnRenamed("is_fraud", "label"), spoke.inputs(), specs, "timestamp", "transaction_id")
 
 
