@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from riskspark.catalog import ORACLES
 from tools.check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, con, name):
     ok, text, _ = compare(name, spark, FOLDER, con, entry.queries(), entry.oracle_sql())
     assert ok, text
