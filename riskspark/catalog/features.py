@@ -305,13 +305,20 @@ def feature_vector_network_only(t):
 
 @query("feature_catalog")
 def feature_catalog(t):
-    """Feature names and types per pillar, with how many customers carry a value."""
-    reg = registry.default_registry()
-    wide = reg.feature_vector(inputs(t), ["profile", "network"])
-    names = [c for c in wide.columns if c != "customer_id"]
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c).cast("double") != 0).alias("on")) for c in names])
-    return (wide.select(F.explode(pairs).alias("p")).groupBy("p.feature")
-            .agg(F.count_if("p.on").alias("customers_with_value")))
+    """Every feature of the four pillars with its definition, and how many rows carry a value."""
+    reg, given = registry.default_registry(), inputs(t)
+    rows = [(d.name, d.pillar, d.data_type, d.description, ",".join(d.dependencies), d.ttl_seconds, d.refresh)
+            for d in reg.definitions(given)]
+    known = t.spark.createDataFrame(rows, "feature string, pillar string, data_type string, description string, "
+                                          "dependencies string, ttl_seconds int, refresh string")
+    counts = None
+    for pillar in reg.pillars:
+        wide = reg.build(pillar, given)
+        names = [c for c in wide.columns if c not in ("customer_id", "transaction_id")]
+        sums = wide.agg(*[F.count_if(F.expr(f"try_cast(cast(`{c}` AS string) AS double)") != 0).alias(c) for c in names])
+        part = sums.unpivot([], names, "feature", "rows_with_value").withColumn("pillar", F.lit(pillar))
+        counts = part if counts is None else counts.unionByName(part)
+    return known.join(counts, ["pillar", "feature"])
 
 
 @query("feature_table_long", f"""

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.operators import behavior, context, network, profile
+from riskspark.functions.times import as_time
+from riskspark.operators import behavior, context, monitor, network, profile
 
 
 @dataclass(frozen=True)
@@ -38,32 +39,57 @@ class Inputs:
 Builder = Callable[[Inputs], DataFrame]
 
 
+@dataclass(frozen=True)
+class Pillar:
+    """A group of features built together, and what holds for all of them."""
+    builder: Builder
+    key: str
+    description: str
+    dependencies: tuple[str, ...]
+    ttl_seconds: int
+    refresh: str
+
+
 @dataclass
 class FeatureRegistry:
-    """Pillar name to builder; each builder returns one row per ``customer_id``."""
-    builders: dict[str, Builder] = field(default_factory=dict)
-    keys: dict[str, str] = field(default_factory=dict)
+    """Pillars by name; each builder returns one row per key."""
+    pillars: dict[str, Pillar] = field(default_factory=dict)
 
-    def register(self, pillar: str, builder: Builder, key: str = "customer_id") -> None:
-        self.builders[pillar] = builder
-        self.keys[pillar] = key
+    def register(self, pillar: str, builder: Builder, key: str = "customer_id", description: str = "",
+                 dependencies: Sequence[str] = (), ttl_seconds: int = 3600, refresh: str = "daily") -> None:
+        self.pillars[pillar] = Pillar(builder, key, description, tuple(dependencies), ttl_seconds, refresh)
 
     def build(self, pillar: str, inputs: Inputs) -> DataFrame:
-        return self.builders[pillar](inputs)
+        return self.pillars[pillar].builder(inputs)
+
+    def refreshed(self, pillar: str, stored: DataFrame, wanted: DataFrame, inputs: Inputs) -> DataFrame:
+        """Rows of ``wanted`` keys: stored ones within the pillar's time to live, the others built again.
+
+        ``stored`` has the pillar's columns and ``computed_at``.
+        """
+        p = self.pillars[pillar]
+
+        def recompute(stale: DataFrame) -> DataFrame:
+            rows = self.build(pillar, inputs).join(stale, p.key, "left_semi")
+            return rows.withColumn("computed_at", as_time(inputs.as_of)).select(*stored.columns)
+
+        fresh = monitor.refresh(stored, wanted, recompute, [p.key], inputs.as_of, p.ttl_seconds)
+        return fresh.select(*stored.columns)
 
     def feature_names(self, inputs: Inputs) -> dict[str, list[str]]:
         """Names per pillar, read off the output schema."""
         ids = {"customer_id", "transaction_id"}
-        return {p: [c for c in self.build(p, inputs).columns if c not in ids] for p in self.builders}
+        return {p: [c for c in self.build(p, inputs).columns if c not in ids] for p in self.pillars}
 
     def definitions(self, inputs: Inputs) -> list[FeatureDefinition]:
         ids = {"customer_id", "transaction_id"}
-        return [FeatureDefinition(f.name, p, f.dataType.simpleString())
-                for p in self.builders for f in self.build(p, inputs).schema.fields if f.name not in ids]
+        return [FeatureDefinition(f.name, name, f.dataType.simpleString(), f"{p.description}: {f.name.replace('_', ' ')}",
+                                  p.dependencies, p.ttl_seconds, p.refresh)
+                for name, p in self.pillars.items() for f in self.build(name, inputs).schema.fields if f.name not in ids]
 
     def feature_vector(self, inputs: Inputs, pillars: Sequence[str] | None = None) -> DataFrame:
         """All customers with the columns of the customer-level pillars."""
-        chosen = pillars or [p for p in self.builders if self.keys[p] == "customer_id"]
+        chosen = pillars or [name for name, p in self.pillars.items() if p.key == "customer_id"]
         out = inputs.customers.select("customer_id")
         for p in chosen:
             out = out.join(self.build(p, inputs), "customer_id", "left")
@@ -72,11 +98,17 @@ class FeatureRegistry:
 
 def default_registry() -> FeatureRegistry:
     registry = FeatureRegistry()
-    registry.register("profile", lambda i: profile.profile_features(i.customers, i.products, i.risk, i.as_of))
-    registry.register("behavioral", lambda i: behavior.behavioral_features(i.transactions, i.events, i.as_of))
-    registry.register("network", lambda i: network.network_features(i.transactions, i.fraud_records, i.as_of))
+    registry.register("profile", lambda i: profile.profile_features(i.customers, i.products, i.risk, i.as_of),
+                      description="customer master data and products", dependencies=("customers", "products", "risk"),
+                      ttl_seconds=86_400)
+    registry.register("behavioral", lambda i: behavior.behavioral_features(i.transactions, i.events, i.as_of),
+                      description="activity in trailing windows", dependencies=("transactions", "events"), refresh="hourly")
+    registry.register("network", lambda i: network.network_features(i.transactions, i.fraud_records, i.as_of),
+                      description="shared devices and transfer network", dependencies=("transactions", "fraud_records"),
+                      ttl_seconds=21_600, refresh="every 6 hours")
     registry.register("contextual", lambda i: context.contextual_features(i.transactions, i.transactions, i.as_of),
-                      key="transaction_id")
+                      key="transaction_id", description="transaction against the customer's history",
+                      dependencies=("transactions",), ttl_seconds=300, refresh="per transaction")
     return registry
 
 

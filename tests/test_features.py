@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.functions import series
-from riskspark.operators import context, graph, network, profile, temporal
+from riskspark.operators import context, graph, network, profile, registry, temporal
 from riskspark.sources import tables
 from riskspark.streaming import online
 
@@ -223,3 +223,17 @@ def test_table_modes(spark, tmp_path):
     assert tables.read_table(spark, place, "parquet").count() == 6
     tables.write_table(df, place, "replace")
     assert tables.read_table(spark, place, "parquet").count() == 3
+
+
+def test_registry_builds_only_rows_past_their_time_to_live(spark):
+    rows = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 30.0)], "customer_id long, v double")
+    reg = registry.FeatureRegistry()
+    reg.register("p", lambda i: rows, description="test", dependencies=("customers",), ttl_seconds=600)
+    given = registry.Inputs(rows, None, None, None, None, None, AS_OF)
+    definition, = reg.definitions(given)
+    assert (definition.data_type, definition.dependencies, definition.ttl_seconds) == ("double", ("customers",), 600)
+    at = datetime(2024, 3, 1)
+    stored = spark.createDataFrame([(1, 1.0, at - timedelta(minutes=5)), (2, 2.0, at - timedelta(minutes=15))],
+                                   "customer_id long, v double, computed_at timestamp_ntz")
+    got = {r["customer_id"]: r["v"] for r in reg.refreshed("p", stored, rows.select("customer_id"), given).collect()}
+    assert got == {1: 1.0, 2: 20.0, 3: 30.0}
