@@ -47,6 +47,8 @@ M, R = 128, 4
 BANDS = M // R
 LOG_B = np.log(1.001)
 CUT = 12.5
+#: Set elements a block of a bucket holds at most, more or less: the memory of one comparison.
+BLOCK_ELEMENTS = 500_000
 #: A row is named by two hashes of its id and text.
 KEY = ["__k1", "__k2"]
 
@@ -236,9 +238,10 @@ def components(documents: DataFrame, width: int = 5, percent: int = 75, block: i
         F.min("doc_id").alias("least"), F.min(F.struct(*KEY)).alias("row"),
         F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    bands = classes.select("node", F.posexplode("bands").alias("pos", "value")).where("value <> 0")
-    leaders = bands.groupBy("pos", "value").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = stored(bands.join(leaders, ["pos", "value"]), "met")
+    bands = classes.select("node", "n", F.posexplode("bands").alias("pos", "value")).where("value <> 0")
+    leaders = bands.groupBy("pos", "value").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members"),
+                                                F.sum("n").alias("elements")).where("members > 1")
+    met = stored(bands.drop("n").join(leaders, ["pos", "value"]), "met")
 
     def texts(nodes: DataFrame) -> DataFrame:
         """(node, n, bands, text) of the given classes, each by one row that has the set."""
@@ -258,7 +261,7 @@ def components(documents: DataFrame, width: int = 5, percent: int = 75, block: i
     links = stored(with_texts.transform(tx.in_arrow, _verified(width, percent), "a bigint, b bigint"), "links")
 
     open_buckets = _meeting(met, _components(links))
-    spread = (open_buckets.withColumn("blocks", F.ceil(F.col("members") / block))
+    spread = (open_buckets.withColumn("blocks", F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("elements") / BLOCK_ELEMENTS)))
               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
               .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
               .select("pos", "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
@@ -283,7 +286,7 @@ def _components(links: DataFrame) -> DataFrame:
 def _meeting(met: DataFrame, components: DataFrame) -> DataFrame:
     """The buckets where different components still meet; of buckets with the same members, one."""
     labelled = met.join(components, "node", "left").select(
-        "pos", "value", "node", "members", F.coalesce("component", "node").alias("component"))
+        "pos", "value", "node", "members", "elements", F.coalesce("component", "node").alias("component"))
     buckets = (labelled.groupBy("pos", "value").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.first("members").alias("n"),
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"))

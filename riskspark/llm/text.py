@@ -41,7 +41,7 @@ ALNUM = _class([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
 
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with small batches: texts are long, and executors small."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df.mapInArrow(run, schema)
 
