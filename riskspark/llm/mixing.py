@@ -124,7 +124,7 @@ def mix(documents: DataFrame, alpha: float = 0.7, resolution: int = 1000, weight
 
 
 def interleave(documents: DataFrame, alpha: float = 0.7, resolution: int = 1000, weights: dict | None = None,
-               rows_per_part: int = 50_000) -> DataFrame:
+               rows_per_part: int = 2_048) -> DataFrame:
     """The mixed corpus itself with all columns of ``documents``, each part a
     consecutive stretch of the mix in its order."""
     names = documents.columns
