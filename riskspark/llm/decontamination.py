@@ -227,7 +227,7 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int) -> DataFrame:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20,
-                  block_words: int = 1_000_000) -> DataFrame:
+                  block_words: int = 200_000) -> DataFrame:
     """(doc_id, t, n_words, n_hit, items, runs, contaminated), one row per row of ``documents``.
 
     ``t`` is the 64-bit hash of the text; ``runs`` are the stretches of hit words, in words
