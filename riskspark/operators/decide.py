@@ -76,6 +76,7 @@ def reason_codes(level: Column, hub: Column, spoke: Column, columns: set[str]) -
     return F.slice(found, 1, MAX_REASONS)
 
 
+# The wording of an explanation.
 def explanation(hub: Column, spoke: Column, final: Column, factors: list[str]) -> Column:
     return F.struct(
         F.format_string("Customer risk level: %.2f, Transaction risk: %.2f", hub, spoke).alias("summary"),

@@ -116,6 +116,7 @@ def explanation_texts(attributions: DataFrame, id_column: str, base: Column | No
         F.slice(F.array_sort(F.collect_list(by_size)), 1, top).alias("factors"),
         (F.sum("attribution") + F.max(start)).alias("score"))
 
+    # The wording of the text, here and below.
     def sentence(x: Column, i: Column) -> Column:
         size = F.abs(x["a"])
         impact = F.when(size > STRONG, "strongly").when(size > MODERATE, "moderately").otherwise("slightly")
@@ -199,6 +200,7 @@ def insights(analysis: DataFrame, id_column: str, top: int = 5) -> DataFrame:
     item = F.struct((-F.col("change_frequency")).alias("k"), "feature", "original_value", "average_change", "change_frequency")
     rows = analysis.groupBy(id_column).agg(F.slice(F.array_sort(F.collect_list(item)), 1, top).alias("items"))
 
+    # The wording of the sentence.
     def sentence(x: Column) -> Column:
         verb = F.when(x["average_change"] > 0, "increasing").otherwise("reducing")
         return F.format_string("To change the prediction, consider %s %s from %.3f (changed in %.1f%% of counterfactuals)",
@@ -277,6 +279,7 @@ def combined_explanations(scores: DataFrame, id_column: str, texts: DataFrame, a
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "weight")))).alias("surrogate_weights"))
         out = out.join(weights, id_column, "left")
     p = F.col("score")
+    # The wording of the summary.
     head = F.format_string("**Prediction:** %s (Confidence: %.1f%%, Risk Level: %s)",
                            F.when(p > 0.5, "FRAUD").otherwise("NOT FRAUD"), p * 100, _level(p, SUMMARY_LEVELS))
     recommended = F.when(F.size("insights") > 0, F.concat(F.lit("**Actionable Recommendations:**\n"), F.array_join(

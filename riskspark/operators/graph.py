@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from riskspark.functions.times import whole_days
 from riskspark.plans.fixpoint import both_ways, cut, iterate
-from riskspark.plans.running import ranked
+from riskspark.plans.running import below
 
 # Weights of the community suspicion score and the size it peaks at.
 DENSITY_W, VELOCITY_W, GINI_W, SIZE_W, PEAK_SIZE = 0.3, 0.3, 0.2, 0.2, 5
@@ -441,18 +441,22 @@ def community_sizes(communities: DataFrame) -> DataFrame:
 def community_metrics(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """Size, density, clustering, degree, velocity and amount inequality per community.
 
-    Amount ranks are taken in value buckets, so one giant community is not
-    sorted by a single task.
+    Ranks of equal amounts are consecutive, so their sum follows from the number of
+    ties and of smaller amounts: distinct amounts are placed in value buckets, and
+    neither one giant community nor one common amount is sorted by a single task.
     """
     a = communities.select(F.col("id").alias("src"), "community")
     b = communities.select(F.col("id").alias("dst"), F.col("community").alias("other"))
     inside = cut(edges.where("src <> dst").join(a, "src").join(b, "dst").where("community = other")
                  .select("community", "src", "dst", "transaction_count", "total_amount", "days_active"))
     sizes = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
-    order = ranked(inside, ["community"], "total_amount", ["src", "dst"], out="i")
-    sums = order.groupBy("community").agg(
+    ties = inside.groupBy("community", "total_amount").agg(F.count(F.lit(1)).alias("c"))
+    ranks = F.col("c") * F.col("smaller") + F.col("c") * (F.col("c") + 1) / 2
+    weighted = (below(ties, ["community"], "total_amount", "c", "smaller").groupBy("community")
+                .agg(F.sum(ranks * F.col("total_amount")).alias("weighted")))
+    sums = inside.groupBy("community").agg(
         F.count(F.lit(1)).alias("m"), F.avg(F.col("transaction_count") / F.greatest("days_active", F.lit(1))).alias("velocity"),
-        F.sum(F.col("i") * F.col("total_amount")).alias("weighted"), F.sum("total_amount").alias("amount"))
+        F.sum("total_amount").alias("amount")).join(weighted, "community")
     local = triangles(inside)
     clustering = (communities.join(local, "id", "left").groupBy("community")
                   .agg(F.avg(F.coalesce("clustering_coefficient", F.lit(0.0))).alias("avg_clustering")))

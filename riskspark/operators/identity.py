@@ -159,9 +159,12 @@ def candidate_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame
     return out.select(*keep).distinct()
 
 
-def score_pairs(pairs: DataFrame, fuzzy: str = "matcher", null_policy: str = "skip") -> DataFrame:
+def score_pairs(pairs: DataFrame, fuzzy: str = "matcher", null_policy: str = "skip", at_least: float = 0.0) -> DataFrame:
     """Weighted share of passed rules.
 
+    Pairs that stay below ``at_least`` even if all text rules passed are left out
+    before any text is compared.
+
     ``null_policy='skip'`` leaves a rule out of both sums when a side is empty;
     ``'reference'`` lets exact rules pass on an empty side and compares an empty
     value as the text "none".
@@ -178,25 +181,31 @@ def score_pairs(pairs: DataFrame, fuzzy: str = "matcher", null_policy: str = "sk
             out = out & F.col("a_" + n).isNotNull() & F.col("b_" + n).isNotNull()
         return out
 
-    ratio = matcher_ratio if fuzzy == "matcher" else edit_ratio
-    compared = pairs
-    for n in ("full_name", "birth_date", "phone"):
-        raw = ratio(F.coalesce(side("a", n), F.lit("")), F.coalesce(side("b", n), F.lit("")))
-        compared = compared.withColumn("r_" + n, raw)
+    def weighed(rules: list) -> Column:
+        total = weights = F.lit(0.0)
+        for counts, s, least, weight in rules:
+            total = total + F.when(counts & (s >= least), s * weight).otherwise(0.0)
+            weights = weights + F.when(counts, weight).otherwise(0.0)
+        return F.when(weights > 0, total / weights).otherwise(0.0)
 
     rules = []
     for name, weight in (("document_number", DOCUMENT), ("email", EMAIL), ("phone", PHONE)):
         equal = F.col("a_" + name) == F.col("b_" + name)
         hit = equal if skip else (~filled(name) | equal)
         rules.append((filled(name) if skip else F.lit(True), F.coalesce(hit, F.lit(False)).cast("double"), 0.9, weight))
-    for other, weight, least in (("birth_date", NAME_BIRTH, NAME_BIRTH_MIN), ("phone", NAME_PHONE, NAME_PHONE_MIN)):
-        mean = (F.col("r_full_name") + F.col("r_" + other)) / 2
-        rules.append((filled("full_name", other) if skip else F.lit(True), mean, least, weight))
-    total = weights = F.lit(0.0)
-    for counts, s, least, weight in rules:
-        total = total + F.when(counts & (s >= least), s * weight).otherwise(0.0)
-        weights = weights + F.when(counts, weight).otherwise(0.0)
-    scored = compared.withColumn("score", F.when(weights > 0, total / weights).otherwise(0.0))
+    text_rules = [(filled("full_name", other) if skip else F.lit(True), other, least, weight) for other, weight, least in (
+        ("birth_date", NAME_BIRTH, NAME_BIRTH_MIN), ("phone", NAME_PHONE, NAME_PHONE_MIN))]
+    compared = pairs
+    if at_least > 0:
+        best = weighed(rules + [(counts, F.lit(1.0), least, weight) for counts, _, least, weight in text_rules])
+        compared = pairs.where(best >= at_least)
+    ratio = matcher_ratio if fuzzy == "matcher" else edit_ratio
+    for n in ("full_name", "birth_date", "phone"):
+        raw = ratio(F.coalesce(side("a", n), F.lit("")), F.coalesce(side("b", n), F.lit("")))
+        compared = compared.withColumn("r_" + n, raw)
+    for counts, other, least, weight in text_rules:
+        rules.append((counts, (F.col("r_full_name") + F.col("r_" + other)) / 2, least, weight))
+    scored = compared.withColumn("score", weighed(rules))
     return scored.groupBy(F.col("a_rep").alias("id_a"), F.col("b_rep").alias("id_b")).agg(
         F.max("score").alias("score"))
 
@@ -205,7 +214,7 @@ def matched_pairs(identities: DataFrame, fuzzy: str = "matcher", null_policy: st
                   threshold: float = MATCH_MIN) -> DataFrame:
     """Matching id pairs: scored variants, plus exact copies tied to their smallest id."""
     variants = cut(record_variants(identities))
-    scored = score_pairs(candidate_pairs(variants, null_policy), fuzzy, null_policy)
+    scored = score_pairs(candidate_pairs(variants, null_policy), fuzzy, null_policy, threshold)
     fields = ["document_number", "email", "phone", "full_name", "birth_date"]
     rows = identities.select("customer_id", *[_filled(c).alias("i_" + c) for c in fields])
     same = F.lit(True)

@@ -83,6 +83,19 @@ def ranked(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str],
     return joined.select(*df.columns, (F.col("__l_rank") + F.coalesce("__p_rank", F.lit(0))).cast("bigint").alias(out))
 
 
+def below(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
+    """Per row of distinct (keys, value): the sum of ``weight`` over smaller values of its key.
+
+    Count equal values together first; then no number of ties meets in one task.
+    """
+    from riskspark.functions.quantiles import value_bucket
+    source = df.withColumn(_BUCKET, value_bucket(F.col(value)))
+    inside = Window.partitionBy(*keys, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = source.withColumn("__l_w", F.sum(weight).over(inside))
+    joined = _with_prefix(local, source, keys, {"w": F.col(weight)}, {}, [])
+    return joined.select(*df.columns, (F.coalesce("__l_w", F.lit(0)) + F.coalesce("__p_w", F.lit(0))).alias(out))
+
+
 def strictly_before(df: DataFrame, keys: Sequence[str], ts: str, *,
                     counts: str | None = None, latest: str | None = None,
                     bucket_us: int = HOUR_US) -> DataFrame:
