@@ -124,9 +124,11 @@ def stream_source(spark: SparkSession, path: str | None = None, schema=TRANSACTI
                   fmt: str = "parquet", **options) -> DataFrame:
     """Stream of transactions or events: files of a folder, or a message topic.
 
-    With ``fmt='kafka'`` the JSON value is parsed by the schema.
+    With ``fmt='kafka'`` the JSON value is parsed by the schema. A micro-batch takes a
+    bounded number of files or messages, so the first one is not the whole table.
     """
-    reader = spark.readStream.format(fmt).options(**options)
+    limit = {"maxOffsetsPerTrigger": "1000000"} if fmt == "kafka" else {"maxFilesPerTrigger": "100"}
+    reader = spark.readStream.format(fmt).options(**{**limit, **options})
     if fmt == "kafka":
         return reader.load().select(
             F.from_json(F.col("value").cast("string"), schema).alias("row")).select("row.*")
