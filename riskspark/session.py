@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -15,8 +17,18 @@ RUNTIME_CONF = {
 }
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever their working folder."""
+    root = str(Path(__file__).resolve().parents[1])
+    given = spark.sparkContext.environment
+    have = [p for p in given.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in have:
+        given["PYTHONPATH"] = os.pathsep.join([root, *have])
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings; broadcast stays governed by Spark's size check."""
+    importable(spark)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     context = spark.sparkContext
