@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from riskspark.session import importable
+
 PIECE_BYTES = 1 << 19
 U = np.uint64
 #: Odd multipliers of the word hash and of a 64-bit mixing step.
@@ -41,6 +43,7 @@ ALNUM = _class([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
 
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with small batches: texts are long, and executors small."""
+    importable(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df.mapInArrow(run, schema)

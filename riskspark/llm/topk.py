@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskspark.llm.store import stored
+from riskspark.session import importable
 
 #: Shares of the lists read before candidates are excluded (bounds of dense vectors part late).
 DEPTHS = (0.875,)
@@ -114,6 +115,7 @@ def _search(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block: int = 8_192,
           query_block: int = 2_048) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` picks, its ``k`` best other rows."""
+    importable(vectors.sparkSession)
     rows = stored(quantised(vectors.select("vec_id", "embedding"), scale), "vectors")
     n, n_queries = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(is_query.cast("int")), F.lit(0))).first()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.store import stored
+from riskspark.session import importable
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HOST_RULE = "struct<host: string, path: string, verdict: string>"
@@ -76,6 +77,7 @@ def _key(host: str) -> str:
 
 def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, rules): all rules whose host is the host or a parent of it."""
+    importable(hosts.sparkSession)
     entries = rules.select(reversed_key("host").alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"),
                            F.struct("host", "path", "verdict").alias("rule"))
     entries = entries.unionByName(hosts.select(reversed_key("host").alias("key"), F.lit(1).alias("kind"), "host",
