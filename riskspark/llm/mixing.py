@@ -53,28 +53,39 @@ def _tag(name: str | None) -> str:
 def period_weights(sizes: DataFrame, alpha: float = 0.7, resolution: int = 1000, weights: dict | None = None) -> DataFrame:
     """One row (period, sources): an array of (name, n, w), the weights adding up to the period.
 
-    Target shares are sizes to the power ``alpha`` (or ``weights`` by name),
-    rounded by largest remainder; every source has one slot at least. The row
-    has one entry per source, so its size is that of the list of sources.
+    Target shares are sizes to the power ``alpha``: every source has one slot and
+    the others are shared out by largest remainder, as the SQL of the query has
+    it. Given ``weights`` by name share out the whole period; one slot goes before
+    that to each source that would round to none or is not listed, and sources of
+    weight 0 are left out. The row has one entry per source, so its size is that of
+    the list of sources.
     """
     share = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
+    # Whether a source has a slot before the others are shared out.
+    free = "true"
     if weights is not None:
         named = F.create_map(*[x for k, v in weights.items() for x in (F.lit(_tag(k)), F.lit(float(v)))])
-        share = F.coalesce(named[F.col(S)], F.lit(0.0))
+        sizes, share = sizes.where(F.coalesce(named[F.col(S)], F.lit(1.0)) > 0), F.coalesce(named[F.col(S)], F.lit(0.0))
+        free = "total > 0 AND x.share / total * (period - size(s)) < 1"
     listed = sizes.select(F.struct(F.col(S).alias("name"), "n", share.alias("share")).alias("s"))
     one = listed.agg(F.sort_array(F.collect_list("s")).alias("s")).where(F.size("s") > 0)
     one = one.select("s", F.greatest(F.lit(resolution), 4 * F.size("s")).cast("long").alias("period"),
                      F.expr("aggregate(s, 0D, (a, x) -> a + x.share)").alias("total"))
-    # One slot each, the others by share; floors first, then one more to the largest remainders.
-    free = "(period - size(s))"
-    exact = f"IF(total > 0, x.share / total, 1D / size(s)) * {free}"
-    one = one.select("period", F.expr(f"transform(s, (x, k) -> named_struct('name', x.name, 'n', x.n, 'k', k, "
-                                      f"'low', CAST(floor({exact}) AS BIGINT), 'rest', round({exact} - floor({exact}), 9)))").alias("s"))
-    one = one.select("period", "s", F.expr("period - size(s) - aggregate(s, 0L, (a, x) -> a + x.low)").alias("over"),
+    given = f"IF({free}, 1L, 0L)"
+    one = one.select("period", F.expr(f"transform(s, x -> named_struct('name', x.name, 'n', x.n, 'given', {given}, "
+                                      f"'share', {'x.share' if weights is None else f'IF({free}, 0D, x.share)'}))").alias("s"))
+    one = one.select("period", "s", F.expr("aggregate(s, 0D, (a, x) -> a + x.share)").alias("total"),
+                     F.expr("period - aggregate(s, 0L, (a, x) -> a + x.given)").alias("left"))
+    # Floors first, then one more to the largest remainders.
+    exact = "IF(total > 0, x.share / total, 1D / size(s)) * left"
+    one = one.select("period", "left", F.expr(
+        f"transform(s, (x, k) -> named_struct('name', x.name, 'n', x.n, 'k', k, 'given', x.given, "
+        f"'low', CAST(floor({exact}) AS BIGINT), 'rest', round({exact} - floor({exact}), 9)))").alias("s"))
+    one = one.select("period", "s", F.expr("left - aggregate(s, 0L, (a, x) -> a + x.low)").alias("over"),
                      F.expr("transform(array_sort(transform(s, x -> named_struct('r', -x.rest, 'k', x.k))), y -> y.k)").alias("order"))
     return one.select("period", F.expr(
         "transform(s, (x, k) -> named_struct('name', x.name, 'n', x.n, "
-        "'w', x.low + 1L + IF(array_position(order, k) <= over, 1L, 0L)))").alias("sources"))
+        "'w', x.low + x.given + IF(array_position(order, k) <= over, 1L, 0L)))").alias("sources"))
 
 
 def schedule(sizes: DataFrame, alpha: float, resolution: int, weights: dict | None) -> DataFrame:

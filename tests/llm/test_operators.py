@@ -111,6 +111,18 @@ def test_mix_is_within_a_block_everywhere(spark, weights):
         assert not ids - whole and (epoch > 0 or ids == whole)
 
 
+def test_given_weights_are_scheduled(spark):
+    names = [f"s{k}" for k in range(20)]
+    weights = {"s0": 40.0, "s1": 1e-6, "s2": 0.0, **{s: 2.0 + k / 9 for k, s in enumerate(names[3:])}}
+    docs = frame(spark, [(900 + k, "t", s) for k, s in enumerate(names)])
+    sizes = docs.groupBy(F.concat(F.lit("1"), "source").alias(mixing.S)).agg(F.count("*").alias("n"))
+    one = mixing.period_weights(sizes, 0.7, 400, weights).first()
+    got = {s.name[1:]: s.w for s in one.sources}
+    assert set(got) == set(names) - {"s2"} and got["s1"] == 1 and sum(got.values()) == one.period == 400
+    assert all(abs(got[s] / 400 - w / sum(weights.values())) < 1 / 400 for s, w in weights.items() if w)
+    assert {r.source for r in mixing.mix(docs, resolution=400, weights=weights).collect()} == set(got)
+
+
 def test_interleave_keeps_columns_and_order(spark):
     docs = frame(spark, odd_rows())
     got = mixing.interleave(docs, resolution=20)
