@@ -2,10 +2,11 @@
 
 Templates are short passages of licence texts. One pass over all documents
 counts in how many of them each template word stands. A second pass takes, per
-document, its ``rare`` licence words of highest inverse document frequency,
-looks their places up in the postings (template, place) and lets each pair vote
-for an alignment: document place minus template place. An alignment with
-enough different words counts when the template's key phrases stand where it
+document and template, the rarest words of the template, looks their places up
+in the postings (template, place) and lets each pair vote for an alignment:
+document place minus template place. As many words are looked up, by falling
+inverse document frequency, as it takes to meet every alignment of enough
+coverage. An alignment counts when the template's key phrases stand where it
 puts them (give or take ``slack`` words) and its words, weighted by inverse
 document frequency, are there to at least ``coverage``.
 
@@ -56,6 +57,9 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
 ]
 
+#: Alignments verified at once.
+BLOCK = 4096
+
 
 class Index:
     """Template words by hash, their postings, and the phrases as word numbers."""
@@ -91,41 +95,57 @@ class Index:
             out.append((at, label))
         return out
 
-    def labels(self, numbers: np.ndarray, idf: np.ndarray, rare: int, slack: int, coverage: float) -> dict[str, float]:
+    def labels(self, numbers: np.ndarray, idf: np.ndarray, slack: int, coverage: float) -> dict[str, float]:
         """Verified labels of one text's word numbers, with their best coverage."""
         places = np.flatnonzero(numbers >= 0)
         own = numbers[places]
-        present = np.unique(own)
-        looked = present[np.lexsort((present, -idf[present]))][:rare]
-        votes: dict[tuple[int, int], set] = {}
-        for w in looked:
-            for t, i in self.postings[w]:
-                for d in (places[own == w] - i).tolist():
-                    votes.setdefault((t, d), set()).add(int(w))
+        order = np.argsort(own, kind="stable")
+        edges = np.searchsorted(own[order], np.arange(len(self.words) + 1))
+        at = lambda w: places[order[edges[w]:edges[w + 1]]]
+        present = np.diff(edges) > 0
         out: dict[str, float] = {}
-        for (t, d), words in votes.items():
-            passage = self.passages[t]
-            if len(words) < min(3, len(np.unique(passage))):
-                continue
-            label = self.templates[t][0]
-            if not all(self._stands(numbers, key, [d + p for p in at], slack) for at, key in self.keys[t]):
+        for t, passage in enumerate(self.passages):
+            # A verified alignment holds every key phrase, so the places of one bound all others.
+            if not all(present[key].all() for _, key in self.keys[t]):
                 continue
-            lifted = np.full(len(passage) + 2 * slack, -1)
-            low = max(0, d - slack)
-            part = numbers[low:max(0, d + len(passage) + slack)]
-            lifted[low - (d - slack):low - (d - slack) + len(part)] = part
-            met = np.zeros(len(passage), dtype=bool)
-            for j in range(2 * slack + 1):
-                met |= lifted[j:j + len(passage)] == passage
-            share = float(idf[passage[met]].sum() / max(idf[passage].sum(), 1e-9))
-            if share >= coverage:
-                out[label] = max(out.get(label, 0.0), min(1.0, share))
+            found = self._alignments(t, numbers, at, idf, slack, coverage)
+            shares = [0.0] + [self._coverage(passage, numbers, found[i:i + BLOCK], idf, slack).max() for i in range(0, len(found), BLOCK)]
+            if max(shares) >= coverage:
+                label = self.templates[t][0]
+                out[label] = max(out.get(label, 0.0), min(1.0, float(max(shares))))
         return out
 
+    def _alignments(self, t: int, numbers: np.ndarray, at, idf: np.ndarray, slack: int, coverage: float) -> np.ndarray:
+        """Every alignment of a template that can reach ``coverage`` with its key phrases in place."""
+        near = np.arange(-slack, slack + 1)
+        found = None
+        for places, key in self.keys[t]:
+            stands = at(key[0])
+            stands = stands[stands + len(key) <= len(numbers)]
+            for j in range(1, len(key)):
+                stands = stands[numbers[stands + j] == key[j]]
+            fits = np.unique(stands[:, None, None] - np.array(places)[:, None] + near)
+            found = fits if found is None else np.intersect1d(found, fits)
+        if found is None or not len(found):
+            return np.zeros(0, np.int64)
+        # The rarest words that together weigh more than an alignment may miss: it meets one of them at least.
+        passage = self.passages[t]
+        weight, missed, votes = idf[passage].sum(), 0.0, []
+        for w in sorted(set(passage.tolist()), key=lambda w: (-idf[w], w)):
+            votes += [at(w) - i for u, i in self.postings[w] if u == t]
+            missed += idf[w] * np.count_nonzero(passage == w)
+            if missed > (1 - coverage) * weight + 1e-9:
+                break
+        return np.intersect1d(found, np.unique(np.concatenate(votes)[:, None] + near))
+
     @staticmethod
-    def _stands(numbers: np.ndarray, key: np.ndarray, near: list[int], slack: int) -> bool:
-        return any((numbers[i:i + len(key)] == key).all() for p in near for i in range(max(0, p - slack), p + slack + 1)
-                   if i + len(key) <= len(numbers))
+    def _coverage(passage: np.ndarray, numbers: np.ndarray, found: np.ndarray, idf: np.ndarray, slack: int) -> np.ndarray:
+        """Per alignment the weight of the template's words that stand where it puts them, give or take ``slack``."""
+        met = np.zeros((len(found), len(passage)), dtype=bool)
+        for j in range(-slack, slack + 1):
+            i = found[:, None] + np.arange(len(passage)) + j
+            met |= (numbers[np.clip(i, 0, len(numbers) - 1)] == passage) & (i >= 0) & (i < len(numbers))
+        return met @ idf[passage] / max(idf[passage].sum(), 1e-9)
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -151,7 +171,7 @@ def _frequencies(index: Index):
     return run
 
 
-def _scan(index: Index, idf: np.ndarray, rare: int, slack: int, coverage: float, least_idf: float):
+def _scan(index: Index, idf: np.ndarray, slack: int, coverage: float, least_idf: float):
     informative = np.append(idf >= least_idf, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +192,7 @@ def _scan(index: Index, idf: np.ndarray, rare: int, slack: int, coverage: float,
                 hits = np.bincount(np.searchsorted(borders, told, side="right") - 1, minlength=n)
                 labels, score = [set(b) for b in base], np.where(count > 0, 0.5, 0.0)
                 for i in np.flatnonzero(hits >= 2):
-                    for label, share in index.labels(numbers[borders[i]:borders[i + 1]], idf, rare, slack, coverage).items():
+                    for label, share in index.labels(numbers[borders[i]:borders[i + 1]], idf, slack, coverage).items():
                         labels[i].add(label)
                         score[i] = max(score[i], share)
                 none = count == 0
@@ -185,7 +205,7 @@ def _scan(index: Index, idf: np.ndarray, rare: int, slack: int, coverage: float,
     return run
 
 
-def license_scan(documents: DataFrame, rare: int = 8, slack: int = 2, coverage: float = 0.8, least_idf: float = 1.0) -> DataFrame:
+def license_scan(documents: DataFrame, slack: int = 2, coverage: float = 0.8, least_idf: float = 1.0) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per row of ``documents``.
 
     Documents with fewer than two words of an inverse document frequency of
@@ -198,6 +218,6 @@ def license_scan(documents: DataFrame, rare: int = 8, slack: int = 2, coverage:
     total = counts.get(-1, 0)
     idf = np.array([np.log((total + 1) / (counts.get(w, 0) + 1)) for w in range(len(index.words))])
     return docs.transform(tx.in_arrow,
-        _scan(index, idf, rare, slack, coverage, least_idf),
+        _scan(index, idf, slack, coverage, least_idf),
         f"doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, "
         "base_labels string, labels string, score double")

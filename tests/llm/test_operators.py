@@ -187,6 +187,19 @@ def test_licences(spark):
     assert licenses.license_scan(frame(spark, [])).count() == 0
 
 
+def test_every_notice_of_a_document_is_found(spark):
+    """One document with all templates word for word, and each notice beside words of the others."""
+    rng = random.Random(13)
+    notices = [(label, passage) for label, passage, _ in licenses.TEMPLATES]
+    stray = sorted({w for _, passage in notices for w in passage.split()})
+    rows = [(i, prose(rng, 30), "a") for i in range(200)] + [(900, " \n-- ".join(p for _, p in notices), "a")]
+    rows += [(1000 + k, " ".join(x for w in rng.sample(stray, len(stray)) for x in (w, "xx", "yy", "zz")) + " xx " + p, "a")
+             for k, (_, p) in enumerate(notices)]
+    by = {r.doc_id: set(r.labels.split(",")) for r in licenses.license_scan(frame(spark, rows)).collect()}
+    assert by[900] == {label for label, _ in notices}
+    assert all(label in by[1000 + k] for k, (label, _) in enumerate(notices))
+
+
 # urls
 
 def judged_by_hand(url, rules):
