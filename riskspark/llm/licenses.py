@@ -8,7 +8,8 @@ document place minus template place. As many words are looked up, by falling
 inverse document frequency, as it takes to meet every alignment of enough
 coverage. An alignment counts when the template's key phrases stand where it
 puts them (give or take ``slack`` words) and its words, weighted by inverse
-document frequency, are there to at least ``coverage``.
+document frequency or counted alike, are there to at least ``coverage``. Texts in
+which the key phrases of no template stand are not looked up.
 
 The phrases of the base are searched everywhere, whatever the index says.
 
@@ -95,19 +96,33 @@ class Index:
             out.append((at, label))
         return out
 
-    def labels(self, numbers: np.ndarray, idf: np.ndarray, slack: int, coverage: float) -> dict[str, float]:
-        """Verified labels of one text's word numbers, with their best coverage."""
+    def standing(self, numbers: np.ndarray, borders: np.ndarray) -> np.ndarray:
+        """(texts x templates): whether all key phrases of a template stand in a text. No other text can be verified."""
+        out = np.ones((len(borders) - 1, len(self.templates)), dtype=bool)
+        places = np.flatnonzero(numbers >= 0)
+        own = numbers[places]
+        for t, keys in enumerate(self.keys):
+            for _, key in keys:
+                at = places[own == key[0]]
+                end = borders[np.searchsorted(borders, at, side="right")] if len(at) else at
+                at = at[at + len(key) <= end]
+                for j in range(1, len(key)):
+                    at = at[numbers[at + j] == key[j]]
+                has = np.zeros(len(out), dtype=bool)
+                has[np.searchsorted(borders, at, side="right") - 1] = True
+                out[:, t] &= has
+        return out
+
+    def labels(self, numbers: np.ndarray, templates: list[int], idf: np.ndarray, slack: int, coverage: float) -> dict[str, float]:
+        """Verified labels of one text's word numbers, with their best coverage; only ``templates`` are tried."""
         places = np.flatnonzero(numbers >= 0)
         own = numbers[places]
         order = np.argsort(own, kind="stable")
         edges = np.searchsorted(own[order], np.arange(len(self.words) + 1))
         at = lambda w: places[order[edges[w]:edges[w + 1]]]
-        present = np.diff(edges) > 0
         out: dict[str, float] = {}
-        for t, passage in enumerate(self.passages):
-            # A verified alignment holds every key phrase, so the places of one bound all others.
-            if not all(present[key].all() for _, key in self.keys[t]):
-                continue
+        for t in templates:
+            passage = self.passages[t]
             found = self._alignments(t, numbers, at, idf, slack, coverage)
             shares = [0.0] + [self._coverage(passage, numbers, found[i:i + BLOCK], idf, slack).max() for i in range(0, len(found), BLOCK)]
             if max(shares) >= coverage:
@@ -128,24 +143,29 @@ class Index:
             found = fits if found is None else np.intersect1d(found, fits)
         if found is None or not len(found):
             return np.zeros(0, np.int64)
-        # The rarest words that together weigh more than an alignment may miss: it meets one of them at least.
+        # The rarest words that together are more, by weight and by number, than an alignment may miss: it meets one at least.
         passage = self.passages[t]
-        weight, missed, votes = idf[passage].sum(), 0.0, []
+        weight, missed, n, votes = idf[passage].sum(), 0.0, 0, []
         for w in sorted(set(passage.tolist()), key=lambda w: (-idf[w], w)):
             votes += [at(w) - i for u, i in self.postings[w] if u == t]
-            missed += idf[w] * np.count_nonzero(passage == w)
-            if missed > (1 - coverage) * weight + 1e-9:
+            times = np.count_nonzero(passage == w)
+            missed, n = missed + idf[w] * times, n + times
+            if missed > (1 - coverage) * weight + 1e-9 and n > (1 - coverage) * len(passage) + 1e-9:
                 break
         return np.intersect1d(found, np.unique(np.concatenate(votes)[:, None] + near))
 
     @staticmethod
     def _coverage(passage: np.ndarray, numbers: np.ndarray, found: np.ndarray, idf: np.ndarray, slack: int) -> np.ndarray:
-        """Per alignment the weight of the template's words that stand where it puts them, give or take ``slack``."""
+        """Per alignment the share of the template's words that stand where it puts them, give or take ``slack``.
+
+        By weight or by number, whichever is larger: words that all documents
+        hold weigh nothing, and the label must not hang on how many copies there are.
+        """
         met = np.zeros((len(found), len(passage)), dtype=bool)
         for j in range(-slack, slack + 1):
             i = found[:, None] + np.arange(len(passage)) + j
             met |= (numbers[np.clip(i, 0, len(numbers) - 1)] == passage) & (i >= 0) & (i < len(numbers))
-        return met @ idf[passage] / max(idf[passage].sum(), 1e-9)
+        return np.maximum(met @ idf[passage] / max(idf[passage].sum(), 1e-9), met.mean(axis=1))
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -171,9 +191,7 @@ def _frequencies(index: Index):
     return run
 
 
-def _scan(index: Index, idf: np.ndarray, slack: int, coverage: float, least_idf: float):
-    informative = np.append(idf >= least_idf, False)
-
+def _scan(index: Index, idf: np.ndarray, slack: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, hashes, borders in _words(batch):
@@ -188,11 +206,11 @@ def _scan(index: Index, idf: np.ndarray, slack: int, coverage: float, least_idf:
                     for i in np.unique(text):
                         base[i].add(label)
                 numbers = index.numbers(hashes)
-                told = np.flatnonzero(informative[numbers])
-                hits = np.bincount(np.searchsorted(borders, told, side="right") - 1, minlength=n)
+                standing = index.standing(numbers, borders)
                 labels, score = [set(b) for b in base], np.where(count > 0, 0.5, 0.0)
-                for i in np.flatnonzero(hits >= 2):
-                    for label, share in index.labels(numbers[borders[i]:borders[i + 1]], idf, slack, coverage).items():
+                for i in np.flatnonzero(standing.any(axis=1)):
+                    own = numbers[borders[i]:borders[i + 1]]
+                    for label, share in index.labels(own, np.flatnonzero(standing[i]).tolist(), idf, slack, coverage).items():
                         labels[i].add(label)
                         score[i] = max(score[i], share)
                 none = count == 0
@@ -205,12 +223,8 @@ def _scan(index: Index, idf: np.ndarray, slack: int, coverage: float, least_idf:
     return run
 
 
-def license_scan(documents: DataFrame, slack: int = 2, coverage: float = 0.8, least_idf: float = 1.0) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per row of ``documents``.
-
-    Documents with fewer than two words of an inverse document frequency of
-    ``least_idf`` (in natural logarithms) are not looked up in the index.
-    """
+def license_scan(documents: DataFrame, slack: int = 2, coverage: float = 0.8) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per row of ``documents``."""
     index = Index()
     docs = documents.select("doc_id", "text")
     counts = {r.word: r.n for r in docs.select("text").transform(tx.in_arrow, _frequencies(index), "word int, n bigint")
@@ -218,6 +232,6 @@ def license_scan(documents: DataFrame, slack: int = 2, coverage: float = 0.8, le
     total = counts.get(-1, 0)
     idf = np.array([np.log((total + 1) / (counts.get(w, 0) + 1)) for w in range(len(index.words))])
     return docs.transform(tx.in_arrow,
-        _scan(index, idf, slack, coverage, least_idf),
+        _scan(index, idf, slack, coverage),
         f"doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, "
         "base_labels string, labels string, score double")

@@ -200,6 +200,17 @@ def test_every_notice_of_a_document_is_found(spark):
     assert all(label in by[1000 + k] for k, (label, _) in enumerate(notices))
 
 
+def test_common_notices_are_found(spark):
+    """A notice in 40 % of the documents, in all of them, and in a table of one document."""
+    rng = random.Random(17)
+    for label, notice, _ in licenses.TEMPLATES[7:8] + licenses.TEMPLATES[9:10]:
+        less = notice.replace("use in", "in").replace("terms of the", "terms of")
+        for share, texts in ((0.4, 50), (1.0, 20), (1.0, 1)):
+            rows = [(i, f"{prose(rng, 9)} {notice if i % 2 else less} tail" if i < share * texts else prose(rng, 9), "a") for i in range(texts)]
+            got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(frame(spark, rows)).collect()}
+            assert all((got[i][0] == label and got[i][1] >= 0.8) == (i < share * texts) for i in got)
+
+
 # urls
 
 def judged_by_hand(url, rules):
