@@ -1,7 +1,10 @@
 """Toxicity by weak supervision.
 
 1. A bounded sample of labelled rows gives a lexicon: whole words, beginnings
-   and ends of words that stand in toxic documents far more often than in others.
+   and ends of words that stand in toxic documents far more often than in others,
+   in many of them or beyond chance. If that is more than the lexicon holds, entries
+   come first that stand in a toxic document which has few others, so that the words
+   of a rare language are not crowded out.
 2. Voters are the lexicon split by kind, by precision and at random, two for
    one or many precise entries, and patterns of spelling that know no label. A voter fires or
    stays silent on a text, so a text has one vote pattern.
@@ -46,6 +49,8 @@ KINDS = [("word", 0)] + [("start", n) for n in (3, 4, 5, 6, 7)] + [("end", n) fo
 SALTS = np.arange(1, len(KINDS) + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
 TABLE_BITS = 20
 PATTERNS = 3
+#: Probability by chance of an entry that stands in few toxic documents; entries each toxic document has before others fill up.
+CHANCE, COVER = 1e-3, 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -123,6 +128,39 @@ def spelling(raw: np.ndarray, offsets: np.ndarray, borders: np.ndarray) -> list[
     return [upper > lower, sums(raw == 33) * 20 > n_words, n_words < 5]
 
 
+def beyond_chance(n: int, other: int, rate: float) -> bool:
+    """Whether ``n`` toxic of ``n + other`` documents are too many for a share ``rate`` (a Chernoff bound)."""
+    total, share = n + other, n / (n + other)
+    gap = share * np.log(share / rate) + ((1 - share) * np.log((1 - share) / (1 - rate)) if other else 0.0)
+    return share > rate and total * gap >= -np.log(CHANCE)
+
+
+def _found(table: Table):
+    """(entries): of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, offsets, data, starts, ends, borders in _tokens(batch):
+                text, entry = table.find(data, starts, ends, borders)
+                at = np.searchsorted(text, np.arange(len(offsets))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(entry.astype(np.int32)))], ["entries"])
+    return run
+
+
+def covering(documents: list[list[int]], n: int, most: int) -> list[int]:
+    """``most`` of ``n`` ranked entries: first those that stand in a document with fewer than COVER chosen ones, then by rank."""
+    standing: list[list[int]] = [[] for _ in range(n)]
+    for i, own in enumerate(documents):
+        for e in own:
+            standing[e].append(i)
+    have, chosen = np.zeros(len(documents), dtype=np.int64), []
+    for e in range(n):
+        if len(chosen) < most and (have[standing[e]] < COVER).any():
+            chosen.append(e)
+            have[standing[e]] += 1
+    taken = set(chosen)
+    return sorted(chosen + [e for e in range(n) if e not in taken][:most - len(chosen)])
+
+
 class Voters:
     """The lexicon table, the voter each entry belongs to, and which entries are precise."""
 
@@ -264,7 +302,9 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, max_
     if not n_toxic:
         return Scorer(None, None)
 
-    least = max(3 if n_toxic >= 10 else 1, int(support * n_toxic))
+    # An entry in fewer toxic documents than ``support`` asks for has to be beyond chance.
+    least = 3 if n_toxic >= 10 else 1
+    many, rate = max(least, int(support * n_toxic)), n_toxic / (n_toxic + n_clean)
     toxic = (sample.where("toxic = 1").transform(tx.in_arrow, _counts(None), COUNTS).groupBy("h", "kind")
              .agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect())
     if not toxic:
@@ -275,10 +315,13 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, max_
     rated = []
     for r in toxic:
         share, other = (r.n + 0.5) / (n_toxic + 1), (clean.get(r.h, 0) + 0.5) / (n_clean + 1)
-        if share >= 5 * other:
+        if share >= 5 * other and (r.n >= many or beyond_chance(r.n, clean.get(r.h, 0), rate)):
             rated.append((share * np.log(share / other), r.h, r.kind, (r.n + 0.5) / (r.n + clean.get(r.h, 0) + 1)))
     rated.sort(key=lambda x: (-x[0], x[1]))
-    rated = rated[:max_features]
+    if len(rated) > max_features:
+        every = Table(np.array([x[1] for x in rated], dtype=np.int64).view(np.uint64), [x[2] for x in rated])
+        found = sample.where("toxic = 1").select("text").transform(tx.in_arrow, _found(every), "entries array<int>")
+        rated = [rated[e] for e in covering([r.entries for r in found.collect()], len(rated), max_features)]
     if not rated:
         return Scorer(None, None)
 

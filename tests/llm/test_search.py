@@ -183,6 +183,25 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert Counter((r.doc_id, round(r.score, 9)) for r in got) == Counter((r.doc_id, round(r.score, 9)) for r in again)
 
 
+def test_toxic_words_of_a_rare_language(spark):
+    """1 % of the toxic documents are in a language of its own, and the lexicon is full without it."""
+    rng = random.Random(23)
+    rows, marks = [], []
+    for i in range(8000):
+        rare, toxic = i % 100 == 0, i % 5 == 0
+        text = (" ".join(f"q{rng.randrange(300)}" for _ in range(30)) if rare else prose(rng, 30, 300)).split()
+        if toxic and i % 200 < 100:
+            pool = ["zufoul", "zavile", "zoslur"] if rare else [f"{a}{b}ious" for a in ("slur", "vile", "lowly", "nasty", "cruel") for b in "abcdefghijkl"]
+            text += rng.sample(pool, 2 if rare else 6)
+        rows.append((i, " ".join(text), "a"))
+        marks.append((i, int(toxic and i % 200 < 100)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    for options in ({}, {"max_features": 100}):
+        got = {r.doc_id: r for r in toxicity.toxicity(docs, labels, **options).collect()}
+        assert sum(got[i].held_out for i in range(0, 8000, 200)) >= 3
+        assert all(got[i].predicted == t for i, t in marks if i % 100 == 0), options
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, odd_rows())
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
