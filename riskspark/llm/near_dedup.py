@@ -14,10 +14,9 @@ probability of the Jaccard similarity.
    pairs that are far below the threshold (by a log likelihood ratio of CUT,
    five standard deviations). The rest is verified on the full sets.
 4. Verified links join classes to components. A link that no leader showed can
-   only lie between two components that meet in a bucket. Two more rounds choose
-   other leaders there, and at last all members of different components that
-   are left in a bucket are compared by their registers, block by block inside
-   tasks; only pairs that pass go on to be verified.
+   only lie between two components that meet in a bucket. All members of
+   different components there are compared by their registers, block by block
+   inside tasks; only pairs that pass go on to be verified.
 
 With R = 4 and M = 128 a pair at similarity 0.75 shares no band with
 probability 5e-6, and one at 0.8 with 5e-8.
@@ -301,11 +300,13 @@ def drop_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 75
     """One row of each component, all columns unchanged.
 
     It is the row with the smallest id, of rows with that id the one with the
-    smallest hash. Rows without words stay. A component of null ids keeps
-    one row too; rows equal in id and text count as one.
+    smallest hash. Rows without words stay, all of them. A component of null ids
+    keeps one row too; rows with words that are equal in id and text count as one.
     """
     rows = components(documents, width, percent)
     first = rows.where("n_shingles > 0").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("row")).select("row.*").select(*KEY)
-    stay = first.union(rows.where("n_shingles = 0").select(*KEY))
-    return _keyed(documents).join(stay, KEY, "left_semi").dropDuplicates(KEY).select(*documents.columns)
+    keyed = _keyed(documents)
+    worded = keyed.join(first, KEY, "left_semi").dropDuplicates(KEY)
+    wordless = keyed.join(rows.where("n_shingles = 0").select(*KEY), KEY, "left_semi")
+    return worded.union(wordless).select(*documents.columns)

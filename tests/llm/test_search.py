@@ -62,6 +62,12 @@ def test_one_of_each_group_stays(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_equal_rows_without_words_stay(spark):
+    rows = [(None, None, "a"), (None, None, "b"), (None, " ", "a"), (1, "", "a"), (1, "", "a"), (2, "x y", "a"), (2, "x y", "a")]
+    got = near_dedup.drop_near_duplicates(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows[:6])
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(0)
     def mixed(n):
