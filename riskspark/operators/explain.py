@@ -138,13 +138,16 @@ def feature_ranges(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def counterfactuals(model: Model, df: DataFrame, id_column: str, features: Sequence[str], reference: DataFrame,
                     wanted: int = 0, keep: int = 5, candidates: int = 40, share: float = 0.5,
-                    seed: int = 42) -> DataFrame:
+                    seed: int = 42, steps: int = 5) -> DataFrame:
     """Changed versions of each row that reach the wanted class, nearest first.
 
     A seeded hash picks which features change and to what value inside the
     observed range. Distances are scaled by that range. Rows that have fewer than
     ``keep`` are tried again with other picks that change more features, until all
-    are complete or a round reaches nothing new; ``reached`` tells how many a row got.
+    are complete or a round reaches nothing new. Rows still open are then searched by
+    every move of one or two features to ``steps`` values over the range, and on
+    from the best point so far while it improves. ``reached`` tells how many a row
+    got; a row that got none has one row with 0 and no rank.
     """
     from pyspark.sql import Window
     ranges = feature_ranges(reference, features)
@@ -157,12 +160,26 @@ def counterfactuals(model: Model, df: DataFrame, id_column: str, features: Seque
             uniform(F.lit(seed), F.col("id"), F.col("candidate"), i, F.lit("pick")) < part,
             F.get("lo", i) + uniform(F.lit(seed), F.col("id"), F.col("candidate"), i, F.lit("value"))
             * (F.get("hi", i) - F.get("lo", i))).otherwise(v))
-        scored = class_one(model, tries.withColumn("z", changed), F.col("z"))
+        return judged(tries.withColumn("z", changed)).where("ok").drop("ok")
+
+    def judged(tries: DataFrame) -> DataFrame:
+        scored = class_one(model, tries, F.col("z"))
         gap = F.aggregate(F.transform("x", lambda v, i: F.when(
             F.get("hi", i) > F.get("lo", i), F.abs(v - F.get("z", i)) / (F.get("hi", i) - F.get("lo", i))).otherwise(0.0)),
             F.lit(0.0), lambda a, v: a + v)
-        return scored.where(F.when(F.col("f") > 0.5, 1).otherwise(0) == wanted).select(
-            "id", "candidate", gap.alias("distance"), "f", "x", "z")
+        return scored.select("id", "candidate", gap.alias("distance"), "f", "x", "z",
+                             (F.when(F.col("f") > 0.5, 1).otherwise(0) == wanted).alias("ok"))
+
+    def moved(open_rows: DataFrame, first: int) -> DataFrame:
+        """Every move of features i <= j from the point ``at`` to p and q of the ``steps`` values."""
+        d = len(features)
+        tries = open_rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(d * d * steps * steps - 1))))
+        tries = tries.withColumns({"i": F.expr(f"c div {d * steps * steps}"), "j": F.expr(f"c div {steps * steps} % {d}"),
+                                   "p": F.expr(f"c div {steps} % {steps}"), "q": F.expr(f"c % {steps}")})
+        tries = tries.where("i < j or i = j and p = q").withColumn("candidate", F.col("c") + first)
+        value = lambda k, n: F.get("lo", k) + F.col(n) * (F.get("hi", k) - F.get("lo", k)) / (steps - 1)
+        z = F.transform("at", lambda v, k: F.when(k == F.col("i"), value(k, "p")).when(k == F.col("j"), value(k, "q")).otherwise(v))
+        return judged(tries.withColumn("z", z))
 
     found, first, part = cut(tried(rows, 1, share)), 1, share
     while True:
@@ -173,17 +190,28 @@ def counterfactuals(model: Model, df: DataFrame, id_column: str, features: Seque
         if more.isEmpty():
             break
         found = cut(found.unionByName(more))
+    toward = F.col("f") if wanted == 0 else -F.col("f")
+    first, open_rows = first + candidates, cut(open_rows.withColumns({"at": F.col("x"), "least": F.lit(float("inf"))}))
+    while not open_rows.isEmpty():
+        scored = cut(moved(open_rows, first))
+        found = cut(found.unionByName(scored.where("ok").drop("ok").dropDuplicates(["id", "z"])))
+        best = scored.groupBy("id").agg(F.min_by("z", F.struct(toward, "candidate")).alias("at"), F.min(toward).alias("new"), F.max("ok").alias("any"))
+        first += (len(features) * steps) ** 2
+        open_rows = cut(open_rows.drop("at").join(best, "id").where("not any and new < least - 1e-12").select(
+            "id", "x", "lo", "hi", "at", F.col("new").alias("least")))
+    counts = found.groupBy("id").agg(F.count(F.lit(1)).alias("reached"))
     near = Window.partitionBy("id").orderBy("distance", "candidate")  # some rounds of ``candidates`` rows per id
     ranked = found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= keep)
-    return ranked.join(counts, "id").select(F.col("id").alias(id_column), "rank", "distance", F.col("f").alias("score"), "x", "z",
-                                            F.least("reached", F.lit(keep)).alias("reached"))
+    return rows.select("id", "x").join(ranked.drop("x"), "id", "left").join(counts, "id", "left").select(
+        F.col("id").alias(id_column), "rank", "distance", F.col("f").alias("score"), "x", "z",
+        F.least(F.coalesce("reached", F.lit(0)), F.lit(keep)).alias("reached"))
 
 
 def long_changes(found: DataFrame, id_column: str, features: Sequence[str]) -> DataFrame:
-    """Counterfactual arrays to (id, rank, feature, original, value)."""
+    """Counterfactual arrays to (id, rank, reached, feature, original, value); a row that reached nothing has no values."""
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.get("x", F.lit(i)).alias("original"),
                               F.get("z", F.lit(i)).alias("value")) for i, f in enumerate(features)])
-    return found.select(id_column, "rank", F.explode(rows).alias("r")).select(id_column, "rank", "r.*")
+    return found.select(id_column, "rank", "reached", F.explode(rows).alias("r")).select(id_column, "rank", "reached", "r.*")
 
 
 def change_analysis(changes: DataFrame, id_column: str) -> DataFrame:

@@ -91,6 +91,20 @@ def test_counterfactuals_reach_class_and_keep_range(fitted):
     assert all(0 <= v <= 1 for r in found for v in r["z"])
 
 
+def test_counterfactuals_keep_every_row(fitted):
+    df, m = fitted
+    rows = df.where("label = 1").limit(6)
+    ids = {r["id"] for r in rows.collect()}
+    # No random try changes anything: what is found comes from the search in order.
+    found = explain.counterfactuals(m.model, rows, "id", ["a", "b", "c"], df, candidates=2, share=-1e9, keep=3).collect()
+    assert {r["id"] for r in found} == ids and all(r["reached"] == 3 and r["score"] <= 0.5 for r in found)
+    # The range holds the row alone: nothing can be reached.
+    one = m.score(rows).where("score > 0.5").limit(1).select(*rows.columns)
+    none = explain.counterfactuals(m.model, one, "id", ["a", "b", "c"], one)
+    changes = explain.long_changes(none, "id", ["a", "b", "c"]).collect()
+    assert len(changes) == 3 and all(r["reached"] == 0 and r["rank"] is None and r["value"] is None for r in changes)
+
+
 def test_surrogate_signs(fitted):
     df, m = fitted
     w = explain.local_surrogates(m.model, df.where("id < 20"), "id", ["a", "b", "c"], df, samples=300)
