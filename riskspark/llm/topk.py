@@ -3,11 +3,12 @@
 Candidates and queries are dealt into blocks of bounded size, and every pair of
 blocks is one task: no task depends on how many rows the table has, and no pair
 of vectors is a row. Inside a task each dimension is a list of the candidates
-sorted by their component. A query reads all lists from its better end, depth by
-depth. The components read so far, and the ends of the unread parts, bound each
-candidate's score from both sides; a candidate whose upper bound is below the
-k-th best lower bound can't qualify and is never looked at again. The scores of
-those that are left are resolved. Each task gives k rows per query, and a limit by
+sorted by their component. A query reads all lists from its better end, down to
+one fixed depth, 7/8 of each list; nothing is excluded and no query stops before. The
+components read, and the ends of the unread parts, bound each candidate's score
+from both sides; a candidate whose upper bound is below the k-th best lower bound
+can't qualify and is never looked at again. The scores of those that are left
+are resolved. Each task gives k rows per query, and a limit by
 rank joins the blocks.
 
 Defined results. Components become floor(scale * x); scores are exact while
