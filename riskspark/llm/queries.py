@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import decontamination, licenses, line_dedup, mixing, near_dedup, secret_scan, sharding, topk, toxicity, url_filter
+from riskspark.llm import (decontamination, licenses, line_dedup, merkle, mixing, near_dedup, secret_scan, sharding, topk, toxicity,
+                           url_filter, vector_codes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,3 +214,94 @@ def op6_secrets(spark, sf_dir):
 def op7_licenses(spark, sf_dir):
     """Licence labels of every document."""
     return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+#: Fixed values of the reflected CRC-32: its polynomial is 0xEDB88320.
+CRC_SQL = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, strlen({x})), lambda i: CAST(ascii({x}[i + 1]) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda v, j: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))"""
+
+
+def crc32_sql(digits: str) -> str:
+    """CRC-32 of a text of ASCII characters, unsigned."""
+    return f"xor({CRC_SQL.format(x=digits)}, 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field_sql(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+def _levels_sql(name: str, leaves: str) -> str:
+    """Levels of trees as lists: ``leaves`` gives (tree, nodes)."""
+    return f"""{name} AS (SELECT tree, 0 AS level, nodes FROM ({leaves}) UNION ALL
+    SELECT tree, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+    FROM {name} WHERE len(nodes) > 1)"""
+
+
+def _path_sql(name: str, start: str, levels: str) -> str:
+    """Up the levels: ``start`` gives (r, tree, i, siblings, node), i from 0."""
+    return f"""{name} AS (SELECT r, tree, i, 0 AS level, siblings, node FROM ({start}) UNION ALL
+    SELECT p.r, p.tree, p.i // 2, p.level + 1, siblings || coalesce(l.nodes[xor(p.i, 1) + 1], ''),
+      sha256(CASE WHEN p.i % 2 = 1 THEN l.nodes[p.i] || node ELSE node || coalesce(l.nodes[p.i + 2], '') END)
+    FROM {name} p JOIN {levels} l ON l.tree = p.tree AND l.level = p.level AND len(l.nodes) > 1)"""
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE hashed AS (SELECT *, {_leaf_sql('n_chars')} AS leaf, CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0
+    THEN {_leaf_sql('n_chars + 1')} ELSE {_leaf_sql('n_chars')} END AS given FROM documents),
+rows_ AS (SELECT row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS r,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, doc_id, leaf, given FROM hashed),
+{_levels_sql("low", "SELECT tree, list(leaf ORDER BY i) AS nodes FROM rows_ GROUP BY tree")},
+subroots AS (SELECT tree, nodes[1] AS subroot FROM low WHERE len(nodes) = 1),
+{_levels_sql("high", "SELECT 0 AS tree, list(subroot ORDER BY tree) AS nodes FROM subroots")},
+{_path_sql("climbed", "SELECT r, tree, i, '' AS siblings, given AS node FROM rows_", "low")},
+{_path_sql("above", "SELECT r, 0 AS tree, tree AS i, siblings, node FROM (SELECT *, max(level) OVER (PARTITION BY r) AS last FROM climbed) WHERE level = last", "high")},
+ends AS (SELECT r, arg_max(siblings, level) AS siblings, arg_max(node, level) AS folded_root FROM above GROUP BY r)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM rows_ JOIN subroots USING (tree) JOIN ends USING (r), (SELECT nodes[1] AS root FROM high WHERE len(nodes) = 1)
+"""
+
+
+@query(MERKLE_SQL)
+def op11_merkle_manifest(spark, sf_dir):
+    """Every document's leaf and proof in a tree per language below one root, checked after tampering with some."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    near = """near{k} AS MATERIALIZED (SELECT a.r, a.p, any_value(a.v) AS v, min(struct_pack(d := CAST(coalesce(list_sum(list_transform(
+    list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0) AS BIGINT), e := b.e)) AS best
+    FROM parts a JOIN book{k} b ON a.p = b.p GROUP BY a.r, a.p)"""
+    book = """sums{k} AS (SELECT p, best.e AS e, count(*) AS n, j, CAST(sum(v[j]) AS BIGINT) AS s
+    FROM near{k}, (SELECT unnest(range(1, w + 1)) AS j FROM width) GROUP BY ALL),
+means{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM sums{k} GROUP BY p, e),
+book{n} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m ON b.p = m.p AND b.e = m.e)"""
+    steps = ",\n".join(f"{near.format(k=k)},\n{book.format(k=k, n=k + 1)}" for k in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x:
+    CAST(floor(greatest(least(1024 * CAST(x AS DOUBLE), 67108864), -67108864)) AS BIGINT)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS (SELECT CAST((max(len(q)) + 3) // 4 AS BIGINT) AS w FROM kept),
+parts AS MATERIALIZED (SELECT r, p, list_resize(q, 4 * w, 0)[p * w + 1:(p + 1) * w] AS v FROM kept, width, (SELECT unnest(range(0, 4)) AS p)),
+firsts AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS e FROM kept),
+book0 AS MATERIALIZED (SELECT p, e, v FROM firsts JOIN parts USING (r) WHERE e < 256),
+{steps},
+{near.format(k=rounds)},
+codes AS (SELECT r, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY r),
+books AS (SELECT sha256(coalesce(string_agg(CAST(v[j] AS VARCHAR), ',' ORDER BY p, e, j), '')) AS codebooks_sha256
+    FROM book{rounds}, (SELECT unnest(range(1, w + 1)) AS j FROM width))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (r), books
+"""
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark, sf_dir):
+    """Every vector's code of four bytes, and its error alone and by label."""
+    codes, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(vector_codes.listed(books).encode()).hexdigest()
+    return vector_codes.with_label_errors(codes).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
