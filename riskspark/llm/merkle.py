@@ -149,7 +149,8 @@ def upper_levels(nodes: DataFrame, arity: int, height: int, base: int, largest:
     """All nodes above level ``base`` of the trees whose nodes of that level are given; the largest has ``largest`` leaves."""
     out, left = None, len(sizes(largest, arity)) - 1 - base
     while left > 0:
-        made = stored(parted(nodes, arity ** height).applyInArrow(_hash_up(arity, height, base, None), FOUND), f"{name}-{base}")
+        made = stored(parted(nodes.select("tree", "size", "idx", "hash"), arity ** height)
+                      .applyInArrow(_hash_up(arity, height, base, None), FOUND), f"{name}-{base}")
         out = made if out is None else out.unionByName(made)
         base, left = base + height, left - height
         nodes = made.where((F.col("level") == base) & ~F.col("top"))

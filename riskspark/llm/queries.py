@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import (decontamination, licenses, line_dedup, merkle, mixing, near_dedup, secret_scan, sharding, topk, toxicity,
-                           url_filter, vector_codes)
+from riskspark.llm import (decontamination, licenses, line_dedup, lm_scoring, merkle, mixing, near_dedup, secret_scan, sharding, topk,
+                           toxicity, url_filter, vector_codes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -305,3 +305,9 @@ def op12_vector_codes(spark, sf_dir):
     codes, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
     digest = hashlib.sha256(vector_codes.listed(books).encode()).hexdigest()
     return vector_codes.with_label_errors(codes).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+@query()
+def op13_lm_scores(spark, sf_dir):
+    """Every document's log-probability under smoothed word counts and under a trained log-bilinear model."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
