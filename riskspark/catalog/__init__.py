@@ -2,7 +2,7 @@
 
 from riskspark.catalog import base
 from riskspark.catalog import (decisions, explain, features, graph, identity,  # noqa: F401
-                               models, monitor, sinks, streams, temporal)
+                               models, monitor, sinks, streams, temporal, training_sets)
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES

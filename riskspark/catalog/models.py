@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskspark.catalog.base import ASOF_SQL, query, rounded
+from riskspark.catalog.features import inputs
 from riskspark.functions.times import WINDOW_HOURS
-from riskspark.operators import batch, behavior, modeling_table, models, network, profile, training
+from riskspark.operators import batch, behavior, modeling_table, models, network, registry, training
 from riskspark.plans.fixpoint import cut, written
 from riskspark.sources.driver import AS_OF
 
@@ -82,13 +83,9 @@ class Stage:
     def __init__(self, t):
         tx = t.transactions()
         self.net = cut(network.network_features(tx, t.fraud_records(), AS_OF))
-        prof = profile.profile_features(t.customers(), t.customer_products(), t.risk_profile(), AS_OF)
-        self.static = cut(batch.static_columns(prof, self.net))
-        rows = training.hub_training_set(t.fraud_labels(), tx, self.static, AS_OF)
-        self.hub = models.train_hub(rows, models.Spec("hub", "gbt"))
-        windows = behavior.transaction_windows(tx, AS_OF)
-        keep = [c for c in windows.columns if not c.startswith("std_")]
-        vectors = self.static.join(windows.select(*keep), "customer_id", "left").fillna(0)
+        self.hub_rows = cut(training.hub_training_set(t.fraud_labels(), inputs(t), AS_OF))
+        self.hub = models.train_hub(self.hub_rows, models.Spec("hub", "gbt"))
+        vectors = registry.default_registry().feature_vector(inputs(t)).withColumn("is_pep", F.col("is_pep").cast("int")).fillna(0)
         self.hub_scores = cut(models.hub_scores(self.hub, vectors))
         self.enriched = written(batch.enrich(tx, tx, self.hub_scores, AS_OF), "product_type")
         self.spokes, self.failed = models.train_spokes(self.enriched, t.fraud_labels(), AS_OF)
@@ -106,12 +103,6 @@ class Stage:
         return batch.Scorer(self.spokes, self.hub_scores, t.transactions(), self.net, AS_OF)
 
 
-@query("hub_training_set")
-def hub_training_set(t):
-    """Labels with point-in-time activity and slow columns."""
-    return rounded(training.hub_training_set(t.fraud_labels(), t.transactions(), Stage.of(t).static, AS_OF))
-
-
 @query("hub_scores")
 def hub_scores(t):
     """Risk score of every customer by the boosted hub model."""
@@ -146,8 +137,7 @@ def hub_score_per_transaction(t):
 @query("forest_hub_metrics")
 def forest_hub_metrics(t):
     """The second hub learner."""
-    rows = training.hub_training_set(t.fraud_labels(), t.transactions(), Stage.of(t).static, AS_OF)
-    forest = models.train_hub(rows, models.Spec("hub", "forest"))
+    forest = models.train_hub(Stage.of(t).hub_rows, models.Spec("hub", "forest"))
     return models.metrics_table(t.spark, {"forest": forest})
 
 

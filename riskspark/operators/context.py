@@ -166,9 +166,14 @@ DEVIATION_COLUMNS = ["amount_zscore", "amount_vs_p95_ratio", "amount_vs_max_rati
 
 def with_deviation(transactions: DataFrame, history: DataFrame, as_of) -> DataFrame:
     """``transactions`` with how far the amount is from its customer's history; every divisor is at least 1."""
-    amount = F.col("amount").cast("double")
     base = amount_baseline(history, as_of)
     base = base.select("customer_id", F.struct(*base.columns[1:]).alias("__base"))
+    return deviations(transactions.join(base, "customer_id", "left"), transactions.columns)
+
+
+def deviations(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and the deviation columns of rows that carry their baseline in ``__base``."""
+    amount = F.col("amount").cast("double")
 
     def known(name: str, default: float) -> Column:
         return F.coalesce("__base." + name, F.lit(default))
@@ -176,8 +181,8 @@ def with_deviation(transactions: DataFrame, history: DataFrame, as_of) -> DataFr
     def at_least_one(column: Column) -> Column:
         return F.greatest(column, F.lit(1.0))
 
-    return transactions.join(base, "customer_id", "left").select(
-        *transactions.columns,
+    return rows.select(
+        *columns,
         ((amount - known("avg_amount", 0.0)) / at_least_one(known("std_amount", 1.0))).alias("amount_zscore"),
         (amount / at_least_one(known("p95_amount", 0.0))).alias("amount_vs_p95_ratio"),
         (amount / at_least_one(known("max_amount", 0.0))).alias("amount_vs_max_ratio"),

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.times import HOUR_US, WINDOW_HOURS, as_time, micros
+from riskspark.operators import point_in_time
+from riskspark.plans.fixpoint import cut
 from riskspark.plans.running import asof_sums
 
 # Label window in days, least label confidence.
@@ -64,10 +66,18 @@ def point_in_time_windows(labels: DataFrame, transactions: DataFrame,
     return wide.select(*keys, *out)
 
 
-def hub_training_set(labels: DataFrame, transactions: DataFrame, static: DataFrame, as_of) -> DataFrame:
-    """Point-in-time activity joined to the slow profile and network columns."""
-    wide = point_in_time_windows(customer_labels(labels, as_of), transactions)
-    return wide.join(static, "customer_id", "left").fillna(0)
+def hub_training_set(labels: DataFrame, inputs, as_of) -> DataFrame:
+    """Every confident label with its customer's profile, activity and own network edges as they were just
+    before it. ``inputs``: the tables of ``registry.Inputs``."""
+    keys = ["customer_id", "is_fraud", "label_timestamp"]
+    probes = cut(customer_labels(labels, as_of).withColumn("us", micros("label_timestamp")))
+    activity = point_in_time.activity_before(probes, keys, inputs.transactions, inputs.events, inputs.fraud_records)
+    who = point_in_time.profile_before(probes, keys, "label_timestamp", inputs.customers, inputs.products, inputs.risk)
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return who.alias("a").join(activity.alias("b"), same).select(
+        "a.*", *[f"b.{c}" for c in activity.columns if c not in keys])
 
 
 def attach_hub_score(transactions: DataFrame, hub_scores: DataFrame, default: float = 0.5) -> DataFrame:
