@@ -60,13 +60,15 @@ def op2_toxicity(spark, sf_dir):
 
 MIX_SQL = """
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-shares AS (SELECT source, n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k, count(*) OVER () AS m,
-    greatest(1000, 4 * count(*) OVER ()) AS period,
+shares AS (SELECT source, n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k,
     pow(n, 0.7) / sum(pow(n, 0.7)) OVER () AS share FROM sizes),
-floors AS (SELECT *, CAST(floor(share * (period - m)) AS BIGINT) AS low,
-    round(share * (period - m) - floor(share * (period - m)), 9) AS rest FROM shares),
-weights AS (SELECT source, n, k, period, low + 1 + CASE WHEN row_number() OVER (ORDER BY rest DESC, k)
-    <= period - m - sum(low) OVER () THEN 1 ELSE 0 END AS w FROM floors),
+-- as many slots as the smallest share needs, 1,000 at least; largest remainders over all of them
+scaled AS (SELECT *, CAST(least(greatest(1000, ceil(round(1 / min(share) OVER (), 6))), 262144) AS BIGINT) AS slots FROM shares),
+floors AS (SELECT *, greatest(1, CAST(floor(round(share * slots, 9)) AS BIGINT)) AS low,
+    CASE WHEN round(share * slots, 9) >= 1 THEN round(round(share * slots, 9) - floor(round(share * slots, 9)), 9) ELSE 0 END AS rest FROM scaled),
+rounded AS (SELECT source, n, k, low + CASE WHEN row_number() OVER (ORDER BY rest DESC, k) <= slots - sum(low) OVER () THEN 1 ELSE 0 END AS w
+    FROM floors),
+weights AS (SELECT *, CAST(sum(w) OVER () AS BIGINT) AS period FROM rounded),
 -- slot by slot the released block with the earliest deadline; taken: blocks so far by source
 edf AS (
   SELECT CAST(-1 AS BIGINT) AS t, CAST(-1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS i,
@@ -92,7 +94,7 @@ FROM placed p JOIN slots s ON s.k = p.k AND s.i = (r + epoch * n) % w
 
 @query(MIX_SQL)
 def op3_mix_sources(spark, sf_dir):
-    """Every document's places in the mix: sources by size to the power 0.7, 1,000 slots a period."""
+    """Every document's places in the mix: sources by size to the power 0.7, 1,000 slots a period or as many as the smallest needs."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 

@@ -123,6 +123,36 @@ def test_given_weights_are_scheduled(spark):
     assert {r.source for r in mixing.mix(docs, resolution=400, weights=weights).collect()} == set(got)
 
 
+def test_thousands_of_sources(spark):
+    rng = random.Random(11)
+    n = {f"s{k}": rng.randrange(1, 40) for k in range(5000)} | {"big": 30_000}
+    sizes = spark.createDataFrame([("1" + s, c) for s, c in n.items()], f"{mixing.S} string, n bigint")
+    plan = {r[mixing.S]: r for r in mixing.schedule(sizes, 0.7, 1000, None).collect()}
+    total = sum(c ** 0.7 for c in n.values())
+    period = plan["1big"].period
+    assert period >= total and period == sum(r.w for r in plan.values()) and len(plan) == len(n)
+    assert sorted(t for r in plan.values() for t in r.slots) == list(range(period))
+    for s, c in n.items():
+        r = plan["1" + s]
+        assert abs(r.w - period * c ** 0.7 / total) <= 1
+        # After the slot at t and right before it: less than one block from the share.
+        for i, t in enumerate(r.slots):
+            assert abs(i + 1 - r.w * (t + 1) / period) < 1 and abs(i - r.w * t / period) < 1
+
+
+def test_repeats_are_told_and_bounded(spark):
+    docs = frame(spark, [(i, "t", "a") for i in range(300)] + [(1000 + i, "t", "b") for i in range(3)])
+    weights = {"a": 1.0, "b": 1.0}
+    told = {r.source: r for r in mixing.repeats(docs, resolution=10, weights=weights).collect()}
+    placed = counted(mixing.mix(docs, resolution=10, weights=weights), "source")
+    assert {s: r.placed for s, r in told.items()} == {s: c for (s,), c in placed.items()}
+    assert told["b"].epochs > 99 and told["a"].epochs == 1 and told["a"].target_share == told["a"].scheduled_share == 0.5
+    some = mixing.mix(docs, resolution=10, weights=weights, max_epochs=2).collect()
+    assert sorted(r.position for r in some) == list(range(len(some)))
+    assert Counter(r.doc_id for r in some if r.source == "b") == Counter({1000: 2, 1001: 2, 1002: 2})
+    assert all(c == 1 for c in Counter(r.doc_id for r in some if r.source == "a").values())
+
+
 def test_interleave_keeps_columns_and_order(spark):
     docs = frame(spark, odd_rows())
     got = mixing.interleave(docs, resolution=20)
