@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from riskspark.llm import text as tx
@@ -219,8 +220,10 @@ MERGED = """aggregate(array_sort(runs), cast(array() as array<struct<first: bigi
 
 def benchmark_blocks(benchmark: DataFrame, block_words: int) -> DataFrame:
     """(item_id, text, block): items in blocks of about ``block_words`` words by their length."""
-    items = benchmark.select("item_id", "text").where("text is not null").distinct().withColumn(
-        "w", F.length("text") / 2 + 1).withColumn("slot", F.pmod(F.xxhash64("item_id", "text"), F.lit(1024)))
+    items = stored(benchmark.select("item_id", "text").where("text is not null").distinct().withColumn("w", F.length("text") / 2 + 1), "all-items")
+    words = items.agg(F.sum("w")).first()[0] or 0
+    # Many slots to a block, however many words there are.
+    items = items.withColumn("slot", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1024, int(32 * words / block_words)))))
     slots = items.groupBy("slot").agg(F.sum("w").alias("w"))
     upto = slots.withColumn("block", (F.sum("w").over(Window.orderBy("slot")) / block_words).cast("int")).select("slot", "block")
     return stored(items.join(upto, "slot").select("item_id", "text", "block"), "items")
@@ -238,7 +241,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     kinds = dict(docs.dtypes) | dict(benchmark.select("item_id").dtypes)
     schema = (f"doc_id {kinds['doc_id']}, t bigint, n_words bigint, "
               f"runs array<struct<first: bigint, last: bigint, start: bigint, end: bigint>>, items array<{kinds['item_id']}>")
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds["item_id"]]
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     blocks = benchmark_blocks(benchmark, block_words)
     passes = []
     for (block,) in blocks.select("block").distinct().orderBy("block").collect() or [(0,)]:

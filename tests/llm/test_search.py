@@ -134,6 +134,17 @@ def test_cut_spans(spark):
     assert decontamination.contamination(frame(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["smallint", "int", "decimal(12,0)", "string", "date"])
+def test_item_ids_of_any_type(spark, kind):
+    item = " ".join(f"b{i}" for i in range(15))
+    value = F.lit("2024-01-05").cast("date") if kind == "date" else F.lit(7).cast(kind)
+    bench = spark.range(1).select(value.alias("item_id"), F.lit(item).alias("text"))
+    got = decontamination.contamination(frame(spark, [(1, item, "a"), (2, "x", "a")]), bench)
+    want = bench.first()["item_id"]
+    assert {r.doc_id: r["items"] for r in got.collect()} == {1: [want], 2: []}
+    assert decontamination.digest(got).count() == 2
+
+
 # top-k
 
 @pytest.mark.parametrize("block,query_block", [(1 << 14, 1 << 12), (50, 5)])
@@ -146,17 +157,36 @@ def test_top_k(spark, block, query_block):
     table = spark.createDataFrame([(i, v, 0, 1) for i, v in rows + odd], "vec_id bigint, embedding array<float>, rank int, score int")
     got = Counter(tuple(r) for r in topk.top_k(table, F.col("vec_id") % 20 == 0, 7, block=block, query_block=query_block)
                   .select("query_id", "rank", "vec_id", "score").collect())
-    sound = {(i, tuple(int(np.floor(64 * float(np.float32(x)))) for x in v)) for i, v in rows + odd
-             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    sound = [(i, tuple(int(np.floor(64 * float(np.float32(x)))) for x in v)) for i, v in rows + odd
+             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     expected = Counter()
-    for i, q in sound:
+    for r, (i, q) in enumerate(sound):
         if i % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in sound if j != i and len(v) == len(q))
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for c, (j, v) in enumerate(sound) if c != r and len(v) == len(q))
             expected.update((i, k + 1, j, -s) for k, (s, j) in enumerate(scored[:7]))
     assert got == expected
     assert topk.top_k(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_rows_are_candidates(spark):
+    table = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [1.0]), (2, [1.0]), (20, [2.0]), (20, [2.0])], "vec_id bigint, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(table, F.col("vec_id") % 20 == 0, 3, scale=1).collect())
+    assert got == [(0, 1, 20, 2), (0, 2, 20, 2), (0, 3, 1, 1), *sorted([(20, 1, 20, 4), (20, 2, 0, 2), (20, 3, 1, 2)] * 2)]
+
+
+def test_reading_stops_where_the_bounds_part():
+    rng = np.random.default_rng(5)
+    easy = np.round(rng.pareto(0.4, (4000, 6)) * 10).clip(0, 10 ** 6)
+    hard = np.round(rng.normal(0, 8, (4000, 64)))
+    for vectors, deepest in ((easy, 0.25), (hard, 0.875)):
+        lists = topk.Lists(np.arange(4000), np.arange(4000), vectors)
+        queries = np.abs(vectors[:20])
+        for i, (ids, scores) in enumerate(lists.top(np.arange(20), queries, 5)):
+            every = sorted((-s, j) for j, s in enumerate(vectors @ queries[i]) if j != i)[:5]
+            assert [(-s, j) for j, s in zip(ids, scores)] == every
+        assert max(lists.read) == deepest
+
+
 # toxicity
 
 def toxic_table(spark, n=600):
