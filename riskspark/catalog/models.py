@@ -88,7 +88,8 @@ class Stage:
         vectors = registry.default_registry().feature_vector(inputs(t)).withColumn("is_pep", F.col("is_pep").cast("int")).fillna(0)
         self.hub_scores = cut(models.hub_scores(self.hub, vectors))
         self.enriched = written(batch.enrich(tx, tx, self.hub_scores, AS_OF), "product_type")
-        self.spokes, self.failed = models.train_spokes(self.enriched, t.fraud_labels(), AS_OF)
+        self.at_label = cut(models.hub_at_labels(self.hub, self.hub_rows))
+        self.spokes, self.failed = models.train_spokes(tx, t.fraud_labels(), AS_OF, self.at_label)
         if self.failed:
             raise RuntimeError(f"training failed: {self.failed}")
 
@@ -146,7 +147,7 @@ def parameter_search(t):
     """Random candidates ranked by mean AUC over forward-chaining folds."""
     s = Stage.of(t)
     spoke = models.SPOKES["credit_card"]
-    rows = models.product_training_set(spoke, s.enriched, t.fraud_labels(), AS_OF)
+    rows = models.product_training_set(spoke, t.transactions(), t.fraud_labels(), AS_OF, s.at_label)
     specs = models.random_specs(models.Spec("card", "gbt"), {"stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 4, 5]}, 2)
     return models.search(rows.withColumnRenamed("is_fraud", "label"), spoke.inputs(), specs, "timestamp", "transaction_id")
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from riskspark.catalog.base import query, rounded
-from riskspark.catalog.features import inputs
+from riskspark.catalog.features import FLAGS, SAME_DAY, inputs
 from riskspark.catalog.models import CONFIDENT
 from riskspark.functions.times import WINDOW_HOURS
-from riskspark.operators import context, point_in_time, training
+from riskspark.operators import context, models, point_in_time, training
 from riskspark.sources.driver import AS_OF
 
 
@@ -100,3 +100,35 @@ def amount_deviation_point_in_time(t):
     tx = t.transactions()
     rows = point_in_time.deviation_before(tx, tx)
     return rounded(rows.select("transaction_id", *context.DEVIATION_COLUMNS))
+
+
+DISTANCE_BEFORE = """
+SELECT t.transaction_id, round(CASE WHEN t.location_lat IS NULL THEN 0 ELSE coalesce(min(CASE
+    WHEN h.location_lat = t.location_lat AND h.location_lon = t.location_lon THEN 0 ELSE 6371.0::DOUBLE * acos(greatest(-1.0::DOUBLE,
+      least(1.0::DOUBLE, cos(radians(t.location_lat)) * cos(radians(h.location_lat)) * cos(radians(h.location_lon) - radians(t.location_lon))
+      + sin(radians(t.location_lat)) * sin(radians(h.location_lat))))) END) FILTER (WHERE h.location_lat IS NOT NULL), 1000) END, 4)::DOUBLE AS distance_from_usual_location_km
+FROM tx t LEFT JOIN tx h ON h.customer_id = t.customer_id AND h.location_lat IS NOT NULL AND h.timestamp < t.timestamp
+  AND h.timestamp >= t.timestamp - INTERVAL 2160 HOUR GROUP BY t.transaction_id, t.location_lat"""
+
+
+@query("distance_point_in_time", DISTANCE_BEFORE, "tx")
+def distance_point_in_time(t):
+    """Kilometres to the nearest place of the customer in the 90 days before each transaction."""
+    tx = t.transactions()
+    return rounded(point_in_time.location_before(tx, tx).select("transaction_id", "distance_from_usual_location_km"))
+
+
+PRODUCT_SET = f"""
+WITH f AS ({FLAGS}), s AS ({SAME_DAY}), d AS ({DISTANCE_BEFORE}), v AS ({DEVIATION_BEFORE}),
+b AS (SELECT customer_id, beneficiary_id, min(timestamp) AS first FROM tx WHERE product_type = 'pix' AND beneficiary_id IS NOT NULL GROUP BY 1, 2)
+SELECT t.transaction_id, t.customer_id, t.timestamp, l.is_fraud, transaction_amount, is_round_amount, is_weekend, hour_of_day, is_night_transaction,
+  minutes_since_last_transaction, distance_from_usual_location_km, amount_zscore, CASE WHEN first < t.timestamp THEN 0 ELSE 1 END AS is_new_beneficiary
+FROM tx t JOIN ({CONFIDENT}) l USING (transaction_id) JOIN f USING (transaction_id) JOIN s USING (transaction_id) JOIN d USING (transaction_id)
+JOIN v USING (transaction_id) LEFT JOIN b ON b.customer_id = t.customer_id AND b.beneficiary_id = t.beneficiary_id WHERE t.product_type = 'pix'"""
+
+
+@query("product_training_set", PRODUCT_SET, "tx fl")
+def product_training_set(t):
+    """Labelled instant payments with their context as of their own time, before the hub score is added."""
+    rows = models.product_training_set(models.SPOKES["pix"], t.transactions(), t.fraud_labels(), AS_OF)
+    return rounded(rows)

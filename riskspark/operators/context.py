@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.quantiles import exact_percentiles
 from riskspark.functions.times import micros, within
+from riskspark.plans.fixpoint import cut
+from riskspark.plans.nearest import EARTH_KM, great_circle_km, nearest
 from riskspark.plans.running import strictly_before
 
-# Earth radius in km, distance without history, minutes without an earlier
-# transaction that day.
-EARTH_KM = 6371.0
+# Distance without history in km, minutes without an earlier transaction that day.
 NO_HISTORY_KM = 1000.0
 NO_EARLIER_MINUTES = 1440
 DAYS_90 = 90 * 24
+#: Grid cells of a customer's places beyond which the grid is descended.
+MANY_CELLS = 256
 
 
 def is_night(ts: Column, night: str = "strict") -> Column:
@@ -45,6 +47,11 @@ def transaction_flags(transactions: DataFrame, night: str = "strict") -> DataFra
     return transactions.select("transaction_id", "customer_id", *[c.alias(n) for n, c in _flags(night).items()])
 
 
+def with_flags(transactions: DataFrame) -> DataFrame:
+    """``transactions`` with the amount, calendar and channel flags."""
+    return transactions.withColumns(_flags("strict"))
+
+
 SAME_DAY_COLUMNS = ["transactions_today", "minutes_since_last_transaction"]
 
 
@@ -74,21 +81,14 @@ def with_same_day(rows: DataFrame, history: DataFrame | None = None) -> DataFram
 def same_day_history(transactions: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Minutes since the previous transaction of the day and how many came before."""
     rows = transactions.select("transaction_id", "customer_id", "timestamp")
-    return with_same_day(rows, _other(transactions, history)).select("transaction_id", *SAME_DAY_COLUMNS)
+    return with_same_day(rows, other_rows(transactions, history)).select("transaction_id", *SAME_DAY_COLUMNS)
 
 
-def _other(transactions: DataFrame, history: DataFrame | None) -> DataFrame | None:
+def other_rows(transactions: DataFrame, history: DataFrame | None) -> DataFrame | None:
     """The history unless it is the transactions themselves."""
     return None if history is None or history.sameSemantics(transactions) else history
 
 
-def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Spherical law of cosines; the argument is clamped against rounding."""
-    a, b = F.radians(lat1), F.radians(lat2)
-    cosine = F.cos(a) * F.cos(b) * F.cos(F.radians(lon2) - F.radians(lon1)) + F.sin(a) * F.sin(b)
-    return F.lit(EARTH_KM) * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
-
-
 def nearest_usual_location(transactions: DataFrame, history: DataFrame, as_of,
                            hours: int = DAYS_90, cell_degrees: float = 0.5) -> DataFrame:
     """Kilometres from each transaction to the customer's nearest location in the window."""
@@ -102,8 +102,9 @@ def with_location(transactions: DataFrame, history: DataFrame, as_of, hours: int
     Places are reduced to distinct (customer, latitude, longitude) first, and a place
     already in the history needs no search. For the others, history is grouped
     into grid cells; cells whose nearest possible point is farther than a known
-    point are skipped, so a customer with very many places is not compared place
-    by place. The minimum stays exact.
+    point are skipped. Customers whose places fill more than ``MANY_CELLS`` cells are
+    searched by descending a grid of several levels instead of looking at each cell.
+    Both ways are exact.
     """
     place = ["customer_id", "location_lat", "location_lon"]
     has_place = F.col("location_lat").isNotNull() & F.col("location_lon").isNotNull()
@@ -133,6 +134,15 @@ def with_location(transactions: DataFrame, history: DataFrame, as_of, hours: int
     at_least = F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0),
         sin_lat * sin_lat + F.cos(F.radians(lat)) * cos_cell * sin_lon * sin_lon)))
     to_sample = great_circle_km(lat, lon, F.col("sample.location_lat"), F.col("sample.location_lon"))
+    many = cut(cells.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY_CELLS).select("customer_id"))
+    descended = None
+    if not many.isEmpty():
+        asked = cut(new.join(many, "customer_id", "left_semi").select(
+            F.struct(*place).alias("probe"), "customer_id", F.col("location_lat").alias("lat"), F.col("location_lon").alias("lon")))
+        places = known.join(many, "customer_id", "left_semi").select(
+            "customer_id", F.col("location_lat").alias("lat"), F.col("location_lon").alias("lon"))
+        descended = nearest(asked, cut(places)).select("probe.*", "km")
+        new = new.join(many, "customer_id", "left_anti")
     bounds = new.join(cells, "customer_id").select(
         *place, *cell, at_least.alias("at_least"), to_sample.alias("to_sample"))
     best = bounds.groupBy(*place).agg(F.min("to_sample").alias("best"))
@@ -143,6 +153,8 @@ def with_location(transactions: DataFrame, history: DataFrame, as_of, hours: int
     found = (near.join(points, ["customer_id", *cell])
              .groupBy(*place).agg(F.min(great_circle_km(lat, lon, F.col("y"), F.col("x"))).alias("km")))
     all_found = known.withColumn("km", F.lit(0.0)).unionByName(found)
+    if descended is not None:
+        all_found = all_found.unionByName(descended)
     columns = transactions.columns
     return (transactions.join(all_found.withColumnRenamed("km", "__km"), place, "left")
             .select(*columns,
@@ -201,8 +213,8 @@ def with_context(transactions: DataFrame, history: DataFrame, as_of) -> DataFram
     The row is carried through: one exchange for the day, one for the
     customer's amounts and one for its places, and no join back on the id.
     """
-    rows = transactions.withColumns(_flags("strict"))
-    rows = with_same_day(rows, _other(transactions, history))
+    rows = with_flags(transactions)
+    rows = with_same_day(rows, other_rows(transactions, history))
     return with_deviation(with_location(rows, history, as_of), history, as_of)
 
 

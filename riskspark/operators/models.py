@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.operators import metrics, modeling_table, training
+from riskspark.operators import metrics, modeling_table, point_in_time, training
 from riskspark.plans.fixpoint import cut
 
 log = logging.getLogger(__name__)
@@ -214,20 +214,34 @@ SPOKES: dict[str, Spoke] = {
 }
 
 
-def product_training_set(spoke: Spoke, enriched: DataFrame, labels: DataFrame, as_of) -> DataFrame:
-    """Labelled transactions of a product with context, product features and hub score."""
-    rows = spoke.build(training.labelled_transactions(enriched, labels, as_of, spoke.product))
-    return rows.select("transaction_id", "customer_id", "timestamp", "is_fraud", *spoke.inputs()).fillna(0)
+def product_training_set(spoke: Spoke, transactions: DataFrame, labels: DataFrame, as_of, hub_at_label: DataFrame | None = None) -> DataFrame:
+    """Labelled transactions of a product with their context as of their own time and the product's features.
+
+    ``hub_at_label`` (customer_id, label_timestamp, hub_score) has the customer's score as it was just before
+    the label; without it the set has no such column.
+    """
+    kept = training.labelled_transactions(transactions, labels, as_of, spoke.product)
+    rows = training.with_new_beneficiary(point_in_time.context_before(kept, transactions), transactions)
+    if hub_at_label is not None:
+        rows = rows.join(hub_at_label, ["customer_id", "label_timestamp"], "left").fillna(DEFAULT_SCORE, ["hub_score"])
+    columns = spoke.inputs() if hub_at_label is not None else spoke.features
+    return spoke.build(rows).select("transaction_id", "customer_id", "timestamp", "is_fraud", *columns).fillna(0)
+
+
+def hub_at_labels(hub: Trained, hub_rows: DataFrame) -> DataFrame:
+    """(customer_id, label_timestamp, hub_score) from the hub's training rows, which end just before each label."""
+    scored = hub.score(modeling_table.derived_inputs(hub_rows), "hub_score")
+    return scored.groupBy("customer_id", "label_timestamp").agg(F.avg("hub_score").alias("hub_score"))
 
 
-def train_spokes(enriched: DataFrame, labels: DataFrame, as_of, spokes: Mapping[str, Spoke] = SPOKES,
+def train_spokes(transactions: DataFrame, labels: DataFrame, as_of, hub_at_label: DataFrame, spokes: Mapping[str, Spoke] = SPOKES,
                  only: Sequence[str] | None = None) -> tuple[dict[str, Trained], dict[str, str]]:
     """Train all or some products; a failure of one is reported and does not stop the others."""
     done, failed = {}, {}
     for name in only or spokes:
         spoke = spokes[name]
         try:
-            parts = training.split_by_time(product_training_set(spoke, enriched, labels, as_of), "timestamp", "transaction_id")
+            parts = training.split_by_time(product_training_set(spoke, transactions, labels, as_of, hub_at_label), "timestamp", "transaction_id")
             done[name] = train_model(parts.withColumnRenamed("is_fraud", "label"), spoke.inputs(), spoke.spec)
         except Exception as error:
             log.exception("training %s failed", name)

@@ -177,3 +177,28 @@ def first_after(rows: DataFrame, keys: Sequence[str], us: str, delta_us: int, ou
     starts = starts.select(*keys, _BUCKET, F.first("__start", ignorenulls=True).over(beyond).alias("__next"))
     return local.join(starts, [*keys, _BUCKET]).select(
         *keys, F.col("__from").alias(us), F.coalesce("__near", "__next").alias(out))
+
+
+def stretch_moves(occurrences: DataFrame, keys: Sequence[str], windows: Mapping[str, int]) -> DataFrame:
+    """(keys, w, us, d, stretch): when each group of ``keys`` comes alive (+1) and expires (-1).
+
+    A group is alive just before T if it occurred in ``T - window <= us < T``; windows are in
+    hours, none shorter than one. Occurrences less than an hour apart never end a stretch, so
+    they are reduced to the first and last one of an hour on the map side. ``stretch`` is the
+    same for both moves of a stretch.
+    """
+    hours = (occurrences.groupBy(*keys, F.floor(F.col("us") / HOUR_US).alias("__hour"))
+             .agg(F.min("us").alias("__first"), F.max("us").alias("__last")))
+    along = Window.partitionBy(*keys).orderBy("__hour")
+    gaps = hours.withColumns({"__before": F.lag("__last").over(along), "__after": F.lead("__first").over(along)})
+    rows = []
+    for w, h in windows.items():
+        width = F.lit(h * HOUR_US).cast("bigint")
+        opens = F.col("__before").isNull() | (F.col("__first") - F.col("__before") > width)
+        closes = F.col("__after").isNull() | (F.col("__after") - F.col("__last") > width)
+        gaps = gaps.withColumn(f"__s_{w}", F.sum(opens.cast("bigint")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        rows += [F.when(opens, F.struct(F.lit(w).alias("w"), F.col("__first").alias("us"), F.lit(1).alias("d"), F.col(f"__s_{w}").alias("stretch"))),
+                 F.when(closes, F.struct(F.lit(w).alias("w"), (F.col("__last") + width).alias("us"), F.lit(-1).alias("d"),
+                                         F.col(f"__s_{w}").alias("stretch")))]
+    moves = F.filter(F.array(*rows), lambda x: x.isNotNull())
+    return gaps.select(*keys, F.explode(moves).alias("__m")).select(*keys, "__m.*")
