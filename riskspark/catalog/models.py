@@ -89,7 +89,8 @@ class Stage:
         self.hub_scores = cut(models.hub_scores(self.hub, vectors))
         self.enriched = written(batch.enrich(tx, tx, self.hub_scores, AS_OF), "product_type")
         self.at_label = cut(models.hub_at_labels(self.hub, self.hub_rows))
-        self.spokes, self.failed = models.train_spokes(tx, t.fraud_labels(), AS_OF, self.at_label)
+        self.labelled = written(models.labelled_context(tx, t.fraud_labels(), AS_OF), "product_type")
+        self.spokes, self.failed = models.train_spokes(self.labelled, self.at_label)
         if self.failed:
             raise RuntimeError(f"training failed: {self.failed}")
 
@@ -142,14 +143,25 @@ def forest_hub_metrics(t):
     return models.metrics_table(t.spark, {"forest": forest})
 
 
+# The grids searched for boosted trees and for the dense network.
+TREE_GRID = {"stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 4, 5]}
+LAYER_GRID = {"hidden": [(32,), (64, 32), (128, 64, 32)], "maxIter": [30, 60, 120]}
+
+
 @query("parameter_search")
 def parameter_search(t):
-    """Random candidates ranked by mean AUC over forward-chaining folds."""
+    """The whole grid of the hub and of every product, by successive halving over forward-chaining folds."""
     s = Stage.of(t)
-    spoke = models.SPOKES["credit_card"]
-    rows = models.product_training_set(spoke, t.transactions(), t.fraud_labels(), AS_OF, s.at_label)
-    specs = models.random_specs(models.Spec("card", "gbt"), {"stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 4, 5]}, 2)
-    return models.search(rows.withColumnRenamed("is_fraud", "label"), spoke.inputs(), specs, "timestamp", "transaction_id")
+    hub_rows, hub_features = models.hub_inputs(s.hub_rows)
+    jobs = [("hub", hub_rows, hub_features, models.Spec("hub", "gbt"), "label_timestamp", "row_id")]
+    for name, spoke in models.SPOKES.items():
+        jobs.append((name, models.product_training_set(spoke, s.labelled, s.at_label), spoke.inputs(), spoke.spec, "timestamp", "transaction_id"))
+    out = None
+    for name, rows, features, spec, ts, key in jobs:
+        specs = models.grid_specs(spec, LAYER_GRID if spec.algorithm == "mlp" else TREE_GRID)
+        ranked = models.search(rows.withColumnRenamed("is_fraud", "label"), features, specs, ts, key, keep=1 / 3).withColumn("model", F.lit(name))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
 
 
 @query("batch_decisions")

@@ -130,5 +130,6 @@ JOIN v USING (transaction_id) LEFT JOIN b ON b.customer_id = t.customer_id AND b
 @query("product_training_set", PRODUCT_SET, "tx fl")
 def product_training_set(t):
     """Labelled instant payments with their context as of their own time, before the hub score is added."""
-    rows = models.product_training_set(models.SPOKES["pix"], t.transactions(), t.fraud_labels(), AS_OF)
-    return rounded(rows)
+    spoke = models.SPOKES["pix"]
+    rows = models.labelled_context(t.transactions(), t.fraud_labels(), AS_OF, spoke.product)
+    return rounded(models.product_training_set(spoke, rows))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import logging
-import random
+import math
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.operators import metrics, modeling_table, point_in_time, training
-from riskspark.plans.fixpoint import cut
+from riskspark.plans.fixpoint import cut, written
 
 log = logging.getLogger(__name__)
 
@@ -119,32 +122,48 @@ def load(spark: SparkSession, path: str) -> Trained:
     return Trained(spec, meta["features"], PipelineModel.load(f"{path}/pipeline"), meta["metrics"])
 
 
-def random_specs(base: Spec, choices: Mapping[str, Sequence], trials: int, seed: int = 42) -> list[Spec]:
-    """Seeded random picks from a parameter grid."""
-    pick = random.Random(seed)
-    return [Spec(f"{base.name}_{i}", base.algorithm, {**base.params, **{k: pick.choice(list(v)) for k, v in choices.items()}})
-            for i in range(trials)]
+def grid_specs(base: Spec, choices: Mapping[str, Sequence]) -> list[Spec]:
+    """Every combination of a parameter grid."""
+    return [Spec(f"{base.name}_{i}", base.algorithm, {**base.params, **dict(zip(choices, picked))})
+            for i, picked in enumerate(itertools.product(*choices.values()))]
+
+
+def _fold_auc(blocks: DataFrame, features: Sequence[str], spec: Spec, id_column: str, fold: int) -> float | None:
+    """AUC on block ``fold + 1`` of a model that has seen the blocks up to ``fold``."""
+    # The learner may watch some of the training rows; the test block is never fitted.
+    part = F.when(F.col("block") == fold + 1, "test").when(training.stable_fraction(id_column) < 0.1, "validation").otherwise("train")
+    marked = blocks.where(F.col("block") <= fold + 1).withColumn("part", part)
+    one = Trained(spec, list(features), fit(marked, features, spec), {})
+    found = metrics.auc(one.score(marked.where("part = 'test'"))).first()
+    return found["auc"] if found else None
 
 
 def search(rows: DataFrame, features: Sequence[str], specs: Sequence[Spec], ts: str, id_column: str,
-           folds: int = 3) -> DataFrame:
-    """Mean AUC of each candidate over forward-chaining folds, best first."""
-    blocks = cut(training.time_folds(rows.fillna(0).withColumn("label", F.col("label").cast("double")), ts, id_column, folds))
-    results = []
-    for spec in specs:
-        scores = []
-        for i in range(folds):
-            used = blocks.where(F.col("block") <= i + 1)
-            # The learner may watch the newest training block; the test block is never fitted.
-            part = F.when(F.col("block") == i + 1, "test").when(
-                training.stable_fraction(id_column) < 0.1, "validation").otherwise("train")
-            marked = used.withColumn("part", part)
-            one = Trained(spec, list(features), fit(marked, features, spec), {})
-            scores.append(metrics.auc(one.score(marked.where("part = 'test'"))).first()["auc"])
-        known = [s for s in scores if s is not None]
-        results.append((spec.name, json.dumps(dict(spec.params)), sum(known) / len(known) if known else None))
-    return rows.sparkSession.createDataFrame(results, "name string, params string, mean_auc double").orderBy(
-        F.desc_nulls_last("mean_auc"), "name")
+           folds: int = 3, keep: float = 1.0, together: int = 8) -> DataFrame:
+    """(name, params, folds, mean_auc) of each candidate over forward-chaining folds, best first.
+
+    After each fold the best ``keep`` of the candidates go on to the next, longer one (all of them by
+    default); those that got further rank first. ``together`` candidates train side by side on one
+    stored table that holds their inputs alone.
+    """
+    columns = list(dict.fromkeys([id_column, ts, *features]))
+    blocks = training.time_folds(rows.fillna(0).select(*columns, F.col("label").cast("double").alias("label")), ts, id_column, folds)
+    blocks = written(blocks.drop(ts), "block")
+    left, scores = list(specs), {s.name: [] for s in specs}
+
+    def mean(name: str) -> float:
+        known = [x for x in scores[name] if x is not None]
+        return sum(known) / len(known) if known else -1.0
+
+    with ThreadPoolExecutor(max_workers=together) as pool:
+        for fold in range(folds):
+            one = inheritable_thread_target(rows.sparkSession)(lambda s: _fold_auc(blocks, features, s, id_column, fold))  # noqa: B023
+            for spec, auc in zip(left, pool.map(one, left)):
+                scores[spec.name].append(auc)
+            left = sorted(left, key=lambda s: (-mean(s.name), s.name))[:max(1, math.ceil(keep * len(left)))]
+    results = [(s.name, json.dumps(dict(s.params)), len(scores[s.name]), None if mean(s.name) < 0 else mean(s.name)) for s in specs]
+    return rows.sparkSession.createDataFrame(results, "name string, params string, folds int, mean_auc double").orderBy(
+        F.desc("folds"), F.desc_nulls_last("mean_auc"), "name")
 
 
 # --- hub --------------------------------------------------------------------------------
@@ -152,9 +171,8 @@ def search(rows: DataFrame, features: Sequence[str], specs: Sequence[Spec], ts:
 HUB_SPECS = {"gbt": Spec("hub", "gbt"), "forest": Spec("hub", "forest")}
 
 
-def train_hub(training_set: DataFrame, spec: Spec | str = "gbt") -> Trained:
-    """Customer-level model from the labelled point-in-time set."""
-    spec = HUB_SPECS[spec] if isinstance(spec, str) else spec
+def hub_inputs(training_set: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The hub's training rows with an id and derived columns, and the names of its features."""
     rows = modeling_table.derived_inputs(training_set.withColumn(
         "row_id", F.concat_ws(":", "customer_id", F.col("label_timestamp").cast("string"), "is_fraud")))
     skip = {"customer_id", "is_fraud", "label_timestamp", "row_id"}
@@ -162,6 +180,13 @@ def train_hub(training_set: DataFrame, spec: Spec | str = "gbt") -> Trained:
     for name in features:
         if dict(rows.dtypes)[name] == "boolean":
             rows = rows.withColumn(name, F.col(name).cast("int"))
+    return rows, features
+
+
+def train_hub(training_set: DataFrame, spec: Spec | str = "gbt") -> Trained:
+    """Customer-level model from the labelled point-in-time set."""
+    spec = HUB_SPECS[spec] if isinstance(spec, str) else spec
+    rows, features = hub_inputs(training_set)
     parts = training.split_by_time(rows, "label_timestamp", "row_id")
     return train_model(parts.withColumnRenamed("is_fraud", "label"), features, spec)
 
@@ -214,14 +239,19 @@ SPOKES: dict[str, Spoke] = {
 }
 
 
-def product_training_set(spoke: Spoke, transactions: DataFrame, labels: DataFrame, as_of, hub_at_label: DataFrame | None = None) -> DataFrame:
-    """Labelled transactions of a product with their context as of their own time and the product's features.
+def labelled_context(transactions: DataFrame, labels: DataFrame, as_of, product: str | None = None) -> DataFrame:
+    """Labelled transactions (of one product if given) with their context as of their own time."""
+    kept = training.labelled_transactions(transactions, labels, as_of, product)
+    return training.with_new_beneficiary(point_in_time.context_before(kept, transactions), transactions)
+
+
+def product_training_set(spoke: Spoke, rows: DataFrame, hub_at_label: DataFrame | None = None) -> DataFrame:
+    """The product's part of the labelled rows with its features.
 
     ``hub_at_label`` (customer_id, label_timestamp, hub_score) has the customer's score as it was just before
     the label; without it the set has no such column.
     """
-    kept = training.labelled_transactions(transactions, labels, as_of, spoke.product)
-    rows = training.with_new_beneficiary(point_in_time.context_before(kept, transactions), transactions)
+    rows = rows.where(F.col("product_type") == spoke.product)
     if hub_at_label is not None:
         rows = rows.join(hub_at_label, ["customer_id", "label_timestamp"], "left").fillna(DEFAULT_SCORE, ["hub_score"])
     columns = spoke.inputs() if hub_at_label is not None else spoke.features
@@ -234,14 +264,14 @@ def hub_at_labels(hub: Trained, hub_rows: DataFrame) -> DataFrame:
     return scored.groupBy("customer_id", "label_timestamp").agg(F.avg("hub_score").alias("hub_score"))
 
 
-def train_spokes(transactions: DataFrame, labels: DataFrame, as_of, hub_at_label: DataFrame, spokes: Mapping[str, Spoke] = SPOKES,
+def train_spokes(rows: DataFrame, hub_at_label: DataFrame, spokes: Mapping[str, Spoke] = SPOKES,
                  only: Sequence[str] | None = None) -> tuple[dict[str, Trained], dict[str, str]]:
-    """Train all or some products; a failure of one is reported and does not stop the others."""
+    """Train all or some products on the labelled rows; a failure of one is reported and does not stop the others."""
     done, failed = {}, {}
     for name in only or spokes:
         spoke = spokes[name]
         try:
-            parts = training.split_by_time(product_training_set(spoke, transactions, labels, as_of, hub_at_label), "timestamp", "transaction_id")
+            parts = training.split_by_time(product_training_set(spoke, rows, hub_at_label), "timestamp", "transaction_id")
             done[name] = train_model(parts.withColumnRenamed("is_fraud", "label"), spoke.inputs(), spoke.spec)
         except Exception as error:
             log.exception("training %s failed", name)

@@ -4,7 +4,7 @@ A cell of one level is cut into sixteen on the next. A place in a cell is at mos
 radius from its centre, so the distance to the centre bounds the distance to every
 place in it from both sides. Starting from the largest cells, a probe keeps the cells whose
 least distance is not beyond the best upper bound, and looks at their occupied parts
-on the next level. What it keeps is a handful of cells around the nearest place, whatever
+on the next level, until the cells hold few places. What it keeps is a handful of cells around the nearest place, whatever
 the number of places, so work grows with probes and places and not with their product.
 
 Two kinds of history: all known places (``nearest``), or those visited in the hours before
@@ -26,6 +26,8 @@ from riskspark.plans.running import asof_sums, stretch_moves
 EARTH_KM = 6371.0
 #: Levels below the whole globe; cells of the last one are about 40 m wide.
 LEVELS = 10
+#: Places a cell holds on average where all of them are looked at.
+FEW = 128
 #: A kilometre's thousandth of slack keeps rounding from dropping the right cell.
 SLACK = 0.001
 
@@ -60,14 +62,19 @@ def _times(rows: DataFrame) -> list[str]:
     return [c for c in ("us",) if c in rows.columns]
 
 
-def _descend(probes: DataFrame, expand: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """The last level's cells that may hold a probe's nearest place."""
+def _descend(probes: DataFrame, places: DataFrame, expand: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, int]:
+    """Cells that may hold a probe's nearest place, and their level: the first one where such a cell holds
+    ``FEW`` of ``places`` on average, or the last one."""
     state = probes.select("probe", "customer_id", "lat", "lon", *_times(probes))
     around = F.explode(F.array(F.lit(-1), F.lit(0)).cast("array<bigint>"))
     state = state.withColumn("cy", around).withColumn("cx", around)
     for level in range(1, LEVELS + 1):
         state = _bounded(expand(state, level), level)
-    return state
+        held = places.select("customer_id", *cell(level, "y", "x")).groupBy("customer_id", "cy", "cx").agg(F.count(F.lit(1)).alias("n"))
+        cells, met = state.join(held, ["customer_id", "cy", "cx"]).agg(F.count(F.lit(1)), F.sum("n")).first()
+        if (met or 0) <= FEW * cells:
+            break
+    return state, level
 
 
 def nearest(probes: DataFrame, known: DataFrame) -> DataFrame:
@@ -82,8 +89,9 @@ def nearest(probes: DataFrame, known: DataFrame) -> DataFrame:
         return met.select("probe", "customer_id", "lat", "lon", F.col("__cy").alias("cy"), F.col("__cx").alias("cx"),
                           great_circle_km(F.col("lat"), F.col("lon"), F.col("sample.lat"), F.col("sample.lon")).alias("sample_km"))
 
-    places = known.select("customer_id", F.col("lat").alias("y"), F.col("lon").alias("x"), *cell(LEVELS))
-    left = _descend(probes, expand).join(places, ["customer_id", "cy", "cx"])
+    places = known.select("customer_id", F.col("lat").alias("y"), F.col("lon").alias("x"))
+    state, level = _descend(probes, places, expand)
+    left = state.join(places.select("*", *cell(level, "y", "x")), ["customer_id", "cy", "cx"])
     return left.groupBy("probe").agg(F.min(great_circle_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("km"))
 
 
@@ -111,10 +119,10 @@ def nearest_before(probes: DataFrame, visits: DataFrame, hours: int) -> DataFram
         return each.select("probe", "customer_id", "lat", "lon", "us", (F.col("cy") * 4 + F.floor(F.col("k") / 4)).alias("cy"),
                            (F.col("cx") * 4 + F.col("k") % 4).alias("cx"), F.lit(float("inf")).alias("sample_km"))
 
-    left = _descend(searched, expand)
-    # The stretches of the places themselves, in the cells that are left: from the first visit until it expires.
+    # The stretches of the places themselves: from the first visit until it expires.
     spans = own.groupBy("customer_id", "value", "stretch").agg(F.min("us").alias("start"), F.max("us").alias("until"))
-    spans = spans.select("customer_id", F.col("value.lat").alias("y"), F.col("value.lon").alias("x"), *cell(LEVELS, "value.lat", "value.lon"), "start", "until")
-    met = left.join(spans, ["customer_id", "cy", "cx"]).where((F.col("start") < F.col("us")) & (F.col("us") <= F.col("until")))
+    spans = cut(spans.select("customer_id", F.col("value.lat").alias("y"), F.col("value.lon").alias("x"), "start", "until"))
+    state, level = _descend(searched, spans, expand)
+    met = state.join(spans.select("*", *cell(level, "y", "x")), ["customer_id", "cy", "cx"]).where((F.col("start") < F.col("us")) & (F.col("us") <= F.col("until")))
     far = met.groupBy("probe").agg(F.min(great_circle_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("km"))
     return far.unionByName(here.withColumn("km", F.lit(0.0)))

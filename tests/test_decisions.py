@@ -117,10 +117,22 @@ def test_save_load_and_failure_isolation(spark, fitted, tmp_path):
     models.save(m, str(tmp_path / "m"), "7", spark)
     again = models.load(spark, str(tmp_path / "m"))
     assert again.features == m.features and again.metrics["test_auc"] == pytest.approx(m.metrics["test_auc"])
-    done, failed = models.train_spokes(df, df, "2024-01-01", only=["pix"])
+    done, failed = models.train_spokes(df, df, only=["pix"])
     assert not done and "pix" in failed
 
 
+def test_halving_ranks_like_the_whole_search(fitted):
+    df, _ = fitted
+    rows = df.withColumn("ts", F.timestamp_micros(F.col("id") * 1_000_000).cast("timestamp_ntz")).drop("part")
+    specs = models.grid_specs(models.Spec("t", "logistic"), {"regParam": [0.0, 0.1, 10.0], "elasticNetParam": [0.0, 0.5, 1.0]})
+    assert len(specs) == 9 and len({s.name for s in specs}) == 9
+    whole = [r for r in models.search(rows, ["a", "b", "c"], specs, "ts", "id").collect()]
+    some = [r for r in models.search(rows, ["a", "b", "c"], specs, "ts", "id", keep=1 / 3).collect()]
+    assert [r.folds for r in whole] == [3] * 9 and sorted(r.folds for r in some) == [1] * 6 + [2] * 2 + [3]
+    best = {r.name: r.mean_auc for r in whole}
+    assert best[some[0].name] >= sorted(best.values())[-3] - 1e-9
+
+
 def test_time_split_is_ordered(spark):
     rows = [(i, datetime(2024, 1, 1) + timedelta(hours=(i * 37) % 500)) for i in range(200)]
     out = training.split_by_time(spark.createDataFrame(rows, "id long, ts timestamp_ntz"), "ts", "id").collect()
