@@ -274,8 +274,10 @@ def components(documents: DataFrame, width: int = 5, percent: int = 75, block: i
     links = links.union(stored(more, "more"))
 
     component = _components(links)
-    labelled = classes.select("node", "least").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    labelled = stored(classes.select("node", "least").join(component, "node", "left")
+                      .withColumn("component", F.coalesce("component", "node")), "labelled")
+    # Stored, so that the join below meets two plain tables and a large component can be split.
+    least = stored(labelled.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = labelled.join(least, "component").select("node", "component", "component_id")
     return rows.select("doc_id", *KEY, "n_shingles", "node").join(named, "node", "left").drop("node")
 

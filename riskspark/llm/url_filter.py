@@ -111,7 +111,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     rules = rules.where("host is not null").select(
         lowered(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct()
     parts = split_urls(pages)
-    by_host = rules_by_host(parts.select("host").distinct(), rules)
+    # Stored, so that the join below meets two plain tables and the pages of a large host can be split.
+    by_host = stored(rules_by_host(parts.select("host").distinct(), rules), "rules")
     met = parts.join(by_host, "host", "left")
     fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(
