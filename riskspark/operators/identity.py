@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from riskspark.functions.times import as_time, micros, whole_days
 from riskspark.operators.profile import age_years
 from riskspark.plans.fixpoint import both_ways, connected_components, cut, iterate
+from riskspark.plans.similar import SLACK, least_shared, meeting_points, rare_first, ratio_bound, two_of, without_one
 
 # Linkage rules (weight, threshold) and the group threshold.
 DOCUMENT, EMAIL, PHONE = 1.0, 0.8, 0.7
@@ -83,8 +84,9 @@ def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length: stays in generated code."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    """1 - edit distance / longer length, 1 for two empty texts: stays in generated code."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer > 0, 1 - F.levenshtein(a, b) / longer).otherwise(1.0)
 
 
 def _filled(name: str) -> Column:
@@ -116,10 +118,8 @@ def candidate_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame
     e-mails and phones both differ, and with a document empty on the e-mail or on
     the phone.
 
-    Pairs without an equal identifier can match by name and birth date alone.
-    Under either policy they are met where both are equal letter by letter; those that are only
-    similar in name or birth date and share no identifier are left out, since
-    finding them means comparing everyone with everyone.
+    Pairs without an equal identifier can match by name and birth date alone; they
+    are found by ``similar_pairs``.
     """
     v = variants.withColumn("has_email", F.col("email").isNotNull()) \
         .withColumn("has_phone", F.col("phone").isNotNull()) \
@@ -141,29 +141,93 @@ def candidate_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame
     ordered = F.col("a_rep") < F.col("b_rep")
     email, phone, document = both("has_email"), both("has_phone"), both("has_doc")
     if null_policy == "skip":
-        alone, by_phone, unlike = ~email & ~phone, ~document & ~email, ~document & ~email & ~phone
+        alone, by_phone = ~email & ~phone, ~document & ~email
     else:
-        alone, by_phone, unlike = ~email | ~phone, ~document, ~document & (~email | ~phone)
+        alone, by_phone = ~email | ~phone, ~document
     pairs = [
         a.join(b, meet("document_number", "email") & ordered),
         a.join(b, meet("document_number", "phone") & ordered),
         a.join(b, meet("document_number") & ordered & alone),
         a.join(b, meet("email") & ordered & ~document),
         a.join(b, meet("phone") & ordered & by_phone),
-        a.join(b, meet("full_name", "birth_date") & ordered & unlike),
     ]
     out = pairs[0]
     for p in pairs[1:]:
         out = out.unionByName(p)
     keep = [c for c in out.columns if "_has_" not in c]
-    return out.select(*keep).distinct()
+    return out.select(*keep).unionByName(similar_pairs(variants, null_policy)).distinct()
+
+
+def similar_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame:
+    """Pairs of variants without an equal identifier that can match by name and birth date.
+
+    Such a pair lacks a document on one side at least (``skip``: also an e-mail and
+    a phone; ``reference``: one of the two), and the ratios of name and birth date add up to 1.7.
+    Dates are ten letters long, their ratios steps of a tenth, so a pair meets in one of four places:
+
+    * dates equal, names at 0.7: on the date and a rare pair of letters of the name
+    * dates at 0.9, names at 0.8: on the date without one letter and a rare pair of letters
+    * dates at 0.8, names at 0.9: on two rare pairs of letters
+    * dates at 0.7: on the name
+
+    Where texts of another length stand in place of dates, those that differ in more
+    than one letter are only met with the name equal or at 0.9. The side without a
+    document carries which other fields it has; the other side meets only
+    those it may be paired with. A name that stands with very many dates is
+    compared within its name, which is inherent in the rule.
+    """
+    skip = null_policy == "skip"
+
+    def text(name: str) -> Column:
+        out = F.trim(F.lower(F.col(name)))
+        return out if skip else F.coalesce(out, F.lit("none"))
+
+    fields = variants.columns
+    rows = variants.select(
+        "*", text("full_name").alias("name"), text("birth_date").alias("birth"), F.xxhash64(*fields).alias("row"),
+        (F.when(F.col("email").isNotNull(), 1).otherwise(0) + F.when(F.col("phone").isNotNull(), 2).otherwise(0)).alias("has"))
+    if skip:
+        rows = rows.where("name IS NOT NULL AND birth IS NOT NULL")
+    rows = cut(rare_first(rows, ["rep", "row"], "name", "grams").withColumn("size", F.char_length("name")))
+
+    def places(kind: int, *of: Column) -> Column:
+        return F.xxhash64(F.lit(kind), *of)
+
+    grams, size, birth = F.col("grams"), F.col("size"), F.col("birth")
+    alike = meeting_points(grams, size, 0.8)
+    keys = F.array_distinct(F.concat(
+        F.transform(meeting_points(grams, size, 0.7), lambda g: places(1, birth, g)),
+        F.flatten(F.transform(without_one(birth), lambda d: F.transform(alike, lambda g: places(2, d, g)))),
+        F.transform(two_of(meeting_points(grams, size, 0.9, 2)), lambda g: places(3, g)),
+        F.array(places(4, F.col("name")))))
+    bare = F.col("document_number").isNull()
+    met = rows.select("rep", "row", "has", bare.alias("bare"), keys.alias("keys"))
+    both = F.col("has").bitwiseAND(F.col("left_has"))
+    left = met.where("bare").select(F.col("rep").alias("rep1"), F.col("row").alias("row1"), F.col("has").alias("left_has"),
+                                    F.explode("keys").alias("place"))
+    right = (met.select("rep", "row", "has", "keys", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("left_has"))
+             .where(both == 0 if skip else both != 3)
+             .select(F.col("rep").alias("rep2"), F.col("row").alias("row2"), "left_has", F.explode("keys").alias("place")))
+    one, two = F.struct(F.col("rep1").alias("rep"), F.col("row1").alias("row")), F.struct(F.col("rep2").alias("rep"), F.col("row2").alias("row"))
+    pairs = (left.join(right, ["left_has", "place"]).where("rep1 <> rep2")
+             .select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+             .select(F.col("a.rep").alias("a_rep"), F.col("a.row").alias("a_row"), F.col("b.rep").alias("b_rep"), F.col("b.row").alias("b_row")))
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(*[F.col(c).alias(f"{side}_{c}") for c in [*fields, "row", "name", "birth", "grams", "size"]]),
+                           [f"{side}_rep", f"{side}_row"])
+    # What the lengths and the shared pairs of letters still allow.
+    total, shared = F.col("a_size") + F.col("b_size"), F.size(F.array_intersect("a_grams", "b_grams"))
+    dates = F.when(F.col("a_birth") == F.col("b_birth"), 1.0).otherwise(ratio_bound(F.col("a_birth"), F.col("b_birth")))
+    ratio = F.greatest(F.lit(1.7) - dates, F.lit(0.7))
+    close = (shared >= least_shared(total, ratio)) & (2 * F.least("a_size", "b_size") >= total * (ratio - SLACK))
+    return pairs.where(close).select(*[f"a_{c}" for c in fields], *[f"b_{c}" for c in fields])
 
 
 def score_pairs(pairs: DataFrame, fuzzy: str = "matcher", null_policy: str = "skip", at_least: float = 0.0) -> DataFrame:
     """Weighted share of passed rules.
 
-    Pairs that stay below ``at_least`` even if all text rules passed are left out
-    before any text is compared.
+    Pairs that stay below ``at_least`` even if texts were as similar as the letters
+    they have in common allow are left out before any text is compared.
 
     ``null_policy='skip'`` leaves a rule out of both sums when a side is empty;
     ``'reference'`` lets exact rules pass on an empty side and compares an empty
@@ -196,13 +260,21 @@ def score_pairs(pairs: DataFrame, fuzzy: str = "matcher", null_policy: str = "sk
     text_rules = [(filled("full_name", other) if skip else F.lit(True), other, least, weight) for other, weight, least in (
         ("birth_date", NAME_BIRTH, NAME_BIRTH_MIN), ("phone", NAME_PHONE, NAME_PHONE_MIN))]
     compared = pairs
+
+    def texts(n: str) -> tuple[Column, Column]:
+        return F.coalesce(side("a", n), F.lit("")), F.coalesce(side("b", n), F.lit(""))
+
     if at_least > 0:
         best = weighed(rules + [(counts, F.lit(1.0), least, weight) for counts, _, least, weight in text_rules])
         compared = pairs.where(best >= at_least)
+        for n in ("full_name", "birth_date", "phone"):
+            compared = compared.withColumn("most_" + n, ratio_bound(*texts(n)))
+        most = [(counts, (F.col("most_full_name") + F.col("most_" + other)) / 2 + SLACK, least, weight)
+                for counts, other, least, weight in text_rules]
+        compared = compared.where(weighed(rules + most) >= at_least)
     ratio = matcher_ratio if fuzzy == "matcher" else edit_ratio
     for n in ("full_name", "birth_date", "phone"):
-        raw = ratio(F.coalesce(side("a", n), F.lit("")), F.coalesce(side("b", n), F.lit("")))
-        compared = compared.withColumn("r_" + n, raw)
+        compared = compared.withColumn("r_" + n, ratio(*texts(n)))
     for counts, other, least, weight in text_rules:
         rules.append((counts, (F.col("r_full_name") + F.col("r_" + other)) / 2, least, weight))
     scored = compared.withColumn("score", weighed(rules))

@@ -27,7 +27,21 @@ def ratio(a, b):
     return SequenceMatcher(None, a.lower().strip(), b.lower().strip()).ratio()
 
 
-def direct_score(a, b, policy="skip"):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def edit_ratio(a, b):
+    a, b = a.lower().strip(), b.lower().strip()
+    return 1 - edits(a, b) / max(len(a), len(b), 1)
+
+
+def direct_score(a, b, policy="skip", ratio=ratio):
     total = weight = 0.0
     skip = policy == "skip"
     for f, w in ((2, 1.0), (5, .8), (6, .7)):
@@ -55,18 +69,13 @@ def ids(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def meets(x, y):
-    """An identifier in common, or the same name and birth date."""
-    return any(x[f] and x[f] == y[f] for f in (2, 5, 6)) or bool(x[3] and x[3] == y[3] and x[4] and x[4] == y[4])
-
-
 @pytest.fixture(scope="module")
 def wanted(rows):
-    """Matches of all pairs with at least one identifier in common, by direct scoring."""
+    """Matches of all pairs, by direct scoring."""
     out = {}
     for x in rows:
         for y in rows:
-            if x[1] < y[1] and meets(x, y):
+            if x[1] < y[1]:
                 s = direct_score(x, y)
                 if s >= 0.8:
                     out[x[1], y[1]] = s
@@ -113,12 +122,72 @@ def test_blocking_with_every_pattern_of_empty_fields(spark, policy):
     n = 0
     for x in rows:
         for y in rows:
-            if x[1] < y[1] and {x[1], y[1]} <= reps and meets(x, y) and (s := direct_score(x, y, policy)) >= 0.8:
+            if x[1] < y[1] and {x[1], y[1]} <= reps and (s := direct_score(x, y, policy)) >= 0.8:
                 assert got[x[1], y[1]] == pytest.approx(s), (x, y)
                 n += 1
     assert n > 100
 
 
+def strangers(n=230, seed=5):
+    """People with few identifiers, their names and dates a few letters apart."""
+    r, out = random.Random(seed), []
+    names = ["ANA SOUZA", "JOSÉ", "LI", "MARIA APARECIDA DOS SANTOS", "PEDRO HENRIQUE LIMA", "AABBAABB", "O", "ÍRIS \U0001F600 LUZ"]
+
+    def typed(text, alphabet, times):
+        for _ in range(times):
+            i, c = r.randrange(len(text) + 1), r.choice(alphabet)
+            text = r.choice([text[:i] + c + text[i:], text[:i] + c + text[i + 1:], text[:i] + text[i + 1:], text[i:] + text[:i]])
+        return text.strip()
+    for i in range(n):
+        name, day = typed(r.choice(names), "ABES ", r.randrange(5)) or None, date(1980, 1, 1)
+        for _ in range(r.randrange(3)):
+            day = day.replace(**r.choice([{"year": r.choice([1908, 1981, 1990, 2019])}, {"month": r.randrange(1, 13)}, {"day": r.randrange(1, 29)}]))
+        if r.random() < .1:
+            name, day = (None, day) if r.random() < .5 else (name, None)
+        some = lambda v: v if r.random() < .3 else None
+        out.append(("s", i, some(f"d{i}"), name, day, some(f"{i}@x"), some(f"55{i}"), WHEN, WHEN))
+    return out
+
+
+@pytest.mark.parametrize("policy", ["skip", "reference"])
+@pytest.mark.parametrize("fuzzy", ["matcher", "edit"])
+def test_similar_names_without_identifiers(spark, policy, fuzzy):
+    rows = strangers()
+    got = {(r["id_a"], r["id_b"]): r["score"] for r in
+           identity.matched_pairs(spark.createDataFrame(rows, SCHEMA), fuzzy, policy).collect()}
+    want, apart = {}, 0
+    for x in rows:
+        for y in rows:
+            if x[1] < y[1] and (s := direct_score(x, y, policy, ratio if fuzzy == "matcher" else edit_ratio)) >= 0.8:
+                want[x[1], y[1]] = s
+                apart += x[3] != y[3] and x[4] != y[4]
+    assert apart > 20
+    assert all(rows[a][2:] == rows[b][2:] for a, b in got if (a, b) not in want)  # exact copies are always tied
+    assert {p: got[p] for p in want if p in got} == pytest.approx({p: want[p] for p in want if p in got})
+    reps = {r["rep"] for r in identity.record_variants(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not {p for p in want if p not in got and set(p) <= reps}
+
+
+def test_similar_names_are_not_compared_all_with_all(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPRSTUVZ") for _ in range(r.randrange(4, 9)))
+    rows = [("s", i, None, f"{word()} {word()}", date(1940 + r.randrange(60), r.randrange(1, 13), r.randrange(1, 29)), None, None, WHEN, WHEN)
+            for i in range(4000)]
+    rows += [("s", 4000 + i, None, x[3][:-1] + "X", x[4], None, None, WHEN, WHEN) for i, x in enumerate(rows[:400])]
+    pairs = identity.similar_pairs(identity.record_variants(spark.createDataFrame(rows, SCHEMA)))
+    found = {(p["a_rep"], p["b_rep"]) for p in pairs.select("a_rep", "b_rep").collect()}
+    assert {(i, 4000 + i) for i in range(400)} <= found and len(found) < 4000
+
+
+def test_bound_of_ratios(spark):
+    texts = [x[3] or "" for x in strangers(60)]
+    pairs = [(a, b) for a in texts for b in texts]
+    bound = identity.ratio_bound(F.col("a"), F.col("b"))
+    for a, b, most in spark.createDataFrame(pairs, "a string, b string").select("a", "b", bound).collect():
+        assert most >= SequenceMatcher(None, a, b).ratio() - 1e-9
+        assert not (a or b) or most >= 1 - edits(a, b) / max(len(a), len(b)) - 1e-9
+
+
 def test_components_equal_all_pairs(ids, rows, wanted):
     want = groups(wanted, [r[1] for r in rows])
     got = {r["customer_id"]: r["canonical_customer_id"] for r in identity.resolve(ids).collect()}
