@@ -3,9 +3,10 @@
 Strong spans are reported wherever they stand: assigned secrets, access keys,
 long hexadecimal strings. Weak candidates are user names, endpoints and
 random-looking tokens. Each of them is only reported when the parts it needs
-stand close by: candidates of one document are joined as intervals (sorted
-starts of each role, looked up by the range of a candidate plus ``reach``
-characters) inside a scope, which is a stretch without an empty line.
+stand close by: candidates of one document are joined as intervals (those of each
+role, sorted, that overlap the range of a candidate plus ``reach`` bytes)
+inside a scope, which is a stretch without an empty line. A line of blanks alone is
+empty.
 A random token needs an identifier (user or access key), a user a secret (of any
 kind), an endpoint both.
 
@@ -102,20 +103,30 @@ def linked(parts: list[tuple[int, int, int]], borders: np.ndarray, reach: int) -
         return i >= 0 and furthest[i] > s
 
     parts = [p for p in parts if p[1] != 5 or not covered(p[0], p[2])]
-    roles = {"identifier": (1, 3), "secret": (0, 2, 5)}
-    at = {role: np.array([s for s, k, _ in parts if k in kinds], dtype=np.int64) for role, kinds in roles.items()}
+    at = {}
+    for role, kinds in {"identifier": (1, 3), "secret": (0, 2, 5)}.items():
+        own = sorted((s, e) for s, k, e in parts if k in kinds)
+        at[role] = (np.array([s for s, _ in own], np.int64), np.maximum.accumulate(np.array([e for _, e in own], np.int64)))
 
     def near(role: str, s: int, e: int) -> bool:
         scope = int(np.searchsorted(borders, s, side="right"))
         low = max(s - reach, int(borders[scope - 1]) if scope else 0)
         high = min(e + reach, int(borders[scope]) if scope < len(borders) else e + reach)
-        a, b = np.searchsorted(at[role], (low, high))
-        return b > a
+        begins, ends = at[role]
+        before = int(np.searchsorted(begins, high))
+        return before > 0 and int(ends[before - 1]) > low
 
     needs = {3: ("secret",), 4: ("identifier", "secret"), 5: ("identifier",)}
     return [p for p in parts if p[1] < 3 or all(near(role, p[0], p[2]) for role in needs[p[1]])]
 
 
+def scope_borders(body: np.ndarray) -> np.ndarray:
+    """The newlines that an empty line follows."""
+    newlines = np.flatnonzero(body == 10)
+    written = np.cumsum(tx.NOT_BLANK[body])[newlines]
+    return newlines[:-1][written[1:] == written[:-1]]
+
+
 def _listed(parts: list[tuple[int, int, int]], char: np.ndarray) -> str:
     return ",".join(f"{KINDS[k]}:{char[s]}:{char[e]}" for s, k, e in parts)
 
@@ -134,8 +145,7 @@ def _scan(reach: int):
                     body = data[offsets[i]:offsets[i + 1]]
                     own = found[np.searchsorted(text, i):np.searchsorted(text, i, side="right")]
                     parts = [(s - offsets[i], k, e - offsets[i]) for s, k, e in own]
-                    empty = np.flatnonzero((body[1:] == 10) & (body[:-1] == 10)) if len(body) else np.zeros(0, int)
-                    kept = linked(parts, empty, reach)
+                    kept = linked(parts, scope_borders(body), reach)
                     char = np.concatenate(([0], np.cumsum((body & 0xC0) != 0x80)))
                     strong = [p for p in kept if p[1] < 3]
                     for _, k, _ in strong:

@@ -1,6 +1,7 @@
 """Operators on rows (line dedup, shards, mix, secrets, licences, urls) against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -197,6 +198,51 @@ def test_weak_parts_need_their_complements(spark):
     assert got == {1: "user,random", 2: "", 3: "", 4: "", 5: "", 6: "user,assign,endpoint", 7: ""}
 
 
+def spans_by_hand(text, reach=300):
+    """All pairs of candidates of one text, on its bytes."""
+    body = text.encode().decode("latin-1")
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in body)
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(body) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", body) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", body) if len(m[0]) >= 32]
+    base = list(found)
+    found += [(m.start(), 3, m.end()) for m in re.finditer(
+        r"""(user|login|account|client_id)(_?name|_?id)?["']?\x20*[:=]\x20*["']?[a-z0-9@._-]{3,}""", low)]
+    for m in re.finditer(r"""://[^\x20\x09-\x0D"'<>]+""", low):
+        scheme = re.search("[a-z][a-z0-9+.-]{1,15}$", low[max(0, m.start() - 16):m.start()])
+        if scheme:
+            found.append((m.start() - len(scheme[0]), 4, m.end()))
+    for m in re.finditer("[A-Za-z0-9+/_-]{20,}", body):
+        share = [n / len(m[0]) for n in Counter(m[0]).values()]
+        if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]")) and -sum(x * math.log2(x) for x in share) >= 3.5 - 1e-9:
+            if not any(s < m.end() and m.start() < e for s, _, e in base):
+                found.append((m.start(), 5, m.end()))
+
+    def meets(x, y):
+        between = body[min(x[0], y[0]):max(x[0], y[0])]
+        blank = any(not line.strip(" \t\n\x0b\x0c\r") for line in between.split("\n")[1:-1])
+        return x[0] - y[2] < reach and y[0] - x[2] < reach and not blank
+
+    needs = {3: [(0, 2, 5)], 4: [(1, 3), (0, 2, 5)], 5: [(1, 3)]}
+    kept = [x for x in found if all(any(y[1] in kinds and meets(x, y) for y in found) for kinds in needs.get(x[1], []))]
+    place = lambda i: len(body[:i].encode("latin-1").decode())
+    return ",".join(f"{secret_scan.KINDS[k]}:{place(s)}:{place(e)}" for s, k, e in sorted(kept))
+
+
+def test_linking_by_hand(spark):
+    r = random.Random(17)
+    parts = ["user=maria ", "login: jo_é ", "account_id='a.b.c' ", "password=abcdefgh ", "token: " + "q" * 400 + " ", "AKIA" + "A1" * 8 + " ",
+             "0f" * 20 + " ", "https://db.example.com/x ", "ftp://é/\" ", "Zk9" + "aB3xY7qLm2Rt" * 2 + " ", "x " * 60, "é" * 70 + " ", "word " * 30,
+             "\n", "\n\n", "\n \n", "\r\n\r\n", "\n\t\r\n"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randrange(1, 12))), "") for i in range(400)]
+    rows += [(1000 + n, "password=" + "p" * n + " user=maria", "") for n in (100, 299, 300, 400)]
+    rows += [(2000, "user=maria\n \npassword=abcdefgh", ""), (2001, "user=maria\n\r\npassword=abcdefgh", ""), (2002, "user=maria\npassword=abcdefgh", "")]
+    got = {x.doc_id: x.spans for x in secret_scan.scan(frame(spark, rows)).collect()}
+    assert got == {i: spans_by_hand(t) for i, t, _ in rows}
+    assert all("user" in got[1000 + n] for n in (100, 299, 300, 400)) and "user" in got[2002]
+    assert "user" not in got[2000] + got[2001] and sum("endpoint" in s and "random" in s for s in got.values()) > 10
+
+
 # licences
 
 def test_licences(spark):
