@@ -297,34 +297,52 @@ def matched_pairs(identities: DataFrame, fuzzy: str = "matcher", null_policy: st
     return scored.where(F.col("score") >= threshold).unionByName(copies)
 
 
-def _seed_groups(pairs: DataFrame) -> DataFrame:
-    """Greedy grouping around seeds in id order; members match their seed directly.
+def _along_chains(waits: DataFrame) -> DataFrame:
+    """(id, end, odd) for rows (id, on, n) where ``id`` waits for the ``n`` smaller open ids next to it, ``on`` the smallest.
 
-    An open id becomes a seed when no seed and no smaller open id is next to it. It
-    joins its smallest neighbouring seed once no smaller neighbour is open, since
-    that one could still become a seed. The smallest open id settles every round.
+    An id that waits for a single one is a seed exactly if that one is none, so along a
+    chain of such ids only the parity of the distance to its end counts. Doubling the
+    distance each round reaches the ends in logarithmic rounds.
     """
-    links = cut(both_ways(pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))).distinct())
-    start = links.select(F.col("src").alias("id")).distinct().withColumn("component", F.lit(None).cast(
-        links.schema["src"].dataType))
+    start = waits.select("id", F.when(F.col("n") == 1, F.col("on")).otherwise(F.col("id")).alias("end"), (F.col("n") == 1).alias("odd"))
 
     def step(state: DataFrame) -> DataFrame:
-        open_ids = state.where("component IS NULL").select("id")
-        near = (links.join(open_ids.withColumnRenamed("id", "src"), "src", "left_semi")
-                .join(state.withColumnRenamed("id", "dst"), "dst")
-                .groupBy(F.col("src").alias("id")).agg(
-                    F.min(F.when(F.col("component").isNull(), F.col("dst"))).alias("least"),
-                    F.min(F.when(F.col("component") == F.col("dst"), F.col("dst"))).alias("seed")))
-        free = F.when(F.col("seed").isNull() & F.coalesce(F.col("least") > F.col("id"), F.lit(True)), F.col("id"))
-        joins = F.when(F.coalesce(F.col("least") > F.col("seed"), F.lit(True)), F.col("seed"))
-        fresh = near.select("id", F.coalesce(free, joins).alias("fresh"))
-        merged = state.join(fresh, "id", "left").select(
-            "id", F.coalesce("component", "fresh").alias("component"))
-        return merged.withColumn("changed", F.col("component").isNull())
+        far = state.select(F.col("id").alias("end"), F.col("end").alias("further"), F.col("odd").alias("more"))
+        return state.join(far, "end").select("id", F.col("further").alias("end"), (F.col("odd") != F.col("more")).alias("odd"),
+                                             (F.col("further") != F.col("end")).alias("changed"))
 
     return iterate(start, step, "changed")
 
 
+def _seed_groups(pairs: DataFrame) -> DataFrame:
+    """Greedy grouping around seeds in id order; members match their seed directly.
+
+    An id is a seed exactly if no smaller id next to it is one, and others join the smallest seed
+    next to them. Each round first settles all ids next to a smaller seed, then
+    every chain of ids that wait for a single smaller one, from an id that waits
+    for none on. The smallest open id settles in every round; further rounds
+    are needed only behind ids that wait for two or more.
+    """
+    links = cut(both_ways(pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")).where("src <> dst")).distinct())
+    smaller = cut(links.where("dst < src"))
+    state = cut(links.select(F.col("src").alias("id")).distinct().withColumn("seed", F.lit(None).cast("boolean")))
+    while not (unsettled := state.where("seed IS NULL").select("id")).isEmpty():
+        near = (smaller.join(unsettled.withColumnRenamed("id", "src"), "src", "left_semi")
+                .join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"))
+                .agg(F.max(F.coalesce("seed", F.lit(False))).alias("joins"), F.count_if(F.col("seed").isNull()).alias("n"),
+                     F.min(F.when(F.col("seed").isNull(), F.col("dst"))).alias("on")))
+        near = cut(unsettled.join(near, "id", "left").select(
+            "id", F.coalesce("joins", F.lit(False)).alias("joins"), F.coalesce("n", F.lit(0)).alias("n"), "on"))
+        # Ids that join are none, so those that wait for one of them alone go on from there as from an even end.
+        waits = near.select("id", F.when(F.col("joins"), 0).otherwise(F.col("n")).alias("n"), "on")
+        known = near.where("joins OR n = 0").select(F.col("id").alias("end"), (~F.col("joins")).alias("of_end"))
+        fresh = _along_chains(waits).join(known, "end").select("id", (F.col("of_end") != F.col("odd")).alias("fresh"))
+        state = cut(state.join(fresh, "id", "left").select("id", F.coalesce("seed", "fresh").alias("seed")))
+    joined = (smaller.join(state.where("seed").select(F.col("id").alias("dst")), "dst")
+              .groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("first")))
+    return state.join(joined, "id", "left").select("id", F.when(F.col("seed"), F.col("id")).otherwise(F.col("first")).alias("component"))
+
+
 def id_mapping(identities: DataFrame, pairs: DataFrame, mode: str = "components") -> DataFrame:
     """customer_id to canonical id: the smallest of its group."""
     edges = pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))

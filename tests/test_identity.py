@@ -211,6 +211,33 @@ def test_seed_mode_is_greedy_in_id_order(ids, rows, wanted):
     assert got == want
 
 
+def seeds_by_hand(links):
+    near, out = {}, {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for a in sorted(near):
+        if a not in out:
+            for b in [a, *near[a]]:
+                out.setdefault(b, a)
+    return out
+
+
+def test_seed_mode_on_chains_and_tangles(spark, monkeypatch):
+    from riskspark.plans import fixpoint
+    r, rounds = random.Random(8), []
+    whole = fixpoint.cut
+    monkeypatch.setattr(fixpoint, "cut", lambda df: rounds.append(1) or whole(df))
+    monkeypatch.setattr(identity, "cut", fixpoint.cut)
+    chain = [(i, i + 1) for i in range(10_000)]
+    for links, most in ((chain, 25), ([(r.randrange(300), 300 + r.randrange(300)) for _ in range(500)]
+                                      + [(1000 + a, 1000 + b) for a, b in ((r.randrange(80), r.randrange(80)) for _ in range(240)) if a != b], 200)):
+        rounds.clear()
+        pairs = spark.createDataFrame([(min(l), max(l)) for l in links], "id_a long, id_b long")
+        got = {x["id"]: x["component"] for x in identity._seed_groups(pairs).collect()}
+        assert got == seeds_by_hand(links) and len(rounds) <= most, len(rounds)
+
+
 def test_reference_policy_counts_empty_sides(spark):
     a = ("s", 1, "d", "ANA", date(1980, 1, 1), None, "9", WHEN, WHEN)
     b = ("s", 2, "d", "ANA", date(1980, 1, 1), "a@x", "9", WHEN, WHEN)
