@@ -154,8 +154,11 @@ def candidate_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame
     out = pairs[0]
     for p in pairs[1:]:
         out = out.unionByName(p)
-    keep = [c for c in out.columns if "_has_" not in c]
-    return out.select(*keep).unionByName(similar_pairs(variants, null_policy)).distinct()
+    out = out.select(*[c for c in out.columns if "_has_" not in c])
+    # Similar pairs lack a document on one side, so there are none where every variant has one.
+    if not variants.where("document_number IS NULL").isEmpty():
+        out = out.unionByName(similar_pairs(variants, null_policy))
+    return out.distinct()
 
 
 def similar_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame:
