@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark.functions.times import whole_days
+from riskspark.plans.chains import two_core
 from riskspark.plans.fixpoint import both_ways, cut, iterate
 from riskspark.plans.running import below
 
@@ -163,12 +164,18 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:
-    """Core number by repeated h-index of the neighbours' values, from the degree down.
+    """Core number: 1 outside the 2-core, inside it by repeated h-index of the neighbours' values, from the degree down.
 
-    Neighbour values are counted per (node, value) before they are ranked, so a
+    The 2-core is found by taking away trees and chains in logarithmic rounds (``plans.chains``), so
+    long chains, which would settle by two nodes a round, cost no rounds below; chains inside the 2-core are
+    settled at once. Neighbour values are counted per (node, value) before they are ranked, so a
     node of any degree contributes few rows.
     """
-    links = cut(both_ways(simple_edges(edges)))
+    edges = cut(simple_edges(edges))
+    kept = cut(two_core(edges))
+    inner = edges.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(
+        kept.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    links = cut(both_ways(inner))
     start = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("core_number"))
 
     def step(state: DataFrame) -> DataFrame:
@@ -183,7 +190,8 @@ def core_numbers(edges: DataFrame) -> DataFrame:
                 .groupBy(F.col("src").alias("id"), F.col("core_number").alias("old")).agg(F.max("reach").alias("core_number"))
                 .select("id", "core_number", (F.col("core_number") != F.col("old")).alias("changed")))
 
-    return iterate(start, step, "changed")
+    outside = both_ways(edges).select(F.col("src").alias("id")).distinct().join(kept, "id", "left_anti")
+    return iterate(start, step, "changed").unionByName(outside.withColumn("core_number", F.lit(1).cast("bigint")))
 
 
 def neighbour_means(edges: DataFrame, features: DataFrame, columns: Sequence[str], hops: int = 2) -> DataFrame:

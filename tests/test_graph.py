@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import graph
+from riskspark.plans import chains
+from riskspark.plans.fixpoint import written
 
 
 def make(spark, edges, extra=()):
@@ -83,6 +85,32 @@ def test_closeness_exact_and_sketch(g):
         assert sketch[v] == pytest.approx(exact[v], rel=0.03, abs=1e-9)
 
 
+def core_by_hand(near):
+    left, core, k = {v: set(w) for v, w in near.items() if w}, {}, 0
+    while left:
+        v = min(left, key=lambda u: len(left[u]))
+        k = max(k, len(left[v]))
+        core[v] = k
+        for w in left.pop(v):
+            left[w].discard(v)
+    return core
+
+
+def test_long_chains_settle_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(chains, "written", lambda df: rounds.append(1) or written(df))
+    assert chains.two_core(spark.range(1999).selectExpr("id AS src", "id + 1 AS dst")).isEmpty() and len(rounds) < 20
+
+
+def test_core_numbers_of_rings_loops_and_trees(spark):
+    ring = [(5000 + i, 5000 + (i + 1) % 20) for i in range(20)]
+    bridge = [(6000, 6001), (6001, 6002), (6000, 6002), (6002, 6003), (6003, 6004), (6004, 6005), (6005, 6006), (6006, 6007), (6005, 6007)]
+    loop = [(7000, 7001), (7001, 7002), (7002, 7000), (7000, 7010), (7010, 7011), (7011, 7012), (7012, 7000), (7011, 7020), (7020, 7021)]
+    tree = [(8000 + i, 8000 + i // 2) for i in range(2, 12)]
+    edges, _, _, near = make(spark, ring + bridge + loop + tree + random_edges(40, 30, 1))
+    assert values(graph.core_numbers(edges), "core_number") == core_by_hand(near)
+
+
 def test_core_numbers_by_peeling(g):
     edges, _, names, near = g
     left, core, k = {v: set(near[v]) for v in names if near[v]}, {}, 0
