@@ -22,10 +22,13 @@ def labelled_transactions(t):
     return rounded(rows.select("transaction_id", "customer_id", "amount", "is_fraud", "label_timestamp"))
 
 
-@query("new_beneficiary", """
+NEW_BENEFICIARY = """
 WITH f AS (SELECT customer_id, beneficiary_id, min(timestamp) AS a FROM tx WHERE product_type = 'pix' AND beneficiary_id IS NOT NULL GROUP BY 1, 2)
 SELECT transaction_id, CASE WHEN a < timestamp THEN 0 ELSE 1 END AS is_new_beneficiary
-FROM tx LEFT JOIN f USING (customer_id, beneficiary_id)""", "tx")
+FROM tx LEFT JOIN f USING (customer_id, beneficiary_id)"""
+
+
+@query("new_beneficiary", NEW_BENEFICIARY, "tx")
 def new_beneficiary(t):
     return training.new_beneficiary(t.transactions(), t.transactions())
 

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from riskspark.catalog.base import query, rounded
-from riskspark.catalog.models import Stage
+from riskspark.catalog.features import SAME_DAY
+from riskspark.catalog.models import NEW_BENEFICIARY, Stage
+from riskspark.operators import context, training
 from riskspark.session import ensure_checkpoint_dir
 from riskspark.streaming import flows, online
 
@@ -69,6 +71,24 @@ def trailing_activity_stream(t):
     return rounded(last.select("customer_id", "window_start", "window_end", "r.*"))
 
 
+@query("stream_context", f"""
+SELECT transaction_id, transactions_today, minutes_since_last_transaction, is_new_beneficiary
+FROM ({SAME_DAY}) JOIN ({NEW_BENEFICIARY}) USING (transaction_id)""", "tx")
+def stream_context(t):
+    """What a row's earlier rows tell, from a stream that has no other history than itself; the rows held back are settled at the end."""
+    place = scratch(t, "context")
+    tx = t.transactions()
+
+    def decision(rows, known):
+        return training.with_new_beneficiary(context.with_same_day(rows, known), known)
+
+    none = tx.where(F.lit(False))
+    flows.decide_with_history(t.as_stream().transactions(), decision, none, f"{place}/out", f"{place}/state", "1 hour").awaitTermination()
+    flows.finish(tx, decision, none, f"{place}/out", "1 hour")
+    return t.spark.read.parquet(f"{place}/out").select(
+        "transaction_id", *context.SAME_DAY_COLUMNS, "is_new_beneficiary")
+
+
 @query("stream_decisions")
 def stream_decisions(t):
     """Micro-batches scored, decided and logged through the batch path."""

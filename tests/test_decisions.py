@@ -1,11 +1,12 @@
 import math
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskspark.operators import decide, explain, metrics, models, monitor, training
+from riskspark.operators import context, decide, explain, metrics, models, monitor, training
 from riskspark.streaming import flows, online
 
 
@@ -158,3 +159,31 @@ def test_stream_state_late_rows_and_batches(spark, tmp_path):
     assert got[2]["hours_since_last_transaction"] == 2 and got[2]["avg_amount"] == 20 and got[2]["late_rows"] == 0
     assert got[3]["late_rows"] == 1 and got[3]["hours_since_last_transaction"] == 0
     assert got[4]["hours_since_last_transaction"] == 3 and got[4]["total_transactions"] == 4
+
+
+@pytest.mark.parametrize("cut", [1, 3])
+def test_stream_knows_its_own_rows_however_it_is_cut(spark, tmp_path, cut):
+    r, t = random.Random(4), datetime(2024, 1, 1, 20)
+    schema = "transaction_id long, customer_id long, beneficiary_id long, product_type string, timestamp timestamp_ntz"
+    rows = [(i, r.randrange(3), r.randrange(3), r.choice(["pix", "card"]), t + timedelta(minutes=r.randrange(600))) for i in range(60)]
+    rows += [(100, 1, 1, "pix", None), (101, 1, 1, "pix", t + timedelta(days=900))]
+    late = sorted(rows, key=lambda x: (x[4] or t) + timedelta(minutes=r.randrange(55)))
+    table = spark.createDataFrame(rows, schema)
+    nothing = spark.createDataFrame([(900, 2, 2, "pix", t - timedelta(hours=1))], schema)
+
+    def decision(rows, known):
+        rows = rows.withColumn("timestamp", F.coalesce("timestamp", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")))
+        return training.with_new_beneficiary(context.with_same_day(rows, known), known)
+
+    place, size = str(tmp_path / "in"), -(-len(late) // cut)
+    for k in range(cut):
+        spark.createDataFrame(late[k * size:(k + 1) * size], schema).write.parquet(f"{place}/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(place)
+        flows.decide_with_history(stream, decision, nothing, str(tmp_path / "out"), str(tmp_path / "cp"), "1 hour",
+                                  "2024-02-01 00:00:00").awaitTermination()
+    out = lambda df: sorted((x.transaction_id, x.transactions_today, x.minutes_since_last_transaction, x.is_new_beneficiary)
+                            for x in df.collect() if x.transaction_id < 100)
+    decided = spark.read.parquet(str(tmp_path / "out"))
+    assert {x[0] for x in out(decided)} != set(range(60)) and decided.where("transaction_id >= 100").count() == 2
+    flows.finish(table, decision, nothing, str(tmp_path / "out"), "1 hour", "2024-02-01 00:00:00")
+    assert out(spark.read.parquet(str(tmp_path / "out"))) == out(decision(table, nothing.unionByName(table)))
