@@ -188,3 +188,9 @@ SELECT 'C' || o_custkey AS customer_id, 'S' || l_suppkey AS beneficiary_id, l_ex
   o_orderdate AS timestamp FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
 }
 CTE_DEPS = {"tx": ["ev"], "fl": ["ev"], "sc": ["ev"], "ident": ["cust"]}
+
+
+def fixed(x: str, places: int, plus: str = "") -> str:
+    """SQL text of a number with so many places, halves away from zero by its shortest decimal form, as the JVM prints it."""
+    digits = f"CAST(CAST(CAST(abs({x}) AS VARCHAR) AS DECIMAL(38,20)) AS DECIMAL(38,{places}))::VARCHAR"
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '{plus}' END || {digits})"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskspark.catalog.base import query, rounded
+from riskspark.catalog.base import fixed, query, rounded
 from riskspark.catalog.features import DEVIATION, FLAGS
 from riskspark.operators import context, decide, metrics, modeling_table
 from riskspark.sources.driver import AS_OF
@@ -61,11 +61,31 @@ def decisions_query(t):
 
 
 @query("decision_explanations", f"""
-SELECT transaction_id, printf('Customer risk level: %.2f, Transaction risk: %.2f', h, s) AS summary,
-  'is_night_transaction,amount_zscore' AS factors FROM ({FINAL})""", "sc")
+SELECT transaction_id, 'Customer risk level: ' || {fixed("h", 2)} || ', Transaction risk: ' || {fixed("s", 2)} AS summary,
+  {fixed("h * 0.4::DOUBLE", 3)} || ' (40% weight)' AS hub_model_contribution, {fixed("s * 0.6::DOUBLE", 3)} || ' (60% weight)' AS spoke_model_contribution,
+  'Final score: ' || {fixed("f", 3)} AS final_score_calculation, 'is_night_transaction,amount_zscore' AS factors FROM ({FINAL})""", "sc")
 def decision_explanations(t):
-    return decisions(t).select("transaction_id", F.col("explanation.summary").alias("summary"),
-                               F.concat_ws(",", "explanation.key_risk_factors").alias("factors"))
+    return decisions(t).select("transaction_id", "explanation.summary", "explanation.hub_model_contribution", "explanation.spoke_model_contribution",
+                               "explanation.final_score_calculation", F.concat_ws(",", "explanation.key_risk_factors").alias("factors"))
+
+
+@query("decision_reasons", f"""
+WITH l AS ({LEVELED}), fl0 AS ({FLAGS}), dv AS ({DEVIATION}),
+r AS (SELECT *, transaction_id * 37 % 250 AS km, transaction_id % 3 AS fresh, transaction_id % 5 AS risky, transaction_id % 8 AS sharing
+  FROM l JOIN fl0 USING (transaction_id) JOIN dv USING (transaction_id))
+SELECT transaction_id, array_to_string(list_filter([CASE WHEN lvl = 'high' THEN 'HIGH_RISK_TRANSACTION' END,
+    CASE WHEN h > 0.7::DOUBLE THEN 'HIGH_CUSTOMER_RISK_PROFILE' END, CASE WHEN s > 0.7::DOUBLE THEN 'SUSPICIOUS_TRANSACTION_PATTERN' END,
+    CASE WHEN is_night_transaction = 1 THEN 'UNUSUAL_TIME_OF_DAY' END, CASE WHEN km > 100 THEN 'UNUSUAL_LOCATION' END,
+    CASE WHEN amount_zscore > 2 THEN 'UNUSUAL_AMOUNT' END, CASE WHEN fresh = 1 THEN 'NEW_BENEFICIARY' END,
+    CASE WHEN risky > 0 THEN 'RISKY_BENEFICIARY_NETWORK' END, CASE WHEN sharing > 5 THEN 'SHARED_DEVICE_RISK' END],
+  lambda x: x IS NOT NULL)[1:5], ',') AS reasons FROM r""", "tx sc")
+def decision_reasons(t):
+    """All nine rules; distance, new beneficiary and network inputs by formula, so that every rule fires in some row."""
+    i = F.col("transaction_id")
+    rows = scored(t).withColumns({"distance_from_usual_location_km": i * 37 % 250, "is_new_beneficiary": i % 3,
+                                  "fraudulent_beneficiaries_count": i % 5, "customers_sharing_devices": i % 8})
+    return decide.decide(rows, THRESHOLDS, with_explanation=False).select(
+        "transaction_id", F.concat_ws(",", "reason_codes").alias("reasons"))
 
 
 @query("safe_default_decisions", f"""

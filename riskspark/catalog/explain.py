@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskspark.catalog.base import query, rounded
+from riskspark.catalog.base import fixed, query, rounded
 from riskspark.catalog.decisions import labelled_scores
 from riskspark.operators import explain, modeling_table, models, training
 from riskspark.plans.fixpoint import cut
@@ -28,15 +28,22 @@ def global_importance(t):
     return rounded(explain.global_importance(explain.linear_attributions(t.demo_profiles(), "customer_id", WEIGHTS)))
 
 
-@query("explanation_texts", f"""
-WITH l AS ({LINEAR}), s AS (SELECT customer_id, sum(attribution) + 0.3::DOUBLE AS score,
-  list(feature ORDER BY abs(attribution) DESC, feature)[1:5] AS fs FROM l GROUP BY 1)
-SELECT customer_id, round(score, 4) AS score, CASE WHEN score > 0.5 THEN 'HIGH' WHEN score > 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS level,
-  array_to_string(fs, ',') AS top_features FROM s""", "demo")
+TEXTS = f"""
+WITH l AS ({LINEAR}), r AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY abs(attribution) DESC, feature) AS i FROM l),
+s AS (SELECT customer_id, sum(attribution) + 0.3::DOUBLE AS score, string_agg(feature, ',' ORDER BY i) FILTER (WHERE i <= 5) AS top_features,
+  string_agg(i || '. **' || feature || '** = ' || {fixed("value", 3)} || CASE WHEN abs(attribution) > {explain.STRONG} THEN ' strongly '
+    WHEN abs(attribution) > {explain.MODERATE} THEN ' moderately ' ELSE ' slightly ' END || CASE WHEN attribution > 0 THEN 'increases' ELSE 'decreases' END
+    || ' fraud risk (impact: ' || {fixed("attribution", 3, "+")} || ')', chr(10) ORDER BY i) FILTER (WHERE i <= 5) AS factors FROM r GROUP BY 1)
+SELECT customer_id, score, level, top_features,
+  '**Risk Level: ' || level || '** (Score: ' || {fixed("score", 3)} || ')' || chr(10) || '**Key Factors:**' || chr(10) || factors AS text
+FROM (SELECT *, CASE WHEN score > 0.5 THEN 'HIGH' WHEN score > 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM s)"""
+
+
+@query("explanation_texts", f"SELECT * REPLACE (round(score, 4) AS score) FROM ({TEXTS})", "demo")
 def explanation_texts(t):
     a = explain.linear_attributions(t.demo_profiles(), "customer_id", WEIGHTS)
     out = explain.explanation_texts(a, "customer_id", F.lit(0.3))
-    return rounded(out.select("customer_id", "score", "level", F.array_join("top_features", ",").alias("top_features")))
+    return rounded(out.select("customer_id", "score", "level", F.array_join("top_features", ",").alias("top_features"), "text"))
 
 
 CHANGES = """
@@ -122,17 +129,21 @@ def local_surrogates(t):
 
 
 @query("combined_explanations", f"""
-WITH l AS ({LINEAR}), s AS (SELECT customer_id, sum(attribution) + 0.3::DOUBLE AS score FROM l GROUP BY 1)
+WITH tx1 AS ({TEXTS}), ad AS (SELECT customer_id, string_agg('- To change the prediction, consider ' || CASE WHEN average_change > 0 THEN 'increasing ' ELSE 'reducing ' END
+    || feature || ' from ' || {fixed("original_value", 3)} || ' (changed in ' || {fixed("change_frequency * 100", 1)} || '% of counterfactuals)', chr(10)
+    ORDER BY change_frequency DESC, feature) FILTER (WHERE change_frequency > 0.5) AS advice FROM ({ANALYSIS}) GROUP BY 1)
 SELECT customer_id, round(score, 4) AS score, (score > 0.5)::INT AS prediction,
-  CASE WHEN score > 0.5 THEN 'FRAUD' ELSE 'NOT FRAUD' END || ',' || CASE WHEN score > 0.7 THEN 'HIGH' WHEN score > 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS headline FROM s""", "demo")
+  concat_ws(chr(10), '**Prediction:** ' || CASE WHEN score > 0.5 THEN 'FRAUD' ELSE 'NOT FRAUD' END || ' (Confidence: ' || {fixed("score * 100", 1)}
+    || '%, Risk Level: ' || CASE WHEN score > 0.7 THEN 'HIGH' WHEN score > 0.3 THEN 'MEDIUM' ELSE 'LOW' END || ')', text,
+    '**Actionable Recommendations:**' || chr(10) || advice, '{explain.COMPLIANCE}') AS summary
+FROM tx1 LEFT JOIN ad USING (customer_id)""", "demo")
 def combined_explanations(t):
-    """Score, factors and advice of a row in one text; its headline is compared."""
+    """Score, factors and advice of a row in one text."""
     a = explain.linear_attributions(t.demo_profiles(), "customer_id", WEIGHTS)
     texts = explain.explanation_texts(a, "customer_id", F.lit(0.3))
     advice = explain.insights(explain.change_analysis(given_changes(t), "customer_id"), "customer_id")
     out = explain.combined_explanations(texts.select("customer_id", "score"), "customer_id", texts, advice)
-    head = F.concat_ws(",", F.regexp_extract("summary", r"Prediction:\*\* (.*?) \(", 1), F.regexp_extract("summary", "Risk Level: ([A-Z]+)\\)", 1))
-    return rounded(out.select("customer_id", "score", "prediction", head.alias("headline")))
+    return rounded(out.select("customer_id", "score", "prediction", "summary"))
 
 
 @query("model_report_top_features", f"""
