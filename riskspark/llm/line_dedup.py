@@ -1,11 +1,14 @@
 """Line dedup by levelled sorted runs of line hashes.
 
 A run is a table (h1, h2, n) sorted by the 128-bit line hash: n documents of
-the batches merged into the run hold the line. A new batch is aggregated, its
+the batches merged into the run hold the line. All runs lie in the same number of
+buckets by hash, sorted inside each, so that they meet in merge joins without another
+exchange. A new batch is aggregated, its
 lines that some run already counts as frequent are taken out by a merge
 anti-join, and the rest becomes a run of level 0. When a level has ``fanout``
-runs they are merged into one run of the next level, so that a line is
-rewritten about log(batches) times. A line is frequent when its counts over all
+runs they are merged (a full outer merge join) into one run of the next level, so that a line is
+rewritten about log(batches) times. ``buckets`` is how many tasks share a run: take as many as
+make a bucket of all distinct lines (24 bytes each) fit a task. A line is frequent when its counts over all
 runs reach ``min_docs``; each frequent line leaves every document.
 
 Defined results. A null or empty text is one empty line. The empty key is
@@ -22,11 +25,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.store import stored
+from riskspark.llm.store import bucketed, stored
 
 #: The characters `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
 HASH = ["h1", "h2"]
+BUCKETS = 32
 
 
 def line_keys(text: Column) -> Column:
@@ -47,8 +51,8 @@ def _hashed(df: DataFrame, key: str) -> DataFrame:
 class LineRuns:
     """The levelled runs. ``add`` takes one batch of documents after another."""
 
-    def __init__(self, min_docs: int = 10, min_chars: int = 1, fanout: int = 2):
-        self.min_docs, self.min_chars, self.fanout = min_docs, min_chars, fanout
+    def __init__(self, min_docs: int = 10, min_chars: int = 1, fanout: int = 2, buckets: int = BUCKETS):
+        self.min_docs, self.min_chars, self.fanout, self.buckets = min_docs, min_chars, fanout, buckets
         self.levels: list[list[DataFrame]] = []
 
     def counts(self, docs: DataFrame, *extra: str) -> DataFrame:
@@ -58,18 +62,22 @@ class LineRuns:
         return _hashed(each, "key").groupBy(*extra, *HASH).agg(F.count(F.lit(1)).alias("n"))
 
     def add(self, batch: DataFrame) -> None:
-        self.add_counts(self.counts(batch))
+        self.add_counts(self.counts(batch).repartition(self.buckets, *HASH))
 
     def add_counts(self, counts: DataFrame) -> None:
+        self._put(self.fresh(counts), 0)
+
+    def fresh(self, counts: DataFrame) -> DataFrame:
+        """The lines that no run counts as frequent yet."""
         for run in self.runs():
-            counts = counts.join(run.where(F.col("n") >= self.min_docs).select(*HASH), HASH, "left_anti")
-        self._put(counts, 0)
+            counts = counts.join(run.where(F.col("n") >= self.min_docs).select(*HASH).hint("merge"), HASH, "left_anti")
+        return counts
 
     def _put(self, run: DataFrame, level: int) -> None:
         if len(self.levels) <= level:
             self.levels.append([])
         kept = self.levels[level]
-        kept.append(stored(run.sortWithinPartitions(*HASH), f"run{level}"))
+        kept.append(bucketed(run, f"run{level}", HASH, self.buckets))
         if len(kept) == self.fanout:
             self.levels[level] = []
             self._put(merged(kept), level + 1)
@@ -83,28 +91,31 @@ class LineRuns:
 
 
 def merged(runs: list[DataFrame]) -> DataFrame:
-    union = runs[0]
+    """One run of all lines of ``runs`` with their counts added."""
+    out = runs[0]
     for run in runs[1:]:
-        union = union.unionByName(run)
-    return union.groupBy(*HASH).agg(F.sum("n").alias("n")) if len(runs) > 1 else union
+        both = out.join(run.withColumnRenamed("n", "m").hint("merge"), HASH, "full")
+        out = both.select(*HASH, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+    return out
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2,
+                   buckets: int = BUCKETS) -> DataFrame:
     """Hashes of the lines in at least ``min_docs`` rows, met in ``batches`` batches.
 
     The text is read once: line counts of all batches go to one table with a
     folder per batch.
     """
-    runs = LineRuns(min_docs, min_chars, fanout)
+    runs = LineRuns(min_docs, min_chars, fanout, buckets)
     numbered = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
-    counts = stored(runs.counts(numbered, "batch"), "lines")
+    counts = bucketed(runs.counts(numbered, "batch").repartition(buckets, *HASH), "lines", HASH, buckets, "batch")
     for k in range(batches):
         runs.add_counts(counts.where(F.col("batch") == k).drop("batch"))
     return stored(runs.frequent(), "frequent")
 
 
 def drop_frequent_lines(documents: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4,
-                        fanout: int = 2) -> DataFrame:
+                        fanout: int = 2, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text), one row per row of ``documents``.
 
     Which lines of a document go is found on hashes alone; the text moves once,
@@ -112,7 +123,7 @@ def drop_frequent_lines(documents: DataFrame, min_docs: int = 10, min_chars: int
     its id and text: rows equal in both lose the same lines.
     """
     docs = documents.select("doc_id", "text")
-    frequent = frequent_lines(docs, min_docs, min_chars, batches, fanout)
+    frequent = frequent_lines(docs, min_docs, min_chars, batches, fanout, buckets)
     text = F.coalesce("text", F.lit(""))
     row = [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("r2")]
     lines = docs.select(*row, F.posexplode(line_keys(text)).alias("pos", "key")).where(F.col("key") != "")

@@ -20,6 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_named: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -30,6 +31,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def clean(spark: SparkSession) -> None:
     """Delete the tables this process has stored; call it when its results are written."""
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     while _made:
         path = hadoop(_made.pop())
@@ -42,3 +45,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, by: str | None = None) -> DataFrame:
+    """``stored`` with the rows in so many buckets by hash of ``keys``, each sorted by them, in folders by the column ``by``.
+
+    ``df`` should come partitioned that way (``repartition(buckets, *keys)`` or a join of such tables), else
+    each task writes a file per bucket. Tables of equal buckets are merge-joined on the keys as they lie, without an exchange. The
+    catalog holds a name for the table until ``clean``.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = f"llm_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.partitionBy(by) if by else writer).saveAsTable(table)
+    _named.append(table)
+    return spark.table(table)

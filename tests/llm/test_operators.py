@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.llm import licenses, line_dedup, mixing, secret_scan, sharding, url_filter
+from riskspark.llm.store import bucketed
 from tests.llm.helpers import LOWERED, alnum, frame, odd_rows, prose
 
 
@@ -48,6 +49,21 @@ def test_lines_of_a_later_batch_meet_the_runs(spark):
     assert line_dedup.drop_frequent_lines(frame(spark, [])).count() == 0
 
 
+def test_runs_are_merged_as_they_lie(spark):
+    runs = line_dedup.LineRuns(min_docs=2, fanout=3, buckets=4)
+    for k in range(3):
+        runs.add(frame(spark, [(10 * k + i, f"same\nown {k} {i}", "a") for i in range(3)]).select("doc_id", "text"))
+        if k < 2:
+            plan = line_dedup.merged(runs.runs())._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "BroadcastHashJoin" not in plan
+    (run,) = runs.runs()
+    lines = bucketed(runs.counts(frame(spark, [(90, "same\nnew", "a")])).repartition(4, *line_dedup.HASH), "lines", line_dedup.HASH, 4)
+    fresh = runs.fresh(lines)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and fresh.count() == 1
+    assert run.agg(F.sum("n")).first()[0] == 3 + 9
+
+
 # shards
 
 def shards_by_hand(rows, limit):
