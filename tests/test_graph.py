@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import graph
-from riskspark.plans import chains
-from riskspark.plans.fixpoint import written
+from riskspark.plans import chains, reach
+from riskspark.plans.fixpoint import cut, written
 
 
 def make(spark, edges, extra=()):
@@ -85,6 +85,38 @@ def test_closeness_exact_and_sketch(g):
         assert sketch[v] == pytest.approx(exact[v], rel=0.03, abs=1e-9)
 
 
+@pytest.mark.parametrize("sketch", [False, True])
+def test_distance_sums_over_many_blocks_and_slices(spark, sketch):
+    edges, nodes, names, near = make(spark, random_edges(90, 60, 3), extra=[500, 501])
+    rows = reach.distance_sums(graph.simple_edges(edges), nodes, sketch, block_bytes=400 if not sketch else 200_000, row_bytes=4).collect()
+    assert sorted(r["id"] for r in rows) == names
+    for row in rows:
+        dist, _, _ = bfs(near, row["id"])
+        assert row["r"] == pytest.approx(len(dist) - 1, rel=0.04 if sketch else 0, abs=1e-2 if sketch else 0)
+        assert row["total"] == pytest.approx(sum(dist.values()), rel=0.04 if sketch else 0, abs=1e-2 if sketch else 0)
+
+
+def test_rows_travel_per_block_and_not_per_edge(spark, monkeypatch):
+    """A star with many leaves: its centre is sent once to each block, the leaves never leave theirs."""
+    edges, nodes, _, _ = make(spark, [(0, i) for i in range(1, 600)])
+    sent = []
+    monkeypatch.setattr(reach, "cut", lambda df: sent.append(df := cut(df)) or df)
+    reach.distance_sums(edges, nodes, False, block_bytes=12_000)
+    base = next(df for df in sent if df.columns[-1] == "blocks")
+    blocks = base.select(F.size("blocks").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    assert blocks[1] > 1 and blocks[0] == 599 + blocks[1]
+
+
+def test_register_estimates_are_close():
+    rng = np.random.default_rng(1)
+    for n in (10, 1000, 50_000, 400_000):
+        hashes = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        registers = np.zeros(reach.ROW_BYTES, np.uint8)
+        _, bits = np.frexp((hashes >> np.uint64(reach.SKETCH_BITS)).astype(float))
+        np.maximum.at(registers, (hashes % np.uint64(reach.ROW_BYTES)).astype(int), (reach.RANK_BITS + 1 - bits).astype(np.uint8))
+        assert reach.estimate(registers[None, :])[0] == pytest.approx(n, rel=0.025)
+
+
 def core_by_hand(near):
     left, core, k = {v: set(w) for v, w in near.items() if w}, {}, 0
     while left:
