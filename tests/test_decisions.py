@@ -1,5 +1,6 @@
 import math
 import random
+import threading
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -187,3 +188,16 @@ def test_stream_knows_its_own_rows_however_it_is_cut(spark, tmp_path, cut):
     assert {x[0] for x in out(decided)} != set(range(60)) and decided.where("transaction_id >= 100").count() == 2
     flows.finish(table, decision, nothing, str(tmp_path / "out"), "1 hour", "2024-02-01 00:00:00")
     assert out(spark.read.parquet(str(tmp_path / "out"))) == out(decision(table, nothing.unionByName(table)))
+
+
+def test_side_by_side_overlaps_and_keeps_the_order(spark):
+    together = threading.Barrier(3)
+    assert models.side_by_side(spark, lambda x: (together.wait(30), x)[1], [3, 1, 2]) == [3, 1, 2]
+
+
+def test_a_part_of_the_model_stage_builds_no_others(spark, monkeypatch):
+    from riskspark.catalog.models import Stage
+    from riskspark.sources.driver import DriverTables
+    monkeypatch.setattr(training, "hub_training_set", lambda *a: spark.range(3))
+    stage = Stage(DriverTables(spark, "/root/testdata/sf0.001"))
+    assert stage.hub_rows.count() == 3 and set(vars(stage)) == {"t", "hub_rows"}
