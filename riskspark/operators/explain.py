@@ -32,6 +32,12 @@ def feature_array(df: DataFrame, features: Sequence[str]) -> Column:
     return F.array(*[F.col(f).cast("double") for f in features])
 
 
+def dealt_out(df: DataFrame, id_column: str) -> DataFrame:
+    """The rows over several tasks per core, before each of them becomes hundreds: a table of a few megabytes is
+    read by one task, and it is small only until then. Named, so that adaptive execution does not join them again."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, id_column)
+
+
 def background(df: DataFrame, id_column: str, features: Sequence[str], n: int = BACKGROUND) -> DataFrame:
     """At most ``n`` reference rows as arrays: a bounded table by construction."""
     return stable_sample(df.select(id_column, *features), id_column, n).select(
@@ -71,15 +77,16 @@ def sampled_attributions(model: Model, df: DataFrame, id_column: str, features:
     """
     d = len(features)
     pool = reference.agg(F.collect_list(F.struct("b_id", "b")).alias("pool")).scalar()
-    pairs = df.select(F.col(id_column).alias("id"), feature_array(df, features).alias("x"), F.explode(pool).alias("p")) \
+    pairs = dealt_out(df, id_column).select(F.col(id_column).alias("id"), feature_array(df, features).alias("x"), F.explode(pool).alias("p")) \
         .select("id", "x", F.col("p.b_id").alias("b_id"), F.col("p.b").alias("b"))
     keyed = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.struct(
         F.xxhash64("id", "b_id", i).alias("h"), i.alias("i")))
     ordered = pairs.withColumn("order", F.transform(F.array_sort(keyed), lambda s: s["i"]))
-    steps = ordered.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
-    point = F.transform("x", lambda v, i: F.when(
-        F.array_position("order", i) <= F.col("step"), v).otherwise(F.get("b", i)))
-    scored = class_one(model, steps.withColumn("z", point), F.col("z"))
+    # A column per feature, so that the switched points are made by compiled code and places are found once a pair.
+    placed = ordered.select("*", *[F.array_position("order", F.lit(i)).alias(f"at{i}") for i in range(d)])
+    steps = placed.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    point = F.array(*[F.when(F.col(f"at{i}") <= F.col("step"), F.get("x", F.lit(i))).otherwise(F.get("b", F.lit(i))) for i in range(d)])
+    scored = class_one(model, steps.select("id", "x", "order", "step", point.alias("z")), F.col("z"))
     # A score enters the feature just switched on with plus and the next one with minus.
     signs = F.array(F.struct(F.get("order", F.col("step") - 1).alias("i"), F.col("f").alias("v")),
                     F.struct(F.get("order", F.col("step")).alias("i"), (-F.col("f")).alias("v")))
@@ -152,7 +159,7 @@ def counterfactuals(model: Model, df: DataFrame, id_column: str, features: Seque
     from pyspark.sql import Window
     ranges = feature_ranges(reference, features)
     lo, hi = ranges.select("lo").scalar(), ranges.select("hi").scalar()
-    rows = df.select(F.col(id_column).alias("id"), feature_array(df, features).alias("x"), lo.alias("lo"), hi.alias("hi"))
+    rows = dealt_out(df, id_column).select(F.col(id_column).alias("id"), feature_array(df, features).alias("x"), lo.alias("lo"), hi.alias("hi"))
 
     def tried(open_rows: DataFrame, first: int, part: float) -> DataFrame:
         tries = open_rows.withColumn("candidate", F.explode(F.sequence(F.lit(first), F.lit(first + candidates - 1))))
@@ -263,23 +270,26 @@ def local_surrogates(model: Model, df: DataFrame, id_column: str, features: Sequ
     d = len(features)
     scale = reference.agg(F.array(*[F.coalesce(F.nullif(F.stddev_pop(F.col(f).cast("double")), F.lit(0.0)), F.lit(1.0))
                                     for f in features]).alias("s")).scalar()
-    tries = df.select(F.col(id_column).alias("id"), feature_array(df, features).alias("x"), scale.alias("s"),
-                      F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("n"))
+    tries = dealt_out(df, id_column).select(F.col(id_column).alias("id"), feature_array(df, features).alias("x"), scale.alias("s"),
+                                            F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("n"))
 
     def normal(i: Column) -> Column:
         u = F.greatest(uniform(F.lit(seed), F.col("id"), F.col("n"), i, F.lit("u")), F.lit(1e-12))
         v = uniform(F.lit(seed), F.col("id"), F.col("n"), i, F.lit("v"))
         return F.sqrt(-2 * F.ln(u)) * F.cos(2 * np.pi * v)
 
-    # The first sample is the row itself.
-    tries = tries.withColumn("e", F.transform("x", lambda v, i: F.when(F.col("n") == 0, 0.0).otherwise(normal(i))))
-    moved = tries.withColumn("z", F.transform("x", lambda v, i: v + F.get("e", i) * F.get("s", i)))
-    scored = class_one(model, moved, F.col("z"))
+    # The first sample is the row itself. A column per feature, so that samples are made by compiled code.
+    noise = [f"e{i}" for i in range(d)]
+    tries = tries.select("*", *[F.when(F.col("n") == 0, 0.0).otherwise(normal(F.lit(i))).alias(e) for i, e in enumerate(noise)])
+    moved = F.array(*[F.get("x", F.lit(i)) + F.col(e) * F.get("s", F.lit(i)) for i, e in enumerate(noise)])
+    scored = class_one(model, tries.select("id", "n", *noise, moved.alias("z")), F.col("z"))
     width2 = F.lit((0.75 * np.sqrt(d)) ** 2)
-    square = F.aggregate("e", F.lit(0.0), lambda a, v: a + v * v)
-    row = scored.withColumn("w", F.exp(-square / width2)).withColumn("q", F.concat(F.array(F.lit(1.0)), "e", F.array("f")))
-    terms = [F.sum(F.col("w") * F.get("q", F.lit(i)) * F.get("q", F.lit(j))).alias(f"m{i}_{j}")
-             for i in range(d + 2) for j in range(i, d + 2)]
+    square = F.lit(0.0)
+    for e in noise:
+        square = square + F.col(e) * F.col(e)
+    row = scored.withColumn("w", F.exp(-square / width2))
+    q = [F.lit(1.0), *map(F.col, noise), F.col("f")]
+    terms = [F.sum(F.col("w") * q[i] * q[j]).alias(f"m{i}_{j}") for i in range(d + 2) for j in range(i, d + 2)]
     sums = row.groupBy("id").agg(*terms, F.max(F.when(F.col("n") == 0, F.col("f"))).alias("score"))
     flat = F.array(*[f"m{i}_{j}" for i in range(d + 2) for j in range(i, d + 2)])
     solved = sums.select("id", "score", _solve(flat).alias("beta"))

@@ -107,6 +107,15 @@ def test_counterfactuals_keep_every_row(fitted):
     assert len(changes) == 3 and all(r["reached"] == 0 and r["rank"] is None and r["value"] is None for r in changes)
 
 
+def test_explanations_of_a_small_table_use_many_tasks(fitted):
+    df, m = fitted[:2]
+    few = df.where("id < 20").coalesce(1)
+    found = explain.local_surrogates(m.model, few, "id", ["a", "b", "c"], df, samples=50)
+    assert few.rdd.getNumPartitions() == 1 < explain.dealt_out(few, "id").rdd.getNumPartitions()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "lambda" not in plan
+
+
 def test_surrogate_signs(fitted):
     df, m = fitted
     w = explain.local_surrogates(m.model, df.where("id < 20"), "id", ["a", "b", "c"], df, samples=300)
