@@ -148,3 +148,20 @@ def test_no_row_at_or_after_the_label_counts(spark):
 
     whole = features(True)
     assert whole and whole == features(False)
+
+
+def test_packed_counts_add_up_with_their_signs(spark):
+    names = ["a", "b", "c"]
+    rows = [(a + b * point_in_time.PACK, c) for a, b, c in ((3, -5, 7), (-4, 2, -9), (2_000_000_000, 2_000_000_000, 0), (0, 5, 2))]
+    df = spark.createDataFrame(rows, "p0 long, p1 long").agg(F.sum("p0").alias("p0"), F.sum("p1").alias("p1"))
+    assert tuple(df.select(*point_in_time.unpacked(names)).first()) == (1_999_999_999, 2_000_000_002, 0)
+
+
+def test_moves_of_distinct_values_are_made_once(spark):
+    """Running totals read them twice, from a stored table."""
+    seen = spark.createDataFrame([(1, "a", str(i % 7), i * 10 ** 9) for i in range(50)], "customer_id long, kind string, value string, us long")
+    probes = spark.createDataFrame([(1, 25 * 10 ** 9 + 1)], "customer_id long, us long")
+    found = point_in_time.distinct_before(probes, ["customer_id", "us"], seen, {"a": {"1h": 1, "6h": 6}})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [customer_id") == 2 and "Generate" not in plan
+    assert found.first()["a_1h"] == 4 and found.first()["a_6h"] == 7
