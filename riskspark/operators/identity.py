@@ -80,7 +80,7 @@ def clean_identities(sources: Mapping[str, DataFrame]) -> DataFrame:
 @F.pandas_udf(T.DoubleType())
 def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    return pd.Series([1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -229,8 +229,7 @@ def similar_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame:
 def score_pairs(pairs: DataFrame, fuzzy: str = "matcher", null_policy: str = "skip", at_least: float = 0.0) -> DataFrame:
     """Weighted share of passed rules.
 
-    Pairs that stay below ``at_least`` even if texts were as similar as the letters
-    they have in common allow are left out before any text is compared.
+    Pairs that stay below ``at_least`` whatever their texts are left out before any text is compared.
 
     ``null_policy='skip'`` leaves a rule out of both sums when a side is empty;
     ``'reference'`` lets exact rules pass on an empty side and compares an empty
@@ -270,11 +269,6 @@ def score_pairs(pairs: DataFrame, fuzzy: str = "matcher", null_policy: str = "sk
     if at_least > 0:
         best = weighed(rules + [(counts, F.lit(1.0), least, weight) for counts, _, least, weight in text_rules])
         compared = pairs.where(best >= at_least)
-        for n in ("full_name", "birth_date", "phone"):
-            compared = compared.withColumn("most_" + n, ratio_bound(*texts(n)))
-        most = [(counts, (F.col("most_full_name") + F.col("most_" + other)) / 2 + SLACK, least, weight)
-                for counts, other, least, weight in text_rules]
-        compared = compared.where(weighed(rules + most) >= at_least)
     ratio = matcher_ratio if fuzzy == "matcher" else edit_ratio
     for n in ("full_name", "birth_date", "phone"):
         compared = compared.withColumn("r_" + n, ratio(*texts(n)))

@@ -254,3 +254,17 @@ def test_first_row_per_source_and_lookup(spark):
     asked = spark.createDataFrame([(5,), (7,)], "customer_id long")
     assert {tuple(r) for r in identity.canonical_lookup(asked, mapping).collect()} == {(5, 1), (7, 7)}
     assert {tuple(r) for r in identity.related_ids(asked, mapping).collect()} == {(5, 1), (5, 5)}
+
+
+@pytest.mark.parametrize("fuzzy", ["matcher", "edit"])
+def test_pairs_with_an_equal_identifier_count_no_letters(spark, ids, fuzzy):
+    """Letters counted one by one, in each of the joins, had taken nearly all of the time of the identity queries."""
+    variants = identity.record_variants(ids.where("document_number <> ''"))
+    plan = identity.score_pairs(identity.candidate_pairs(variants), fuzzy, at_least=0.8)
+    assert "aggregate(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_texts_need_no_matching(spark):
+    pairs = [("a" * 300, "a" * 300), ("", ""), ("ab", "ba"), ("maria # 1", "maria#1")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", identity.matcher_ratio("a", "b").alias("r")).collect()
+    assert [r["r"] for r in got] == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
