@@ -1,5 +1,7 @@
 import random
+import threading
 from collections import defaultdict, deque
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -192,3 +194,25 @@ def test_modularity_not_below_label_propagation(g):
     weighted = graph.simple_edges(edges).withColumn("weight", F.lit(1.0))
     assert graph.modularity(weighted, graph.modularity_communities(edges, nodes)) >= graph.modularity(
         weighted, graph.label_propagation(edges, nodes)) - 1e-9
+
+
+def test_loops_of_node_features_run_side_by_side(spark, monkeypatch):
+    """One after the other, their many small rounds had left most cores idle."""
+    met = threading.Barrier(2, timeout=60)
+
+    def meeting(measure):
+        def wrapped(*args):
+            met.wait()
+            return measure(*args)
+        return wrapped
+
+    monkeypatch.setattr(graph, "betweenness", meeting(graph.betweenness))
+    monkeypatch.setattr(graph, "eigenvector", meeting(graph.eigenvector))
+    rows = [(1, 2), (2, 3), (1, 3), (3, 4)]
+    tx = spark.createDataFrame([(a, b, 1.0, datetime(2024, 1, 1), "pix") for a, b in rows],
+                               "customer_id long, beneficiary_id long, amount double, timestamp timestamp_ntz, product_type string")
+    customers = spark.range(1, 6).withColumnRenamed("id", "customer_id")
+    got = {r["customer_id"]: r for r in graph.node_features(customers, tx).collect()}
+    assert [got[i]["degree"] for i in range(1, 6)] == [2, 2, 3, 1, 0]
+    assert [got[i]["core_number"] for i in range(1, 6)] == [2, 2, 2, 1, 0]
+    assert got[5]["community_id"] == -1 and got[3]["betweenness_centrality"] == pytest.approx(2 / 3)
