@@ -65,10 +65,8 @@ SELECT customer_id, time_bucket(INTERVAL 1 HOUR, timestamp) + to_hours(1 - CAST(
 FROM tx, range(0, 24) r(o) GROUP BY 1, 2, 3""", "tx")
 def trailing_activity_stream(t):
     """Sliding 24-hour activity; the last state of every window after all data was read."""
-    out = run(t, flows.trailing_activity(t.as_stream().transactions()), "trailing", output_mode="update")
-    last = out.groupBy("customer_id", "window_start", "window_end").agg(
-        F.max_by(F.struct("transactions", "volume"), "batch_id").alias("r"))
-    return rounded(last.select("customer_id", "window_start", "window_end", "r.*"))
+    out = run(t, flows.activity_parts(t.as_stream().transactions()), "trailing", output_mode="update")
+    return rounded(flows.trailing_activity(out))
 
 
 @query("stream_context", f"""

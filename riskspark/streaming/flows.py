@@ -128,12 +128,30 @@ def decide_stream(stream: DataFrame, scorer: Scorer, path: str, checkpoint: str,
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def trailing_activity(stream: DataFrame, length: str = "24 hours", slide: str = "1 hour",
-                      late: str = "1 hour") -> DataFrame:
-    """Count and volume per customer in sliding windows; rows later than ``late`` are dropped."""
+def activity_parts(stream: DataFrame, length: str = "24 hours", part: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Count and volume per customer and ``part`` of time, from which windows of ``length`` are added up.
+
+    State and output hold a row per part, not one per window over it. A part is kept until ``late``
+    and a window's length have passed, so a row is dropped only when every window over it has closed.
+    """
     timed = stream.withColumn("event_time", F.col("timestamp").cast("timestamp"))
-    return (timed.withWatermark("event_time", late)
-            .groupBy("customer_id", F.window("event_time", length, slide))
+    return (timed.withWatermark("event_time", f"{late} {length}")
+            .groupBy("customer_id", F.window("event_time", part))
             .agg(F.count(F.lit(1)).alias("transactions"), F.sum(F.col("amount").cast("double")).alias("volume"))
-            .select("customer_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("window.end").cast("timestamp_ntz").alias("window_end"), "transactions", "volume"))
+            .select("customer_id", F.col("window.start").cast("timestamp_ntz").alias("part_start"), "transactions", "volume"))
+
+
+def trailing_activity(parts: DataFrame, length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
+    """Count and volume per customer in sliding windows, from the written micro-batches of ``activity_parts``.
+
+    The newest micro-batch that wrote a part holds its totals. ``length`` and ``slide`` are whole numbers of
+    parts. Rows move once, by customer: a customer has a row per part, however many transactions.
+    """
+    last = (parts.repartition("customer_id").groupBy("customer_id", "part_start")
+            .agg(F.max_by("transactions", "batch_id").alias("transactions"), F.max_by("volume", "batch_id").alias("volume")))
+    # Listed, not F.window: that would lose the order by customer, and every window would move.
+    newest, span, step = F.window(F.col("part_start").cast("timestamp"), slide)["start"], F.expr(f"INTERVAL {length}"), F.expr(f"INTERVAL {slide}")
+    return (last.select("customer_id", "transactions", "volume", F.explode(F.sequence(newest - span + step, newest, step)).alias("window_start"))
+            .groupBy("customer_id", "window_start").agg(F.sum("transactions").alias("transactions"), F.sum("volume").alias("volume"))
+            .select("customer_id", F.col("window_start").cast("timestamp_ntz"),
+                    (F.col("window_start") + span).cast("timestamp_ntz").alias("window_end"), "transactions", "volume"))

@@ -210,3 +210,29 @@ def test_a_part_of_the_model_stage_builds_no_others(spark, monkeypatch):
     monkeypatch.setattr(training, "hub_training_set", lambda *a: spark.range(3))
     stage = Stage(DriverTables(spark, "/root/testdata/sf0.001"))
     assert stage.hub_rows.count() == 3 and set(vars(stage)) == {"t", "hub_rows"}
+
+
+def test_trailing_activity_keeps_a_part_once(spark, tmp_path):
+    """State had held a row for each of the 24 windows over a row; late rows count as long as a window over them is open."""
+    start = datetime(2024, 1, 1)
+    first = [(1, start + timedelta(minutes=37 * i), float(i)) for i in range(80)] + [(2, start, None), (None, start, 1.0)]
+    late = [(1, start + timedelta(hours=45, minutes=5), 7.0), (1, start + timedelta(hours=30, minutes=50), 9.0), (2, start + timedelta(hours=50), 2.0)]
+    schema = "customer_id long, timestamp timestamp_ntz, amount double"
+    flows.use_rocksdb(spark)
+    for number, rows in enumerate((first, late)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = flows.write_batches(flows.activity_parts(stream), lambda d: d, str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+        q.awaitTermination()
+        if not number:
+            held = q.recentProgress[0]["stateOperators"][0]["numRowsTotal"]
+            assert held == len({(c, t.replace(minute=0)) for c, t, _ in first})
+    want = {}
+    for c, t, a in first + late:
+        for back in range(24):
+            key = c, t.replace(minute=0) - timedelta(hours=back)
+            n, v = want.get(key, (0, None))
+            want[key] = n + 1, v if a is None else (v or 0.0) + a
+    got = flows.trailing_activity(spark.read.parquet(str(tmp_path / "out"))).collect()
+    assert {(r["customer_id"], r["window_start"]): (r["transactions"], r["volume"]) for r in got} == want
+    assert all(r["window_end"] - r["window_start"] == timedelta(hours=24) for r in got)
