@@ -71,10 +71,17 @@ def _recent(known: np.ndarray, before: int, n: int, fresh: bool) -> tuple[np.nda
     fresh customer has none.
     """
     out = np.zeros((3, n))
-    measures = (np.mean, np.std, np.median)
     size = before + np.arange(n) + (0 if fresh else 1)
-    for i in np.flatnonzero((size > 0) & (size < RECENT_GAPS)):
-        out[:, i] = [f(known[:size[i]]) for f in measures]
+    short = np.flatnonzero((size > 0) & (size < RECENT_GAPS))
+    if len(short):
+        # Each of these rows sees all gaps before it: one matrix, a row of it per transaction.
+        m = size[short]
+        inside = np.arange(m[-1]) < m[:, None]
+        mean = (inside * known[:m[-1]]).sum(axis=1) / m
+        spread = ((inside * (known[:m[-1]] - mean[:, None])) ** 2).sum(axis=1) / m
+        ranked, at = np.sort(np.where(inside, known[:m[-1]], np.inf), axis=1), np.arange(len(m))
+        out[:, short] = mean, np.sqrt(spread), (ranked[at, (m - 1) // 2] + ranked[at, m // 2]) / 2
+    measures = (np.mean, np.std, np.median)
     full = np.flatnonzero(size >= RECENT_GAPS)
     if len(full):
         windows = np.lib.stride_tricks.sliding_window_view(known, RECENT_GAPS)

@@ -236,3 +236,18 @@ def test_trailing_activity_keeps_a_part_once(spark, tmp_path):
     got = flows.trailing_activity(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert {(r["customer_id"], r["window_start"]): (r["transactions"], r["volume"]) for r in got} == want
     assert all(r["window_end"] - r["window_start"] == timedelta(hours=24) for r in got)
+
+
+def test_statistics_of_short_histories_are_taken_together(monkeypatch):
+    """Mean, deviation and median had been called for every row of a customer with fewer than a hundred gaps."""
+    gaps = np.random.default_rng(3).random(140) * 50
+    for before, n, fresh in ((0, 60, True), (0, 1, True), (5, 30, False), (90, 50, False)):
+        known, calls = gaps[:before + n - fresh], []
+        monkeypatch.setattr(online.np, "median", lambda *a, f=np.median, **k: calls.append(1) or f(*a, **k))
+        got = np.array(online._recent(known, before, n, fresh))
+        monkeypatch.undo()
+        assert len(calls) <= 1
+        for i in range(n):
+            seen = known[:before + i + (not fresh)][-online.RECENT_GAPS:]
+            want = [f(seen) if len(seen) else 0.0 for f in (np.mean, np.std, np.median)]
+            assert np.allclose(got[:, i], want, rtol=0, atol=1e-12)
