@@ -2,13 +2,14 @@ import random
 import threading
 from collections import defaultdict, deque
 from datetime import datetime
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import graph
-from riskspark.plans import chains, reach
+from riskspark.plans import chains, reach, spread
 from riskspark.plans.fixpoint import cut, written
 
 
@@ -69,6 +70,18 @@ def test_betweenness_exact(g):
         assert got[v] == pytest.approx(want[v] / ((n - 1) * (n - 2)))
 
 
+def test_betweenness_over_many_blocks_and_slices_of_pivots(g, monkeypatch):
+    """A state has a row per node, whatever the number of pivots, and the pivots that do not fit a row come later."""
+    edges, nodes, names, near = g
+    whole, written = values(graph.betweenness(edges, nodes, None), "betweenness_centrality"), []
+    monkeypatch.setattr(graph, "PIVOTS", 16)
+    monkeypatch.setattr(graph, "Spread", partial(spread.Spread, block_bytes=8 * 16 * 20))
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(df := cut(df)) or df)
+    assert values(graph.betweenness(edges, nodes, None), "betweenness_centrality") == pytest.approx(whole)
+    states = [df for df in written if "paths" in df.columns]
+    assert {df.count() for df in states} == {len(names)} and states[0].select("home").distinct().count() > 1
+
+
 def test_path_graph_middle_carries_paths(spark):
     edges, nodes, _, _ = make(spark, [(1, 2), (2, 3), (3, 4)])
     got = values(graph.betweenness(edges, nodes, None), "betweenness_centrality")
