@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import graph
-from riskspark.plans import chains, reach, spread
+from riskspark.plans import chains, power, reach, spread
 from riskspark.plans.fixpoint import cut, written
 
 
@@ -189,6 +189,21 @@ def test_eigenvector(g):
     assert np.allclose([got[v] for v in names], want, atol=1e-3)
 
 
+def test_eigenvector_over_many_homes(spark, monkeypatch):
+    """Text ids, a node without edges, edges between homes; what is written per round is a row per pair of homes, not per edge."""
+    edges, nodes, names, near = make(spark, random_edges(24, 200, 2), extra=[99])
+    written = []
+    monkeypatch.setattr(graph, "Power", partial(power.Power, home_edges=60))
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(df := cut(df)) or df)
+    text = [F.format_string("n%02d", c) for c in ("src", "dst", "id")]
+    got = values(graph.eigenvector(edges.select(text[0].alias("src"), text[1].alias("dst")), nodes.select(text[2].alias("id"))), "eigenvector_centrality")
+    want = np.abs(np.linalg.eigh(np.array([[1.0 if w in near[v] else 0.0 for w in names] for v in names]))[1][:, -1])
+    assert np.allclose([got[f"n{v:02d}"] for v in names], want, atol=1e-3)
+    states = [df for df in written if "own" in df.columns]
+    homes = states[0].where("own").count()
+    assert homes > 1 and all(df.count() <= homes * (homes + 1) for df in states)
+
+
 def test_communities_of_two_cliques(spark):
     clique = lambda s: [(a, b) for a in range(s, s + 6) for b in range(a + 1, s + 6)]
     edges, nodes, _, _ = make(spark, clique(0) + clique(10) + [(0, 10)])
