@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,10 +96,10 @@ def _filled(name: str) -> Column:
 
 
 def record_variants(identities: DataFrame) -> DataFrame:
-    """Distinct field combinations with the smallest id carrying each."""
+    """Distinct field combinations with the smallest and the largest id carrying each."""
     fields = {c: _filled(c) for c in ("document_number", "email", "phone", "full_name", "birth_date")}
     return (identities.select("customer_id", *[e.alias(c) for c, e in fields.items()])
-            .groupBy(*fields).agg(F.min("customer_id").alias("rep")))
+            .groupBy(*fields).agg(F.min("customer_id").alias("rep"), F.max("customer_id").alias("last")))
 
 
 def candidate_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame:
@@ -137,8 +138,9 @@ def candidate_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame
     def both(name: str) -> Column:
         return F.col("a_" + name) & F.col("b_" + name)
 
-    # A pair is compared once: smaller id first. Variants of one id are one node anyway.
-    ordered = F.col("a_rep") < F.col("b_rep")
+    # A pair is compared once: smaller id first. Variants with the same smallest id may have other ids that differ.
+    ordered = (F.col("a_rep") < F.col("b_rep")) | ((F.col("a_rep") == F.col("b_rep")) & (
+        F.struct(*["a_" + c for c in variants.columns]) < F.struct(*["b_" + c for c in variants.columns])))
     email, phone, document = both("has_email"), both("has_phone"), both("has_doc")
     if null_policy == "skip":
         alone, by_phone = ~email & ~phone, ~document & ~email
@@ -212,7 +214,7 @@ def similar_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame:
              .where(both == 0 if skip else both != 3)
              .select(F.col("rep").alias("rep2"), F.col("row").alias("row2"), "left_has", F.explode("keys").alias("place")))
     one, two = F.struct(F.col("rep1").alias("rep"), F.col("row1").alias("row")), F.struct(F.col("rep2").alias("rep"), F.col("row2").alias("row"))
-    pairs = (left.join(right, ["left_has", "place"]).where("rep1 <> rep2")
+    pairs = (left.join(right, ["left_has", "place"]).where("rep1 <> rep2 OR row1 <> row2")
              .select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
              .select(F.col("a.rep").alias("a_rep"), F.col("a.row").alias("a_row"), F.col("b.rep").alias("b_rep"), F.col("b.row").alias("b_row")))
     for side in ("a", "b"):
@@ -226,8 +228,8 @@ def similar_pairs(variants: DataFrame, null_policy: str = "skip") -> DataFrame:
     return pairs.where(close).select(*[f"a_{c}" for c in fields], *[f"b_{c}" for c in fields])
 
 
-def score_pairs(pairs: DataFrame, fuzzy: str = "matcher", null_policy: str = "skip", at_least: float = 0.0) -> DataFrame:
-    """Weighted share of passed rules.
+def scored_variants(pairs: DataFrame, fuzzy: str = "matcher", null_policy: str = "skip", at_least: float = 0.0) -> DataFrame:
+    """Pairs of variants with ``score``, the weighted share of passed rules.
 
     Pairs that stay below ``at_least`` whatever their texts are left out before any text is compared.
 
@@ -274,24 +276,69 @@ def score_pairs(pairs: DataFrame, fuzzy: str = "matcher", null_policy: str = "sk
         compared = compared.withColumn("r_" + n, ratio(*texts(n)))
     for counts, other, least, weight in text_rules:
         rules.append((counts, (F.col("r_full_name") + F.col("r_" + other)) / 2, least, weight))
-    scored = compared.withColumn("score", weighed(rules))
-    return scored.groupBy(F.col("a_rep").alias("id_a"), F.col("b_rep").alias("id_b")).agg(
+    return compared.withColumn("score", weighed(rules))
+
+
+def score_pairs(pairs: DataFrame, fuzzy: str = "matcher", null_policy: str = "skip", at_least: float = 0.0) -> DataFrame:
+    """The best score of each pair of smallest ids (``scored_variants``)."""
+    return scored_variants(pairs, fuzzy, null_policy, at_least).groupBy(F.col("a_rep").alias("id_a"), F.col("b_rep").alias("id_b")).agg(
         F.max("score").alias("score"))
 
 
-def matched_pairs(identities: DataFrame, fuzzy: str = "matcher", null_policy: str = "skip",
-                  threshold: float = MATCH_MIN) -> DataFrame:
-    """Matching id pairs: scored variants, plus exact copies tied to their smallest id."""
-    variants = cut(record_variants(identities))
-    scored = score_pairs(candidate_pairs(variants, null_policy), fuzzy, null_policy, threshold)
-    fields = ["document_number", "email", "phone", "full_name", "birth_date"]
-    rows = identities.select("customer_id", *[_filled(c).alias("i_" + c) for c in fields])
+VARIANT = ["document_number", "email", "phone", "full_name", "birth_date"]
+
+
+def _matching_variants(identities: DataFrame, fuzzy: str, null_policy: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(ids of every variant that has several, with its number, smallest id and fields; matching pairs of variants)."""
+    variants = cut(record_variants(identities).withColumn("variant", F.monotonically_increasing_id()))
+    scored = scored_variants(candidate_pairs(variants, null_policy), fuzzy, null_policy, threshold).where(F.col("score") >= threshold)
+    rows = identities.where("customer_id IS NOT NULL").select("customer_id", *[_filled(c).alias("i_" + c) for c in VARIANT])
     same = F.lit(True)
-    for c in fields:
+    for c in VARIANT:
         same = same & F.col("i_" + c).eqNullSafe(F.col(c))
-    copies = (rows.join(variants, same).where("customer_id <> rep")
-              .select(F.col("rep").alias("id_a"), F.col("customer_id").alias("id_b"), F.lit(1.0).alias("score")))
-    return scored.where(F.col("score") >= threshold).unionByName(copies)
+    members = rows.join(variants.where("last > rep"), same).select("customer_id", "variant", "rep", *VARIANT)
+    return members, scored
+
+
+def _tied(members: DataFrame) -> DataFrame:
+    """Exact copies tied to their smallest id."""
+    return members.where("customer_id <> rep").select(F.col("rep").alias("id_a"), F.col("customer_id").alias("id_b"), F.lit(1.0).alias("score"))
+
+
+def matched_pairs(identities: DataFrame, fuzzy: str = "matcher", null_policy: str = "skip",
+                  threshold: float = MATCH_MIN) -> DataFrame:
+    """All matching id pairs with their best score, smaller id first.
+
+    Texts are compared once for each pair of variants; a pair of variants then stands for every pair of their ids, and a
+    variant for every pair of its own, so the result has as many rows as ids match. Copies of which no rule can compare
+    anything match nobody and are only tied to their smallest id. ``matched_links`` has fewer rows for the same groups.
+    """
+    members, scored = _matching_variants(identities, fuzzy, null_policy, threshold)
+    members = cut(members.distinct())
+
+    def has(*names: str) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(n).isNotNull() for n in names])
+
+    known = F.lit(True)
+    if null_policy == "skip":
+        known = has("document_number") | has("email") | has("phone") | has("full_name", "birth_date")
+    pairs = scored.select("score", *[f"{side}_{c}" for side in "ab" for c in ("variant", "rep")])
+    for side in "ab":
+        ids = members.select(F.col("variant").alias(f"{side}_variant"), F.col("customer_id").alias(f"{side}_other"))
+        pairs = pairs.join(ids, f"{side}_variant", "left").withColumn(f"{side}_id", F.coalesce(f"{side}_other", f"{side}_rep"))
+    copies = members.where(known).select("variant", F.col("customer_id").alias("a_id")).join(
+        members.select("variant", F.col("customer_id").alias("b_id")), "variant").where("a_id < b_id")
+    found = pairs.where("a_id <> b_id").select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"), "score")
+    found = found.unionByName(copies.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), F.lit(1.0).alias("score")))
+    return found.unionByName(_tied(members.where(~known))).groupBy("id_a", "id_b").agg(F.max("score").alias("score"))
+
+
+def matched_links(identities: DataFrame, fuzzy: str = "matcher", null_policy: str = "skip", threshold: float = MATCH_MIN) -> DataFrame:
+    """Matching id pairs that connect the same ids as ``matched_pairs``: of the smallest ids of two variants,
+    and exact copies tied to their smallest id. As many rows as variants match, however many copies there are."""
+    members, scored = _matching_variants(identities, fuzzy, null_policy, threshold)
+    links = scored.where("a_rep < b_rep").select(F.col("a_rep").alias("id_a"), F.col("b_rep").alias("id_b"), "score")
+    return links.unionByName(_tied(members))
 
 
 def _along_chains(waits: DataFrame) -> DataFrame:
@@ -351,7 +398,9 @@ def id_mapping(identities: DataFrame, pairs: DataFrame, mode: str = "components"
 
 def resolve(identities: DataFrame, fuzzy: str = "matcher", null_policy: str = "skip",
             mode: str = "components") -> DataFrame:
-    return id_mapping(identities, matched_pairs(identities, fuzzy, null_policy), mode)
+    """customer_id to canonical id. Components need links only; a seed takes every id that matches it directly."""
+    pairs = matched_links if mode == "components" else matched_pairs
+    return id_mapping(identities, pairs(identities, fuzzy, null_policy), mode)
 
 
 def canonical_lookup(requests: DataFrame, mapping: DataFrame) -> DataFrame:

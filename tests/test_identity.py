@@ -268,3 +268,56 @@ def test_equal_texts_need_no_matching(spark):
     pairs = [("a" * 300, "a" * 300), ("", ""), ("ab", "ba"), ("maria # 1", "maria#1")]
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", identity.matcher_ratio("a", "b").alias("r")).collect()
     assert [r["r"] for r in got] == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
+def all_matches(rows, policy):
+    """Every id pair that reaches the score, over all pairs of rows."""
+    out = {}
+    for x in rows:
+        for y in rows:
+            if x[1] < y[1] and (s := direct_score(x, y, policy, edit_ratio)) >= 0.8:
+                out[x[1], y[1]] = max(s, out.get((x[1], y[1]), 0))
+    return out
+
+
+def copied():
+    """Groups of exact copies that match each other, and ids that have two variants in two systems."""
+    r = random.Random(4)
+    kinds = [("d1", "ANA SOUZA", date(1980, 1, 1), "a@x", "551"), ("d1", "ANA SOUSA", date(1980, 1, 1), "a@x", "551"),
+             ("d1", "ANA SOUZA", date(1980, 1, 2), None, "551"), ("d2", "JOSE LIMA", date(1975, 5, 5), "j@x", None),
+             (None, "JOSE LIMA", date(1975, 5, 5), "j@x", None), (None, "JOSE LIMA", date(1975, 5, 5), None, None),
+             (None, "JOSE LIMO", date(1975, 5, 5), None, None)]
+    rows = [("s", i, *r.choice(kinds), WHEN, WHEN) for i in range(60)]
+    return rows + [("t", i, *r.choice(kinds), WHEN, WHEN) for i in range(0, 60, 4)]
+
+
+@pytest.mark.parametrize("policy", ["skip"])
+def test_every_pair_of_copies_that_matches_is_listed(spark, policy):
+    rows = copied()
+    found = identity.matched_pairs(spark.createDataFrame(rows, SCHEMA), "edit", policy).collect()
+    got, want = {(r["id_a"], r["id_b"]): r["score"] for r in found}, all_matches(rows, policy)
+    assert len(found) == len(got) and got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("mode", ["components", "seed"])
+def test_groups_of_copies(spark, mode):
+    rows = copied()
+    want, got = all_matches(rows, "skip"), {}
+    nodes = sorted({r[1] for r in rows})
+    want = groups(want, nodes) if mode == "components" else {**{n: n for n in nodes}, **seeds_by_hand(want)}
+    for r in identity.resolve(spark.createDataFrame(rows, SCHEMA), "edit", mode=mode).collect():
+        got[r["customer_id"]] = r["canonical_customer_id"]
+    assert got == want
+
+
+def test_copies_make_few_links(spark):
+    rows = [("s", i, "d1", f"ANA SOUZA {i % 3}", date(1980, 1, 1), "a@x", "551", WHEN, WHEN) for i in range(300)]
+    ids = spark.createDataFrame(rows, SCHEMA)
+    assert identity.matched_links(ids, "edit").count() == 3 + 297
+    assert identity.matched_pairs(ids, "edit").count() == 300 * 299 // 2
+
+
+def test_copies_without_comparable_fields_stay_tied(spark):
+    rows = [("s", i, None, "ANA", None, None, None, WHEN, WHEN) for i in range(4)]
+    got = {(r["id_a"], r["id_b"]) for r in identity.matched_pairs(spark.createDataFrame(rows, SCHEMA), "edit").collect()}
+    assert got == {(0, 1), (0, 2), (0, 3)}
