@@ -94,3 +94,37 @@ def test_components_of_chain_and_star(spark):
     out = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert {out[i] for i in range(41)} == {0}
     assert {out[100 + i] for i in range(30)} == {100}
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    from pathlib import Path
+    from riskspark.plans import fixpoint
+    from riskspark.session import ensure_checkpoint_dir
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+
+    def files():
+        return {p for p in folder.rglob("part-*") if p.is_file()}
+
+    def make():
+        a = fixpoint.cut(spark.range(100).repartition(3))
+        b = fixpoint.written(a.selectExpr("id", "id % 7 AS k"))
+        return a.join(b, "id").groupBy("k").count()
+
+    before = files()
+    out = fixpoint.settled(spark, make)
+    kept = files() - before
+    assert {Path(p.removeprefix("file://")).name for p in out.inputFiles()} == {p.name for p in kept}
+    assert sorted(r["count"] for r in out.collect()) == [14, 14, 14, 14, 14, 15, 15]
+    with fixpoint.held(spark.range(5)) as rows:
+        assert rows.count() == 5 and files() - before > kept
+    assert files() - before == kept
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    from riskspark.session import prepare
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    prepare(spark)
+    before = tracker.shuffleStatuses().size()
+    for i in range(3):
+        spark.range(1000).repartition(4, "id").write.parquet(str(tmp_path / str(i)))
+    assert tracker.shuffleStatuses().size() <= before
